@@ -9,6 +9,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.common import materialise
+    from tesselix.llm.packing import pieces, place
+    from tesselix.llm.tokens import default_path
+
+    cut = pieces(table(spark, sf_dir, "documents"), default_path(), 4096, 2)
+    rows = materialise(cut.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces")
+    return place(rows, 4096)
+
+
+def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.simple8b import read_ids, write_ids
+    from tesselix.llm.tokens import default_path
+
+    files = write_ids(table(spark, sf_dir, "documents"), default_path(), 1)
+    return read_ids(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselix.llm.sharding import shard
 
@@ -16,6 +40,14 @@ def op5_lpt_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tesselix.llm.wordpiece import count_pieces
+
+    return count_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselix.llm.secrets import find_secrets
 
@@ -32,6 +64,23 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.common import materialise
+    from tesselix.llm.media import read_media, store_texts
+
+    rows = materialise(store_texts(table(spark, sf_dir, "documents")), "media-places")
+    read = read_media(rows).select(
+        "digest",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, octet_length(payload) - 63, 64)")).alias("tail_crc32"),
+        "media_bytes",
+        F.sha2("media", 256).alias("media_sha256"),
+        F.format_string("png %dx%d %d bit grey", "width", "height", "bits").alias("feature"),
+    )
+    return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
+
+
 def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselix.llm.toxicity import fit, learnable, score
 
@@ -40,5 +89,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op5_lpt_sharding, op7_secret_linking, op10_toxicity_fm)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op10_toxicity_fm)}
 ORACLES: dict[str, str] = {}
