@@ -26,6 +26,8 @@ from tesselix.llm.simple8b import store
 WIDTH = 64
 SHARD_BYTES = 64 << 20
 HEADER = 33
+#: Stored bytes that a task reads.
+TASK_BYTES = 16 << 20
 _MAGIC = b"\x89PNG\r\n\x1a\n"
 
 
@@ -135,7 +137,9 @@ def read_media(rows: DataFrame, payload: bool = True) -> DataFrame:
     """What is stored, one row a content: digest, media_bytes, width, height, bits from header ranges and, if asked for,
     the stored file (media) and its samples (payload), read back whole. Contents are read in the order they lie in."""
     wanted = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
-    wanted = wanted.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    # by number: the rows are small, what is read for them is not
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism + int((rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    wanted = wanted.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
     def run(batches):
         file, opened = None, None

@@ -81,6 +81,13 @@ def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
 
 
+def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.repeats import drop_repeats
+
+    kept = drop_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselix.llm.toxicity import fit, learnable, score
 
@@ -89,5 +96,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op10_toxicity_fm)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op9_repeated_phrases, op10_toxicity_fm)}
 ORACLES: dict[str, str] = {}
