@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
 SLICE_BYTES = 1 << 21
+SLICE_ROWS = 1 << 16
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 #: Words between ASCII white space, unchanged.
@@ -84,7 +85,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
         data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         at = 0
         while at < len(texts):
-            to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
+            to = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1), at + SLICE_ROWS)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
 

@@ -25,6 +25,12 @@ def op2_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return place(rows, 4096)
 
 
+def op3_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "kept")
+
+
 def op4_simple8b_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselix.llm.simple8b import read_ids, write_ids
     from tesselix.llm.tokens import default_path
@@ -96,5 +102,5 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op9_repeated_phrases, op10_toxicity_fm)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op3_weighted_minhash, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op9_repeated_phrases, op10_toxicity_fm)}
 ORACLES: dict[str, str] = {}
