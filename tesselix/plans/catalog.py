@@ -1,4 +1,456 @@
-"""Queries over point data and the SQL that gives the same rows."""
+"""Queries over point data and the SQL that gives the same rows.
 
+Each query takes (spark, folder of Parquet tables). Ids, ranks and counts are BIGINT, measures DOUBLE, in both.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tesselix.functions import geometry as g, sqlfuncs
+from tesselix.operators import heap, index, knn, points as pts, ranges, skyline as sky
+from tesselix.plans import layout
+from tesselix.sources import osm, report
+from tesselix.sources.tables import table
+
+BOX = ([10.0, 902.0], [30.0, 915.0])
+AT = (25.0, 910.0)
+RADII = (200, 500, 1000, 2000, 5000, 10000)
+KS = (1, 10, 20, 30, 40, 50, 60, 70, 80, 90, 100)
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(oracle: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    return pts.points_from(table(spark, d, "part"), {"x": "p_size", "y": "p_retailprice"}, "p_partkey", "p_name")
+
+
+def suppliers(spark: SparkSession, d: str) -> DataFrame:
+    return pts.points_from(table(spark, d, "supplier"), {"x": "s_nationkey", "y": "s_acctbal"}, "s_suppkey", "s_name")
+
+
+def customers(spark: SparkSession, d: str) -> DataFrame:
+    return pts.points_from(table(spark, d, "customer"), {"x": "c_nationkey", "y": "c_acctbal"}, "c_custkey", "c_name")
+
+
+def orders(spark: SparkSession, d: str) -> DataFrame:
+    days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    return pts.points_from(table(spark, d, "orders"), {"x": "o_totalprice", "y": days}, "o_orderkey")
+
+
+def lines(spark: SparkSession, d: str, y) -> DataFrame:
+    return pts.points_from(table(spark, d, "lineitem"), {"x": "l_quantity", "y": y}, keep=LINE_KEY)
+
+
+def as_queries(points: DataFrame) -> DataFrame:
+    return points.select(F.col("id").alias("qid"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+
+
+def boxed(points: DataFrame) -> DataFrame:
+    """Points as degenerate boxes of one node."""
+    return points.select("id", F.lit(0).cast("bigint").alias("node"), F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
+
+
+PARTS = "(SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part)"
+SUPPLIERS = "(SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_nationkey AS DOUBLE) AS x, CAST(s_acctbal AS DOUBLE) AS y FROM supplier)"
+CUSTOMERS = "(SELECT CAST(c_custkey AS BIGINT) AS id, CAST(c_nationkey AS DOUBLE) AS x, CAST(c_acctbal AS DOUBLE) AS y FROM customer)"
+ORDERS = "(SELECT CAST(o_orderkey AS BIGINT) AS id, CAST(o_totalprice AS DOUBLE) AS x, CAST(date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS DOUBLE) AS y FROM orders)"
+KEY = ", ".join(LINE_KEY)
+LINES = f"(SELECT {KEY}, CAST(l_quantity AS DOUBLE) AS x, {{}} AS y FROM lineitem)"
+PRICED = LINES.format("CAST(l_extendedprice AS DOUBLE)")
+DISCOUNTED = LINES.format("CAST(0 AS DOUBLE) - CAST(l_discount AS DOUBLE)")
+DIST = "sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y))"
+LEAVES = f"(SELECT node, count(*) AS entries, min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max FROM (SELECT *, CAST((row_number() OVER (ORDER BY x, id) - 1) // 50 AS BIGINT) AS node FROM {PARTS}) GROUP BY node)"
+INSIDE = "x BETWEEN 10 AND 30 AND y BETWEEN 902 AND 915"
+
+
+# --- scans, addresses, names ------------------------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM {PARTS}")
+def point_scan(spark, d):
+    return parts(spark, d)
+
+
+@query(f"SELECT * FROM {PARTS} WHERE id <> -1")
+def live_not_tombstone(spark, d):
+    return pts.live(parts(spark, d), "not_tombstone")
+
+
+@query(f"SELECT * FROM {PARTS} WHERE id > 0")
+def live_positive(spark, d):
+    return pts.live(parts(spark, d), "positive")
+
+
+ADDRESSED = f"(SELECT id, name, x, y, CAST(1 + (row_number() OVER (ORDER BY id) - 1) // 117 AS BIGINT) AS block_id, CAST((row_number() OVER (ORDER BY id) - 1) % 117 AS BIGINT) AS slot_id FROM {PARTS})"
+
+
+@query(f"SELECT id, block_id, slot_id FROM {ADDRESSED}")
+def heap_address(spark, d):
+    return heap.addressed(parts(spark, d)).select("id", "block_id", "slot_id")
+
+
+@query(f"SELECT * FROM {ADDRESSED} WHERE slot_id = 7")
+def fetch_by_address(spark, d):
+    records = heap.addressed(parts(spark, d))
+    pointers = records.filter("slot_id = 7").select("block_id", "slot_id")
+    return heap.fetch(records, pointers).select("id", "name", "x", "y", "block_id", "slot_id")
+
+
+@query("SELECT d AS dims, 264 + 8 * d AS record_bytes, (32768 - 4) // (264 + 8 * d) AS slots_per_block, CAST(32768 AS BIGINT) AS block_bytes FROM (SELECT unnest([2, 3, 4, 8]::BIGINT[]) AS d)")
+def heap_layout(spark, d):
+    names = ("dims", "record_bytes", "slots_per_block", "block_bytes")
+    return spark.createDataFrame([tuple(heap.layout(n)[k] for k in names) for n in (2, 3, 4, 8)], ", ".join(f"{k} bigint" for k in names))
+
+
+@query()
+def name_truncated(spark, d):
+    return table(spark, d, "documents").select("doc_id", heap.stored_name(F.col("text")).alias("name_256"))
+
+
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(6 AS BIGINT) AS letters, true AS small FROM part")
+def generated_names(spark, d):
+    named = parts(spark, d).withColumn("n", osm.generated_name(F.col("id")))
+    return named.select("id", F.length("n").cast("bigint").alias("letters"), F.col("n").rlike("^[a-z]{6}$").alias("small"))
+
+
+@query(f"SELECT id, printf('%d, %s, (%.6f, %.6f)', id, name, x, y) AS line FROM {PARTS} ORDER BY id LIMIT 10")
+def text_report(spark, d):
+    return report.lines(parts(spark, d), 10)
+
+
+# --- scalar geometry over the leaves of part ------------------------------------------------------------------------
+
+_FIXED = g.literal_box(*BOX)
+
+
+def part_leaves(spark, d):
+    return index.leaves(parts(spark, d))
+
+
+@query(f"SELECT id, x AS x_min, x AS x_max, y AS y_min, y AS y_max, CAST(0 AS DOUBLE) AS area FROM {PARTS}")
+def mbr_point(spark, d):
+    return boxed(parts(spark, d)).select("id", "x_min", "x_max", "y_min", "y_max", g.area(g.box()).alias("area"))
+
+
+@query(f"SELECT node, (x_max - x_min) * (y_max - y_min) AS area FROM {LEAVES}")
+def mbr_area(spark, d):
+    return part_leaves(spark, d).select("node", g.area(g.box()).alias("area"))
+
+
+@query(f"SELECT node, CAST(2 AS DOUBLE) * (x_max - x_min) + CAST(2 AS DOUBLE) * (y_max - y_min) AS margin FROM {LEAVES}")
+def mbr_margin(spark, d):
+    return part_leaves(spark, d).select("node", g.margin(g.box()).alias("margin"))
+
+
+UNION = "least(x_min, CAST(10 AS DOUBLE)) AS ux0, greatest(x_max, CAST(30 AS DOUBLE)) AS ux1, least(y_min, CAST(902 AS DOUBLE)) AS uy0, greatest(y_max, CAST(915 AS DOUBLE)) AS uy1"
+
+
+@query(f"SELECT node, {UNION} FROM {LEAVES}")
+def mbr_union(spark, d):
+    (x0, y0), (x1, y1) = g.union(g.box(), _FIXED)
+    return part_leaves(spark, d).select("node", x0.alias("ux0"), x1.alias("ux1"), y0.alias("uy0"), y1.alias("uy1"))
+
+
+@query(f"SELECT node, (ux1 - ux0) * (uy1 - uy0) - (x_max - x_min) * (y_max - y_min) AS growth FROM (SELECT *, {UNION} FROM {LEAVES})")
+def mbr_enlargement(spark, d):
+    return part_leaves(spark, d).select("node", g.enlargement(g.box(), _FIXED).alias("growth"))
+
+
+@query(f"SELECT node FROM {LEAVES} WHERE x_max >= 10 AND 30 >= x_min AND y_max >= 902 AND 915 >= y_min")
+def mbr_overlaps(spark, d):
+    return part_leaves(spark, d).filter(g.overlaps(g.box(), _FIXED)).select("node")
+
+
+@query(f"SELECT node FROM {LEAVES} WHERE x_min >= 5 AND x_max <= 30 AND y_min >= 900 AND y_max <= 2500")
+def mbr_contains(spark, d):
+    return part_leaves(spark, d).filter(g.contained(g.box(), g.literal_box([5, 900], [30, 2500]))).select("node")
+
+
+GAPS = "greatest(x_min - 25, 0, 25 - x_max) AS gx, greatest(y_min - 910, 0, 910 - y_max) AS gy"
+
+
+@query(f"SELECT node, sqrt(gx * gx + gy * gy) AS dist FROM (SELECT node, {GAPS} FROM {LEAVES})")
+def mbr_mindist(spark, d):
+    return part_leaves(spark, d).select("node", g.min_dist(g.box(), [F.lit(v) for v in AT]).alias("dist"))
+
+
+@query(f"SELECT node, (x_min + x_max) / 2.0::DOUBLE AS cx, (y_min + y_max) / 2.0::DOUBLE AS cy FROM {LEAVES}")
+def entry_centres(spark, d):
+    cx, cy = g.centre(g.box())
+    return part_leaves(spark, d).select("node", cx.alias("cx"), cy.alias("cy"))
+
+
+@query(f"SELECT count(*) AS nodes, round(avg((x_min + x_max) / 2.0::DOUBLE), 6) AS cx, round(avg((y_min + y_max) / 2.0::DOUBLE), 6) AS cy FROM {LEAVES}")
+def node_centroid(spark, d):
+    cx, cy = g.centre(g.box())
+    return part_leaves(spark, d).agg(F.count("*").alias("nodes"), F.round(F.avg(cx), 6).alias("cx"), F.round(F.avg(cy), 6).alias("cy"))
+
+
+@query(f"SELECT id, sqrt((x - 25) * (x - 25) + (y - 910) * (y - 910)) AS dist, {INSIDE} AS inside FROM {PARTS}")
+def sql_functions(spark, d):
+    sqlfuncs.register(spark)
+    return parts(spark, d).select("id", F.expr("point_dist(x, y, 25D, 910D)").alias("dist"), F.expr("box_contains(10D, 902D, 30D, 915D, x, y)").alias("inside"))
+
+
+@query("SELECT a.id, count(*) AS dominated FROM {0} a JOIN {0} b ON a.x <= b.x AND a.y <= b.y AND (a.x < b.x OR a.y < b.y) GROUP BY a.id".format(SUPPLIERS))
+def dominates_pairs(spark, d):
+    return sky.dominance_counts(suppliers(spark, d))
+
+
+# --- ranges -----------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM {PARTS} WHERE {INSIDE}")
+def range_box(spark, d):
+    return ranges.range_query(parts(spark, d), *BOX)
+
+
+@query(f"SELECT * FROM {PARTS} WHERE x BETWEEN 30 AND 10 AND y BETWEEN 902 AND 915")
+def range_inverted(spark, d):
+    return ranges.range_query(parts(spark, d), [30, 902], [10, 915])
+
+
+@query(f"SELECT id, x, y, count(*) OVER () AS hits FROM {PARTS} WHERE {INSIDE} ORDER BY id LIMIT 5")
+def range_preview(spark, d):
+    return ranges.preview(ranges.range_query(parts(spark, d), *BOX), 5).select("id", "x", "y", "hits")
+
+
+@query(f"SELECT p.* FROM {PRICED} p, (SELECT x, y FROM {PRICED} ORDER BY {KEY} LIMIT 1) q WHERE p.x BETWEEN q.x - 500 AND q.x + 500 AND p.y BETWEEN q.y - 500 AND q.y + 500")
+def range_square_window(spark, d):
+    points = lines(spark, d, "l_extendedprice")
+    centre = points.orderBy(*LINE_KEY).first()
+    return ranges.range_query(points, *ranges.square((centre["x"], centre["y"]), 500.0)) if centre else points
+
+
+def _squares(points: DataFrame, r: float) -> DataFrame:
+    return points.select(F.col("id").alias("qid"), *(e for c in ("x", "y") for e in (F.col(c).alias(f"q_{c}"), (F.col(c) - r).alias(f"q_{c}_min"), (F.col(c) + r).alias(f"q_{c}_max"))))
+
+
+SQUARE = "p.x BETWEEN q.x - {0} AND q.x + {0} AND p.y BETWEEN q.y - {0} AND q.y + {0}"
+RANGE_JOIN = f"SELECT q.id AS qid, p.id AS id FROM {CUSTOMERS} p JOIN {SUPPLIERS} q ON " + SQUARE.format(50)
+
+
+@query(RANGE_JOIN)
+def range_join_batch(spark, d):
+    return ranges.range_join(customers(spark, d), _squares(suppliers(spark, d), 50.0)).select("qid", "id")
+
+
+@query(RANGE_JOIN)
+def range_join_grid(spark, d):
+    return ranges.range_join(customers(spark, d), _squares(suppliers(spark, d), 50.0), method="grid", cell=(1000.0, 100.0)).select("qid", "id")
+
+
+@query(f"SELECT q.id AS qid, CAST(r AS BIGINT) AS r, count(*) AS hits FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 1500 = 0) q, (SELECT unnest({list(RADII)}) AS r) WHERE " + SQUARE.format("r") + " GROUP BY 1, 2")
+def range_radius_sweep(spark, d):
+    points = orders(spark, d)
+    centres = _squares(points.filter("id % 1500 = 0"), float(max(RADII)))
+    inside = lambda r: F.col("x").between(F.col("q_x") - r, F.col("q_x") + r) & F.col("y").between(F.col("q_y") - r, F.col("q_y") + r)
+    # one join at the largest radius; every smaller window lies in it
+    wide = ranges.range_join(points, centres).groupBy("qid").agg(*(F.count(F.when(inside(float(r)), 1)).alias(str(r)) for r in RADII))
+    return wide.select("qid", F.explode(F.array(*(F.struct(F.lit(r).cast("bigint").alias("r"), F.col(str(r)).alias("hits")) for r in RADII))).alias("s")).select("qid", "s.r", "s.hits").filter("hits > 0")
+
+
+# --- nearest neighbours ---------------------------------------------------------------------------------------------
+
+KNN = f"SELECT id, x, y, dist, row_number() OVER (ORDER BY dist, id) AS rank FROM (SELECT p.*, {DIST} AS dist FROM {PARTS} p, (SELECT 25.0::DOUBLE AS x, 910.0::DOUBLE AS y) q) QUALIFY rank <= 10"
+
+
+@query(KNN)
+def knn_single(spark, d):
+    return knn.knn(parts(spark, d), AT, 10).select("id", "x", "y", "dist", "rank")
+
+
+@query(KNN)
+def knn_two_phase(spark, d):
+    return layout.knn_two_phase(*layout.leaf_table(parts(spark, d)), AT, 10).select("id", "x", "y", "dist", "rank")
+
+
+@query(f"SELECT qid, id, dist, rank FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {SUPPLIERS} p, (SELECT * FROM {CUSTOMERS} WHERE id % 100 = 0) q) WHERE rank <= 5")
+def knn_join_batch(spark, d):
+    return knn.knn_join(suppliers(spark, d), as_queries(customers(spark, d).filter("id % 100 = 0")), 5).select("qid", "id", "dist", "rank")
+
+
+@query(f"SELECT CAST(k AS BIGINT) AS k, qid, count(*) AS n, max(dist) AS reach FROM (SELECT q.id AS qid, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, (SELECT * FROM {PARTS} WHERE id % 200 = 0) q), (SELECT unnest({list(KS)}) AS k) WHERE rank <= k GROUP BY 1, 2")
+def knn_k_sweep(spark, d):
+    points = parts(spark, d)
+    return knn.knn_sweep(points, as_queries(points.filter("id % 200 = 0")), list(KS))
+
+
+@query(f"SELECT qid, id, dist FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, {SUPPLIERS} q) WHERE rank <= 3")
+def knn_lateral(spark, d):
+    sqlfuncs.register(spark)
+    return spark.sql(
+        "SELECT q.id AS qid, n.id, n.dist FROM {queries} q, LATERAL (SELECT p.id, point_dist(p.x, p.y, q.x, q.y) AS dist FROM {points} p ORDER BY dist, p.id LIMIT 3) n",
+        queries=suppliers(spark, d),
+        points=parts(spark, d),
+    )
+
+
+VECTORS = "(SELECT CAST(vec_id AS BIGINT) AS id, embedding AS e FROM embeddings)"
+
+
+@query(f"SELECT qid, id, dist, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM (SELECT q.id AS qid, p.id, round(sqrt(list_sum(list_transform(list_zip(p.e, q.e), lambda z: (z[1]::DOUBLE - z[2]::DOUBLE) * (z[1]::DOUBLE - z[2]::DOUBLE)))), 6) AS dist FROM {VECTORS} p, (SELECT * FROM {VECTORS} WHERE id % 100 = 0) q)) WHERE rank <= 10")
+def knn_vectors(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").alias("e"))
+    queries = rows.filter("id % 100 = 0").select(F.col("id").alias("qid"), F.col("e").alias("q_e"))
+    return knn.knn_join(rows, queries, 10, distance=F.round(g.array_dist(F.col("e"), F.col("q_e")), 6)).select("qid", "id", "dist", "rank")
+
+
+# --- skylines -----------------------------------------------------------------------------------------------------------
+
+
+def _sweep(rows: str, order: str) -> str:
+    return f"SELECT * EXCLUDE (low) FROM (SELECT *, min(y) OVER (ORDER BY x, y, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS low FROM {rows}) WHERE low IS NULL OR y < low"
+
+
+def _undominated(rows: str, columns: str = "*") -> str:
+    return f"WITH c AS (SELECT DISTINCT x, y FROM {rows}), s AS (SELECT * FROM c a WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.x <= a.x AND b.y <= a.y AND (b.x < a.x OR b.y < a.y))) SELECT {columns} FROM {rows} r SEMI JOIN s USING (x, y)"
+
+
+def discounted(spark, d):
+    return lines(spark, d, F.lit(0.0) - F.col("l_discount"))
+
+
+@query(_sweep(DISCOUNTED, KEY))
+def skyline_sweep(spark, d):
+    return sky.skyline(discounted(spark, d), key=LINE_KEY, duplicates="first")
+
+
+@query(_undominated(PARTS))
+def skyline_all(spark, d):
+    return sky.skyline(parts(spark, d))
+
+
+@query(_undominated(DISCOUNTED))
+def skyline_all_lineitem(spark, d):
+    return sky.skyline(discounted(spark, d), key=LINE_KEY)
+
+
+@query(_sweep(f"(SELECT * FROM {PARTS} WHERE id > 0)", "id"))
+def skyline_positive_ids(spark, d):
+    return sky.skyline(parts(spark, d), duplicates="first", rule="positive")
+
+
+@query(f"SELECT count(*) AS skyline, min(id) AS first_id FROM ({_undominated(PARTS)})")
+def skyline_preview(spark, d):
+    return sky.skyline(parts(spark, d)).agg(F.count("*").alias("skyline"), F.min("id").alias("first_id"))
+
+
+THREE = "(SELECT CAST(vec_id AS BIGINT) AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
+
+
+@query(f"SELECT * FROM {THREE} a WHERE NOT EXISTS (SELECT 1 FROM {THREE} b WHERE b.x <= a.x AND b.y <= a.y AND b.z <= a.z AND (b.x < a.x OR b.y < a.y OR b.z < a.z))")
+def skyline_3d(spark, d):
+    e = F.col("embedding")
+    return sky.skyline(pts.points_from(table(spark, d, "embeddings"), {"x": e[0], "y": e[1], "z": e[2]}, "vec_id"), ("x", "y", "z"))
+
+
+# --- the index as data ---------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT * FROM {LEAVES}")
+def bulk_leaves(spark, d):
+    return part_leaves(spark, d)
+
+
+def _levels(rows: str) -> str:
+    boxes = "count(*) AS entries, min({0}) AS x_min, max({1}) AS x_max, min({2}) AS y_min, max({3}) AS y_max"
+    own, upper = boxes.format("x", "x", "y", "y"), boxes.format("x_min", "x_max", "y_min", "y_max")
+    sql = f"WITH l0 AS (SELECT CAST((rn - 1) // 50 AS BIGINT) AS node, {own} FROM (SELECT *, row_number() OVER (ORDER BY x, id) AS rn FROM {rows}) GROUP BY 1)"
+    for i in range(1, 6):
+        sql += f", l{i} AS (SELECT node // 50 AS node, {upper} FROM l{i - 1} WHERE (SELECT count(*) FROM l{i - 1}) > 1 GROUP BY 1)"
+    return sql + " " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS level, node, CASE WHEN (SELECT count(*) FROM l{i}) > 1 THEN node // 50 END AS parent, entries, x_min, x_max, y_min, y_max FROM l{i}" for i in range(6))
+
+
+@query(_levels(ORDERS))
+def bulk_levels(spark, d):
+    return index.levels(orders(spark, d))
+
+
+@query(_levels(f"(SELECT id, x, y FROM {PARTS} UNION ALL SELECT id + 1000000000, x, y FROM {SUPPLIERS})"))
+def insert_batch(spark, d):
+    new = suppliers(spark, d).select((F.col("id") + 1_000_000_000).alias("id"), "x", "y")
+    return index.insert(parts(spark, d).select("id", "x", "y"), new)
+
+
+_GROWN = "(greatest(x_max, x) - least(x_min, x)) * (greatest(y_max, y) - least(y_min, y)) - (x_max - x_min) * (y_max - y_min)"
+
+
+@query(f"SELECT id, node, growth FROM (SELECT id, node, {_GROWN} AS growth, row_number() OVER (PARTITION BY id ORDER BY {_GROWN}, (x_max - x_min) * (y_max - y_min), entries, node) AS rn FROM {SUPPLIERS}, {LEAVES}) WHERE rn = 1")
+def choose_subtree(spark, d):
+    return index.choose_subtree(suppliers(spark, d), part_leaves(spark, d))
+
+
+FIRST51 = f"(SELECT * FROM {PARTS} ORDER BY id LIMIT 51)"
+
+
+def first51(spark, d):
+    return boxed(parts(spark, d).orderBy("id").limit(51))
+
+
+def _options() -> str:
+    parts_of = []
+    for i, dim in enumerate(("x", "y")):
+        for j, side in enumerate(("min", "max")):
+            over = f"OVER (ORDER BY {dim}, id ROWS BETWEEN {{}})"
+            head, tail = over.format("UNBOUNDED PRECEDING AND CURRENT ROW"), over.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            margin = " + ".join(f"(CAST(2 AS DOUBLE) * (max(x) {w} - min(x) {w}) + CAST(2 AS DOUBLE) * (max(y) {w} - min(y) {w}))" for w in (head, tail))
+            parts_of.append(f"SELECT '{dim}' AS dim, '{side}' AS side, {2 * i + j} AS o, row_number() OVER (ORDER BY {dim}, id) AS k, {margin} AS margin FROM {FIRST51}")
+    return "(SELECT * FROM (" + " UNION ALL ".join(parts_of) + ") WHERE k >= 25 AND k <= 51 - 25)"
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS node, dim, side, k, round(margin, 6) AS margin FROM {_options()}")
+def split_options(spark, d):
+    return index.split_options(first51(spark, d)).withColumn("margin", F.round("margin", 6))
+
+
+CHOSEN = f"(SELECT dim, side, k, margin, margin_sum FROM (SELECT *, row_number() OVER (ORDER BY round(margin_sum, 6), o, margin, k) AS rn FROM (SELECT *, sum(margin) OVER (PARTITION BY o) AS margin_sum FROM {_options()})) WHERE rn = 1)"
+
+
+@query(f"SELECT CAST(0 AS BIGINT) AS node, dim, side, k, round(margin, 6) AS margin, round(margin_sum, 6) AS margin_sum FROM {CHOSEN}")
+def choose_split(spark, d):
+    return index.choose_split(first51(spark, d)).withColumns({"margin": F.round("margin", 6), "margin_sum": F.round("margin_sum", 6)})
+
+
+@query(f"SELECT id, CAST(CASE WHEN row_number() OVER (ORDER BY CASE WHEN dim = 'x' THEN x ELSE y END, id) <= k THEN 1 ELSE 2 END AS BIGINT) AS group_no FROM {FIRST51}, {CHOSEN}")
+def split_node(spark, d):
+    return index.split(first51(spark, d)).select("id", "group_no")
+
+
+@query(f"SELECT id, round(d2, 4) AS dist2 FROM (SELECT id, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM {FIRST51}, (SELECT avg(x) AS mx, avg(y) AS my FROM {FIRST51})) ORDER BY round(d2, 6) DESC, id LIMIT 15")
+def reinsert_candidates(spark, d):
+    return index.reinsert_candidates(first51(spark, d)).select("id", F.round("dist2", 4).alias("dist2"))
+
+
+@query(f"SELECT node FROM {LEAVES} WHERE entries > 30")
+def overflowing_nodes(spark, d):
+    return index.overflowing(part_leaves(spark, d), 30).select("node")
+
+
+@query(f"SELECT node // 50 AS node, count(*) AS entries, min(x_min) AS x_min, max(x_max) AS x_max, min(y_min) AS y_min, max(y_max) AS y_max FROM {LEAVES} GROUP BY 1")
+def adjust_ancestors(spark, d):
+    return index.node_boxes(part_leaves(spark, d).withColumn("node", F.expr("node div 50")))
+
+
+OSM_FIXTURE = """<osm><node id="-5" lat="40.5979" lon="22.9645"/><node id="7" lat="40.5985" lon="22.9650"><tag k="name" v="a"/><tag k="name" v="b"/></node><node id="9" lat="40.7" lon="22.9"><tag k="amenity" v="cafe"/></node><way id="3"><tag k="name" v="w"/></way></osm>"""
+
+
+@query()
+def osm_nodes(spark, d):
+    """Nodes of a small document, put where all executors can read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
+    path = f"{named.rstrip('/')}/tesselix-osm-fixture"
+    spark.createDataFrame([(OSM_FIXTURE,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return osm.read_osm(spark, path)
