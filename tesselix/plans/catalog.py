@@ -132,7 +132,9 @@ def text_report(spark, d):
 
 # --- scalar geometry over the leaves of part ------------------------------------------------------------------------
 
-_FIXED = g.literal_box(*BOX)
+
+def _fixed():
+    return g.literal_box(*BOX)
 
 
 def part_leaves(spark, d):
@@ -159,18 +161,18 @@ UNION = "least(x_min, CAST(10 AS DOUBLE)) AS ux0, greatest(x_max, CAST(30 AS DOU
 
 @query(f"SELECT node, {UNION} FROM {LEAVES}")
 def mbr_union(spark, d):
-    (x0, y0), (x1, y1) = g.union(g.box(), _FIXED)
+    (x0, y0), (x1, y1) = g.union(g.box(), _fixed())
     return part_leaves(spark, d).select("node", x0.alias("ux0"), x1.alias("ux1"), y0.alias("uy0"), y1.alias("uy1"))
 
 
 @query(f"SELECT node, (ux1 - ux0) * (uy1 - uy0) - (x_max - x_min) * (y_max - y_min) AS growth FROM (SELECT *, {UNION} FROM {LEAVES})")
 def mbr_enlargement(spark, d):
-    return part_leaves(spark, d).select("node", g.enlargement(g.box(), _FIXED).alias("growth"))
+    return part_leaves(spark, d).select("node", g.enlargement(g.box(), _fixed()).alias("growth"))
 
 
 @query(f"SELECT node FROM {LEAVES} WHERE x_max >= 10 AND 30 >= x_min AND y_max >= 902 AND 915 >= y_min")
 def mbr_overlaps(spark, d):
-    return part_leaves(spark, d).filter(g.overlaps(g.box(), _FIXED)).select("node")
+    return part_leaves(spark, d).filter(g.overlaps(g.box(), _fixed())).select("node")
 
 
 @query(f"SELECT node FROM {LEAVES} WHERE x_min >= 5 AND x_max <= 30 AND y_min >= 900 AND y_max <= 2500")
