@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tesselix.functions import geometry as g
-from tesselix.operators.points import DIMS, columns
+from tesselix.operators.points import DIMS, blocks, columns
 from tesselix.plans.ordering import numbered
+from tesselix.sources.storage import materialise
 
 #: Entries a node holds at most and, after a split, at least; of an overflowing node, how many would be reinserted.
 FANOUT = 50
 LEAST = 25
 REINSERTED = 15
+#: Nodes that are broadcast together.
+BLOCK = 50_000
 
 
 def leaf_of(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, method: str = "slab") -> DataFrame:
@@ -45,7 +48,7 @@ def node_boxes(members: DataFrame, node: str = "node", dims: tuple[str, ...] = D
 def levels(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, method: str = "slab") -> DataFrame:
     """All nodes, leaves at level 0: level, node, parent (null for the root), entries, box. Each level is the one below
     packed in runs of `fanout`; no points give no nodes."""
-    level, at = leaves(points, dims, id, fanout, method), 0
+    level, at = materialise(leaves(points, dims, id, fanout, method), "leaves"), 0  # one in `fanout` rows; points are sorted once
     out = None
     while True:
         n = level.count()
@@ -59,13 +62,36 @@ def levels(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fano
         level, at = node_boxes(level.withColumn("node", F.expr(f"node div {fanout}")), "node", dims), at + 1
 
 
-def choose_subtree(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id") -> DataFrame:
-    """For each point the node that grows least to take it, then the smallest, then the one of fewest entries, then the
-    first: id, node, growth. nodes are one level's, so they are few and broadcast."""
+def _growth(dims):
     own = g.box("", dims)
-    pairs = points.select(F.col(id).alias("id"), *dims).crossJoin(F.broadcast(nodes.select("node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))))
-    choice = F.min(F.struct(g.enlargement(own, g.point_box(columns(dims))).alias("growth"), g.area(own).alias("area"), "entries", "node"))
-    return pairs.groupBy("id").agg(choice.alias("_c")).select("id", "_c.node", "_c.growth")
+    return F.min(F.struct(g.enlargement(own, g.point_box(columns(dims))).alias("growth"), g.area(own).alias("area"), "entries", "node"))
+
+
+def choose_subtree(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", block: int = BLOCK) -> DataFrame:
+    """For each point the node that grows least to take it, then the smallest, then the one of fewest entries, then the
+    first: id, node, growth. All points meet all nodes: nodes go to the points in broadcast blocks of bounded size."""
+    boxes = nodes.select("node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))
+    own = points.select(F.col(id).alias("id"), *dims)
+    best = [own.crossJoin(F.broadcast(b)).groupBy("id").agg(_growth(dims).alias("_c")) for b in blocks(boxes, "node", block)]
+    all_ = best[0]
+    for b in best[1:]:
+        all_ = all_.unionByName(b)
+    if len(best) > 1:
+        all_ = all_.groupBy("id").agg(F.min("_c").alias("_c"))
+    return all_.select("id", "_c.node", "_c.growth")
+
+
+def descend(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id") -> DataFrame:
+    """The leaf of each point by the same choice made level by level from the root: id, node. A point meets the children
+    of the node it is at only, by a join on the parent."""
+    tree = materialise(nodes, "nodes")
+    at = points.select(F.col(id).alias("id"), *dims, F.lit(0).cast("bigint").alias("parent"))
+    top = tree.agg(F.max("level")).first()[0]
+    for level in range((top or 0) - 1, -1, -1):
+        children = tree.filter(F.col("level") == level).select("parent", "node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))
+        chosen = at.join(children, "parent").groupBy("id", *dims).agg(_growth(dims).alias("_c"))
+        at = chosen.select("id", *dims, F.col("_c.node").alias("parent"))
+    return at.select("id", F.col("parent").alias("node"))
 
 
 def overflowing(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:

@@ -33,3 +33,9 @@ def coords_array(df: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:
 
 def columns(dims: tuple[str, ...], prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{d}") for d in dims]
+
+
+def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """df in parts of about `most` rows at most, by a hash of the key; small ones are one part."""
+    n = -(-df.count() // most)
+    return [df] if n <= 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]

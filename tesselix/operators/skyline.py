@@ -7,11 +7,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.functions import geometry as g
-from tesselix.operators.points import DIMS, columns, live, placed
+from tesselix.operators.points import DIMS, blocks, columns, live, placed
 from tesselix.plans.ordering import running_min_before
+from tesselix.sources.storage import materialise
 
 #: Points of least sum that a first pass filters by.
 STRONG = 64
+#: Points that are broadcast together.
+BLOCK = 100_000
 
 
 def skyline(points: DataFrame, dims: tuple[str, ...] = DIMS, key: tuple[str, ...] = ("id",), duplicates: str = "all", rule: str = "all") -> DataFrame:
@@ -57,13 +60,20 @@ def undominated(rows: DataFrame, dims: tuple[str, ...]) -> DataFrame:
             best = np.array(kept).reshape(-1, len(dims))
         yield pd.DataFrame(best, columns=list(dims))
 
-    left = coords.mapInPandas(local, coords.schema)
-    other = left.select(*(F.col(d).alias(f"_o_{d}") for d in dims))
-    return left.join(other, g.dominates(columns(dims, "_o_"), columns(dims)), "left_anti")
+    left = materialise(coords.mapInPandas(local, coords.schema), "local-skylines")
+    out = left
+    for b in blocks(left, dims[0], BLOCK):
+        other = b.select(*(F.col(d).alias(f"_o_{d}") for d in dims))
+        out = out.join(F.broadcast(other), g.dominates(columns(dims, "_o_"), columns(dims)), "left_anti")
+    return out
 
 
 def dominance_counts(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id") -> DataFrame:
     """How many rows each row dominates; rows that dominate none are absent."""
     a = points.select(F.col(id).alias("id"), *(F.col(d).alias(f"_a_{d}") for d in dims))
-    b = points.select(*(F.col(d).alias(f"_b_{d}") for d in dims))
-    return a.join(b, g.dominates(columns(dims, "_a_"), columns(dims, "_b_"))).groupBy("id").agg(F.count("*").alias("dominated"))
+    counts = None
+    for part in blocks(points, id, BLOCK):
+        b = part.select(*(F.col(d).alias(f"_b_{d}") for d in dims))
+        own = a.join(F.broadcast(b), g.dominates(columns(dims, "_a_"), columns(dims, "_b_"))).groupBy("id").agg(F.count("*").alias("dominated"))
+        counts = own if counts is None else counts.unionByName(own)
+    return counts.groupBy("id").agg(F.sum("dominated").alias("dominated"))

@@ -11,6 +11,7 @@ from tesselix.functions import geometry as g, sqlfuncs
 from tesselix.operators import heap, index, knn, points as pts, ranges, skyline as sky
 from tesselix.plans import layout
 from tesselix.sources import osm, report
+from tesselix.sources.storage import fresh_path
 from tesselix.sources.tables import table
 
 BOX = ([10.0, 902.0], [30.0, 915.0])
@@ -395,6 +396,12 @@ def choose_subtree(spark, d):
     return index.choose_subtree(suppliers(spark, d), part_leaves(spark, d))
 
 
+@query(f"SELECT id, node FROM (SELECT id, node, row_number() OVER (PARTITION BY id ORDER BY {_GROWN}, (x_max - x_min) * (y_max - y_min), entries, node) AS rn FROM {SUPPLIERS}, {LEAVES}) WHERE rn = 1")
+def choose_leaf(spark, d):
+    """Level by level; the SQL meets all leaves at once, which is the same where the leaves have one parent."""
+    return index.descend(suppliers(spark, d), index.levels(parts(spark, d)))
+
+
 FIRST51 = f"(SELECT * FROM {PARTS} ORDER BY id LIMIT 51)"
 
 
@@ -452,7 +459,6 @@ OSM_FIXTURE = """<osm><node id="-5" lat="40.5979" lon="22.9645"/><node id="7" la
 @query()
 def osm_nodes(spark, d):
     """Nodes of a small document, put where all executors can read it."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints"
-    path = f"{named.rstrip('/')}/tesselix-osm-fixture"
+    path = fresh_path(spark, "osm")
     spark.createDataFrame([(OSM_FIXTURE,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     return osm.read_osm(spark, path)

@@ -143,6 +143,37 @@ def test_str_leaves_hold_their_points(spark):
     assert placed.agg(F.max("entries")).first()[0] <= 50
 
 
+def test_descent_against_a_walk(spark):
+    df = frame(spark, cloud(300))
+    nodes = index.levels(df, fanout=5)
+    tree = {(r["level"], r["node"]): r for r in nodes.collect()}
+    top = max(level for level, _ in tree)
+
+    def cost(r, x, y):
+        w, h = r["x_max"] - r["x_min"], r["y_max"] - r["y_min"]
+        grown = (max(r["x_max"], x) - min(r["x_min"], x)) * (max(r["y_max"], y) - min(r["y_min"], y))
+        return (grown - w * h, w * h, r["entries"], r["node"])
+
+    new = cloud(40, seed=2)
+    want = {}
+    for i, (x, y) in enumerate(new):
+        node = 0
+        for level in range(top - 1, -1, -1):
+            node = min((r for (lv, _), r in tree.items() if lv == level and r["parent"] == node), key=lambda r: cost(r, x, y))["node"]
+        want[i] = node
+    assert {r["id"]: r["node"] for r in index.descend(frame(spark, new), nodes).collect()} == want
+
+
+def test_blocks_change_nothing(spark, monkeypatch):
+    df, q = frame(spark, cloud(120)), frame(spark, cloud(15, seed=3))
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    leaves = index.leaves(df, fanout=4)
+    three = df.withColumn("z", F.col("x") * F.col("y") % 7)
+    plain = rows(index.choose_subtree(q, leaves)), rows(sky.dominance_counts(df)), rows(sky.undominated(three, ("x", "y", "z")))
+    monkeypatch.setattr(sky, "BLOCK", 20)
+    assert plain == (rows(index.choose_subtree(q, leaves, block=7)), rows(sky.dominance_counts(df)), rows(sky.undominated(three, ("x", "y", "z"))))
+
+
 def test_split_groups(spark):
     entries = frame(spark, cloud(51)).select("id", F.lit(0).alias("node"), F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
     got = index.split(entries).groupBy("group_no").count().collect()
