@@ -1,4 +1,4 @@
-"""Shared pieces: the cluster's shared folder, materialised tables, gapless positions and byte-level words.
+"""Shared pieces: gapless positions and byte-level words.
 
 Texts reach Python as Arrow batches and are worked on as one byte buffer per slice of bounded size, so
 that word splitting, hashing and counting are numpy passes instead of loops over words.
@@ -6,12 +6,15 @@ that word splitting, hashing and counting are numpy passes instead of loops over
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, functions as F, Window
+
+from tesselix.sources.storage import fresh_path, materialise
+
+__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "materialise", "mix", "powers", "ragged", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "words"]
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
 SLICE_BYTES = 1 << 21
@@ -28,34 +31,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset (local runs)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/tesselix/{what}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop.getParent())
-    fs.deleteOnExit(hadoop)
-    return path
-
-
-def materialise(df: DataFrame, what: str = "table") -> DataFrame:
-    """Writes df once as Parquet in the shared folder and reads it back: lineage ends here and lost executors cost nothing."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
