@@ -89,7 +89,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
 
 
-def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, factors: int = 4, rounds: int = 400, rate: float = 0.05, decay: float = 5e-4) -> Machine:
+def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, factors: int = 4, rounds: int = 250, rate: float = 0.05, decay: float = 5e-4) -> Machine:
     """Adam on the logistic loss with weight decay; equal sets of terms are one row with a weight."""
     rows: dict[bytes, list] = {}
     for s, y in zip(sets, toxic, strict=True):
@@ -98,22 +98,24 @@ def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray,
     x = np.zeros((len(rows), len(buckets)), np.float32)
     for i, (s, _, _) in enumerate(rows.values()):
         x[i, s] = 1
-    neg, pos = (np.array([r[k] for r in rows.values()], np.float64) for k in (1, 2))
+    neg, pos = (np.array([r[k] for r in rows.values()], np.float32) for k in (1, 2))
     total = neg.sum() + pos.sum()
     rng = np.random.default_rng(1)
-    params = [np.array([np.log((pos.sum() + 1) / (neg.sum() + 1))]), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), factors))]
+    start = [np.array([np.log((pos.sum() + 1) / (neg.sum() + 1))]), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), factors))]
+    params = [p.astype(np.float32) for p in start]
     m, s2 = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, rounds + 1):
         bias, w, v = params
         xv = x @ v
-        z = bias + x @ w + ((xv**2).sum(1) - x @ (v * v).sum(1)) / 2
+        z = bias + ((xv**2).sum(1) + x @ (2 * w - (v * v).sum(1))) / 2
         g = ((pos + neg) / (1 + np.exp(-np.clip(z, -30, 30))) - pos) / total
-        xg = x.T @ g
-        for k, grad in enumerate((np.array([g.sum()]), xg + decay * w, x.T @ (g[:, None] * xv) - xg[:, None] * v + decay * v)):
+        both = x.T @ np.column_stack([g, g[:, None] * xv])  # all gradients in one product
+        xg = both[:, 0]
+        for k, grad in enumerate((g.sum(keepdims=True), xg + decay * w, both[:, 1:] - xg[:, None] * v + decay * v)):
             m[k] = 0.9 * m[k] + 0.1 * grad
             s2[k] = 0.999 * s2[k] + 0.001 * grad**2
             params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s2[k] / (1 - 0.999**step)) + 1e-8)
-    return Machine(buckets, float(params[0][0]), params[1], params[2])
+    return Machine(buckets, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
 
 
 def learnable(id_col: str = "doc_id"):
