@@ -81,13 +81,13 @@ def choose_subtree(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] =
     return all_.select("id", "_c.node", "_c.growth")
 
 
-def descend(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id") -> DataFrame:
-    """The leaf of each point by the same choice made level by level from the root: id, node. A point meets the children
-    of the node it is at only, by a join on the parent."""
+def descend(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", to_level: int = 0) -> DataFrame:
+    """The leaf of each point (or its node at `to_level`) by the same choice made level by level from the root: id,
+    node. A point meets the children of the node it is at only, by a join on the parent."""
     tree = materialise(nodes, "nodes")
     at = points.select(F.col(id).alias("id"), *dims, F.lit(0).cast("bigint").alias("parent"))
     top = tree.agg(F.max("level")).first()[0]
-    for level in range((top or 0) - 1, -1, -1):
+    for level in range((top or 0) - 1, to_level - 1, -1):
         children = tree.filter(F.col("level") == level).select("parent", "node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))
         chosen = at.join(children, "parent").groupBy("id", *dims).agg(_growth(dims).alias("_c"))
         at = chosen.select("id", *dims, F.col("_c.node").alias("parent"))
@@ -151,3 +151,16 @@ def reinsert_candidates(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: st
 def insert(points: DataFrame, new: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, method: str = "slab") -> DataFrame:
     """The levels after new points have come in: inserts are batches, and a batch is laid out anew."""
     return levels(points.unionByName(new), dims, id, fanout, method)
+
+
+def write_nodes(nodes: DataFrame, path: str) -> None:
+    nodes.write.mode("overwrite").parquet(path)
+
+
+def read_node(nodes: DataFrame, level: int, node: int) -> DataFrame:
+    """The entries of a node: the nodes below it (none for a leaf, whose entries are points)."""
+    return nodes.filter((F.col("level") == level - 1) & (F.col("parent") == node))
+
+
+def leaf_nodes(nodes: DataFrame) -> DataFrame:
+    return nodes.filter("level = 0")

@@ -10,11 +10,12 @@ DIMS = ("x", "y")
 
 
 def points_from(df: DataFrame, coords: dict[str, str | Column], id: str | None = None, name: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Rows as points. Rows with a null or NaN coordinate are left out, as no query can place them; -0.0 becomes 0.0."""
+    """Rows as points. Rows with a null or NaN coordinate are left out, as no query can place them. Coordinates stay
+    bare columns (a stored -0.0 too, which equals 0.0 everywhere): filters on them reach the scan."""
     as_col = lambda c: F.col(c) if isinstance(c, str) else c
     columns = [F.col(id).cast("bigint").alias("id")] if id else []
     columns += [F.col(name).alias("name")] if name else []
-    columns += [F.col(k) for k in keep] + [(as_col(c).cast("double") + F.lit(0.0)).alias(d) for d, c in coords.items()]
+    columns += [F.col(k) for k in keep] + [as_col(c).cast("double").alias(d) for d, c in coords.items()]
     return placed(df.select(*columns), tuple(coords))
 
 
@@ -39,3 +40,12 @@ def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     """df in parts of about `most` rows at most, by a hash of the key; small ones are one part."""
     n = -(-df.count() // most)
     return [df] if n <= 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]
+
+
+def sampled(df: DataFrame, n: int, seed: int = 0, order: tuple[str, ...] = ("id",)) -> DataFrame:
+    """n rows drawn evenly, with replacement, and the draw's number; the same seed draws the same rows."""
+    from tesselix.plans.ordering import numbered
+
+    total = df.count()
+    draws = df.sparkSession.range(n if total else 0).select(F.col("id").alias("draw"), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))) + 1).alias("_rn"))
+    return numbered(df, list(order), "_rn").join(draws, "_rn").drop("_rn")

@@ -453,6 +453,37 @@ def adjust_ancestors(spark, d):
     return index.node_boxes(part_leaves(spark, d).withColumn("node", F.expr("node div 50")))
 
 
+@query(f"SELECT level, node, entries FROM ({_levels(ORDERS)}) WHERE level = 0 AND parent = 2")
+def node_lookup(spark, d):
+    """The entries of node 2 of level 1, from the stored table."""
+    path = fresh_path(spark, "nodes")
+    index.write_nodes(index.levels(orders(spark, d)), path)
+    return index.read_node(spark.read.parquet(path), 1, 2).select("level", "node", "entries")
+
+
+@query(f"SELECT node, entries FROM {LEAVES}")
+def leaf_entries(spark, d):
+    return index.leaf_nodes(index.levels(parts(spark, d))).select("node", "entries")
+
+
+@query("SELECT CAST(100 AS BIGINT) AS draws, true AS known")
+def point_sampler(spark, d):
+    drawn = pts.sampled(parts(spark, d), 100, 7).join(parts(spark, d).select("id", F.lit(1).alias("k")), "id", "left")
+    return drawn.agg(F.count("*").alias("draws"), (F.count("k") == F.count("*")).alias("known"))
+
+
+@query(f"SELECT id, x, y FROM {PARTS} WHERE {INSIDE}")
+def range_clustered(spark, d):
+    path = fresh_path(spark, "clustered")
+    layout.write_clustered(parts(spark, d), path)
+    return ranges.range_query(layout.read_clustered(spark, path), *BOX).select("id", "x", "y")
+
+
+@query(_undominated(PARTS))
+def skyline_two_phase(spark, d):
+    return sky.skyline(layout.skyline_prefix(parts(spark, d)))
+
+
 OSM_FIXTURE = """<osm><node id="-5" lat="40.5979" lon="22.9645"/><node id="7" lat="40.5985" lon="22.9650"><tag k="name" v="a"/><tag k="name" v="b"/></node><node id="9" lat="40.7" lon="22.9"><tag k="amenity" v="cafe"/></node><way id="3"><tag k="name" v="w"/></way></osm>"""
 
 
