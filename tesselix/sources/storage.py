@@ -18,13 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, removed when the session's JVM ends."""
+    """A new path in the shared folder, with its scheme, removed when the session's JVM ends."""
     path = f"{shared_dir(spark)}/tesselix/{what}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(hadoop.getParent())
     fs.deleteOnExit(hadoop)
-    return path
+    return fs.makeQualified(hadoop).toString()
 
 
 def materialise(df: DataFrame, what: str = "table") -> DataFrame:
