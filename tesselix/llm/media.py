@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
-import uuid
 import zlib
 
 import numpy as np
@@ -21,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import fresh_path, materialise, slices, text_or_empty
-from tesselix.llm.simple8b import store
+from tesselix.llm.files import Writer, store
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
@@ -73,29 +72,26 @@ def png_samples(data: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
-class Shard:
-    """A tar file being written; it takes its name when it is whole."""
+class Shard(Writer):
+    """A tar file being written."""
 
     def __init__(self, folder: str, name: str):
-        self.fs, path = store(folder)
-        self.fs.create_dir(path, recursive=True)
-        self.path = f"{path}/{name}-{uuid.uuid4().hex[:12]}.tar"
-        self.out, self.size = self.fs.open_output_stream(f"{self.path}.part"), 0
+        super().__init__(folder, name, ".tar")
+        self.size = 0
 
     def add(self, name: str, data: bytes) -> int:
         """The offset of the data."""
         info = tarfile.TarInfo(name)
         info.size = len(data)
         head = info.tobuf(tarfile.USTAR_FORMAT)
-        self.out.write(head + data + bytes(-len(data) % 512))
+        self.write(head + data + bytes(-len(data) % 512))
         offset = self.size + len(head)
         self.size = offset + len(data) + -len(data) % 512
         return offset
 
-    def close(self) -> None:
-        self.out.write(bytes(1024))
-        self.out.close()
-        self.fs.move(f"{self.path}.part", self.path)
+    def close(self) -> str:
+        self.write(bytes(1024))
+        return super().close()
 
 
 ROW = "n_bytes bigint, digest string, shard string, offset bigint, length bigint"
@@ -119,7 +115,7 @@ def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
                     shard = shard or Shard(folder, f"shard-{part:06d}-{nth:04d}")
                     stored = png(padded(text))
                     digest = hashlib.sha256(stored).hexdigest()
-                    known[key] = (len(text), digest, shard.path, shard.add(f"{digest}.png", stored), len(stored))
+                    known[key] = (len(text), digest, shard.uri, shard.add(f"{digest}.png", stored), len(stored))
                 found.append(known[key])
                 if shard and shard.size >= shard_bytes:  # whole shards are done with; a content may be in the next one again
                     shard.close()
