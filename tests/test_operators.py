@@ -82,6 +82,29 @@ def test_pruning_leaves_few(spark):
     assert layout.pruned_leaves(boxes, (50.0, 50.0), 5).count() <= 10
 
 
+def test_more_radius_more_hits_and_prefixes_of_neighbours(spark):
+    df = frame(spark, cloud(500))
+    counts = [ranges.range_query(df, *ranges.square((50.0, 50.0), r)).count() for r in (0.0, 1.0, 5.0, 20.0, 100.0)]
+    assert counts == sorted(counts) and counts[-1] == 500
+    far = [(r["id"], r["dist"]) for r in knn.knn(df, (50.0, 50.0), 30).orderBy("rank").collect()]
+    assert [d for _, d in far] == sorted(d for _, d in far)
+    assert [(r["id"], r["dist"]) for r in knn.knn(df, (50.0, 50.0), 7).orderBy("rank").collect()] == far[:7]
+
+
+def test_sampler_is_repeatable_and_draws_known_rows(spark):
+    df = frame(spark, cloud(20))
+    draw = lambda: sorted((r["draw"], r["id"]) for r in pts.sampled(df, 50, 3).collect())
+    assert draw() == draw() and len(draw()) == 50 and {i for _, i in draw()} <= set(range(20))
+    assert pts.sampled(df.limit(0), 5).count() == 0
+
+
+def test_nodes_are_stored_and_read(spark, tmp_path):
+    index.write_nodes(index.levels(frame(spark, cloud(200)), fanout=5), str(tmp_path / "n"))
+    nodes = spark.read.parquet(str(tmp_path / "n"))
+    assert index.leaf_nodes(nodes).count() == 40
+    assert index.read_node(nodes, 1, 0).count() == 5 and index.read_node(nodes, 0, 0).count() == 0
+
+
 def test_knn_join_in_blocks(spark):
     df = frame(spark, cloud(200))
     queries = df.select(F.col("id").alias("qid"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
