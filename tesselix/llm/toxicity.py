@@ -89,7 +89,7 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
 
 
-def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, factors: int = 4, rounds: int = 250, rate: float = 0.05, decay: float = 5e-4) -> Machine:
+def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, factors: int = 4, rounds: int = 250, rate: float = 0.05, decay: float = 1e-5) -> Machine:
     """Adam on the logistic loss with weight decay; equal sets of terms are one row with a weight."""
     rows: dict[bytes, list] = {}
     for s, y in zip(sets, toxic, strict=True):
