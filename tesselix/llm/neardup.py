@@ -8,16 +8,17 @@ the larger weights) is `similarity` or more; classes are the connected component
 Equal texts are one node from the start, so copies never meet. SAMPLES improved consistent weighted samples a text
 agree each with a probability equal to the similarity; BANDS bands of them put nodes into buckets (at a similarity of
 0.8 all bands miss a pair with probability 0.0002, at 0.85 with 0.000007). In each bucket one pivot is verified against
-every other member by the exact similarity. Members of buckets that still hold several classes are verified against
-more and more pivots, in rounds, until every pair of a bucket has been verified or is in one class. Pivots meet the
-members in groups of bounded size; pairs are compared inside the tasks and only links leave them.
+every other member by the exact similarity. What buckets then still hold several classes of is settled pair by pair:
+nodes that such buckets connect are a family, families are dealt to groups of two chunks of bounded size each, and every
+two nodes of a group that share a bucket and are of different classes are verified. The largest class of a family meets
+the others only, never itself. Pairs are compared inside the tasks; only links leave them.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import ALNUM, LOWER, materialise, mix, shingle_hashes, slices, span_hashes, text_or_empty, words
 from tesselix.llm.components import components
@@ -26,8 +27,8 @@ SHINGLE = 5
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 WORDS = 1 << 16
-#: Members that meet a pivot in one group.
-GROUP = 256
+#: Members that meet a pivot in one group, and nodes of a family in one chunk.
+GROUP = 512
 _NO_ID = -(1 << 63)
 
 
@@ -149,13 +150,14 @@ def similarity_of(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
 
 
 def _links(groups: DataFrame, idf, similarity: float) -> DataFrame:
-    """groups: group, role (0: pivot, 1: member), node, class, text. Verified links (a, b) between unequal classes, as
-    many as join the classes met in a group. Rows of a group lie together, pivots first; one batch is held at a time."""
+    """groups: group, role, own, node, class, bands, _text. Rows of role 0 are verified against rows of role 1 and, where
+    `own` holds, against each other, if they share a band and their classes differ. Gives links (a, b), as many as join
+    the classes met in a group. Rows of a group lie together, those of role 0 first, which alone are held."""
     rows = groups.repartition("group").sortWithinPartitions("group", "role", "node")
 
     def run(batches):
         weights = idf.value
-        current, pivots, root = None, [], {}
+        current, first, sets, classes, bands, n, root = None, [], [], [], np.zeros((0, BANDS), np.int64), 0, {}
 
         def find(x):
             while root.get(x, x) != x:
@@ -164,26 +166,57 @@ def _links(groups: DataFrame, idf, similarity: float) -> DataFrame:
 
         for got, buf, offs in slices(batches, "_text"):
             shingles, weight, at = weighted_shingles(buf, offs, weights)
+            of = got.column(5)
+            keys = of.flatten().to_numpy().reshape(-1, BANDS)
             out = []
-            for i, (group, role, node, cls) in enumerate(zip(*(got.column(k).to_pylist() for k in range(4)), strict=True)):
+            for i, (group, role, own, node, cls) in enumerate(zip(*(got.column(k).to_pylist() for k in range(5)), strict=True)):
                 if group != current:
-                    current, pivots, root = group, [], {}
-                own = (shingles[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
-                for other, other_cls, theirs in pivots:
-                    if other != node and find(other_cls) != find(cls) and len(own[0]) and len(theirs[0]) and similarity_of(*theirs, *own) >= similarity:
-                        root[find(cls)] = find(other_cls)
-                        out.append((other, node))
-                if role == 0:
-                    pivots.append((node, cls, (own[0].copy(), own[1].copy())))
+                    current, first, sets, classes, n, root = group, [], [], [], 0, {}
+                mine = (shingles[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
+                if role or own:
+                    for k in np.flatnonzero((bands[:n] == keys[i]).any(1)).tolist():
+                        a, b = find(classes[k]), find(cls)
+                        if a != b and similarity_of(*sets[k], *mine) >= similarity:
+                            root[b] = a
+                            out.append((first[k], node))
+                if not role:
+                    if n == len(bands):
+                        bands = np.concatenate([bands, np.zeros((max(n, 16), BANDS), np.int64)])
+                    bands[n] = keys[i]
+                    n += 1
+                    first.append(node)
+                    classes.append(cls)
+                    sets.append((mine[0].copy(), mine[1].copy()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("group", "role", "node", "class", "_text").mapInArrow(run, "a binary, b binary")
-
-
-def _class_of(nodes: DataFrame, found: DataFrame | None) -> DataFrame:
+    return rows.select("group", "role", "own", "node", "class", "bands", "_text").mapInArrow(run, "a binary, b binary")
+
+
+def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """The groups that settle what buckets hold several classes of beside their pivots: group, role, own, node, class."""
+    now = members.filter("node <> pivot").select("bucket", "node").join(classes, "node")
+    open_ = now.groupBy("bucket").agg(F.min("class").alias("l"), F.max("class").alias("h"), F.min("node").alias("hub")).filter("l < h").select("bucket", "hub")
+    edges = now.select("bucket", "node").join(open_, "bucket").select("hub", "node").distinct()
+    families = materialise(components(edges, "hub", "node").select("node", F.col("root").alias("family")).join(classes, "node"), "families")
+    sizes = families.groupBy("family", "class").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("all"))
+    chunks = lambda n: F.ceil(n / F.lit(GROUP))
+    sizes = sizes.select("family", F.col("m.class").alias("major"), chunks(F.col("all") - F.col("m.n")).alias("minors"), chunks(F.col("m.n")).alias("majors")).filter("minors > 0")
+    # a hot family is one row of sizes and many nodes: a join that AQE splits
+    dealt = families.join(sizes, "family").withColumn("large", F.col("class") == F.col("major"))
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("majors")).otherwise(F.col("minors"))))
+    others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("o")
+    low, high = F.least("chunk", "o"), F.greatest("chunk", "o")
+    minor = dealt.filter("not large")
+    row = lambda kind, a, b, role, own: (F.xxhash64("family", F.lit(kind), a, b).alias("group"), role.cast("int").alias("role"), own.alias("own"), "node", "class")
+    among = minor.select("*", others("minors")).select(*row(0, low, high, F.col("chunk") > F.col("o"), F.col("chunk") == F.col("o")))
+    left = minor.select("*", others("majors")).select(*row(1, F.col("chunk"), F.col("o"), F.lit(0), F.lit(False)))
+    right = dealt.filter("large").select("*", others("minors")).select(*row(1, F.col("o"), F.col("chunk"), F.lit(1), F.lit(False)))
+    return among.unionByName(left).unionByName(right)
+
+
+def _class_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """nodes (node, class) with the classes that `found` (node, root) has joined."""
-    if found is None:
-        return nodes
     return materialise(nodes.join(found.select(F.col("node").alias("class"), "root"), "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
 
 
@@ -213,41 +246,24 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     rows = materialise(named.mapInArrow(sketch, "_id bigint, node binary, bands array<bigint>"), "sketches")
     nodes = materialise(rows.groupBy("node").agg(F.min("_id").alias("_id"), F.count("*").alias("rows"), F.first("bands").alias("bands")), "nodes")
 
-    placed = nodes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))  # a bucket with a third of all nodes: one row of `buckets`, and a join that AQE splits
     buckets = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
     members = materialise(placed.join(buckets, "bucket").select("bucket", "node", "pivot"), "members")
     # The texts in question, one row each; ids are in the join's key so that a hot text's copies are spread.
-    involved = members.select("node").distinct().join(nodes.select("node", "_id"), "node")
-    texts = materialise(named.join(involved, ["_id", "node"]).dropDuplicates(["node"]).select("node", "_text"), "texts")
+    involved = members.select("node").distinct().join(nodes.select("node", "_id", "bands"), "node")
+    texts = materialise(named.join(involved, ["_id", "node"]).dropDuplicates(["node"]).select("node", "bands", "_text"), "texts")
 
     pairs = members.filter("node <> pivot").select("pivot", "node").distinct()
     parts = pairs.groupBy("pivot").agg((F.count("*") / GROUP + 1).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "pivot").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    met = dealt.select(F.xxhash64("pivot", "part").alias("group"), F.lit(1).alias("role"), "node", "pivot")
-    ends = met.unionByName(dealt.select(F.xxhash64("pivot", "part").alias("group"), F.lit(0).alias("role"), F.col("pivot").alias("node"), "pivot").distinct())
-    links = _links(ends.join(texts, "node").withColumn("class", F.col("node")), idf, similarity)
+    dealt = pairs.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("group"), "pivot", "node")
+    ends = dealt.select("group", F.lit(1).alias("role"), "node").unionByName(dealt.select("group", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct())
+    ends = ends.select("group", "role", F.lit(False).alias("own"), "node", F.col("node").alias("class"))
+    links = _links(ends.join(texts, "node"), idf, similarity)
     classes = _class_of(texts.select("node", F.col("node").alias("class")), components(materialise(links, "verified")))
-
-    # Rounds: buckets that hold several classes beside the pivots they have had. Equal sets of members are one bucket.
-    whole = members.filter("node <> pivot").groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.sum(F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40))).alias("y"))
-    single = whole.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).filter("n > 1").select("bucket")
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("bucket", "node"), "node")
-    left, pivots = members.filter("node <> pivot").select("bucket", "node").join(single, "bucket", "left_semi"), 4
-    while True:
-        now = left.join(classes, "node")
-        open_ = now.groupBy("bucket").agg(F.min("class").alias("l"), F.max("class").alias("h"), F.count("*").alias("n")).filter("l < h").select("bucket", "n")
-        now = materialise(now.join(open_, "bucket").select("bucket", "node", "class", "n", F.row_number().over(order).alias("rank")), "open")
-        if now.isEmpty():
-            break
-        split = (F.col("n") / GROUP + 1).cast("int")
-        own = now.filter(f"rank > {pivots}").select(F.xxhash64("bucket", F.pmod(F.xxhash64("node"), split)).alias("group"), F.lit(1).alias("role"), "node", "class")
-        first = now.filter(f"rank <= {pivots}").select(F.explode(F.sequence(F.lit(0), split - 1)).alias("part"), "*").select(F.xxhash64("bucket", F.col("part").cast("long")).alias("group"), F.lit(0).alias("role"), "node", "class")
-        links = materialise(_links(own.unionByName(first).join(texts, "node"), idf, similarity), "verified")
-        to_class = classes.select(F.col("node").alias("a"), F.col("class").alias("ca"))
-        joined = links.join(to_class, "a").join(classes.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b").select("ca", "cb")
-        classes = _class_of(classes, components(joined, "ca", "cb"))
-        left = now.filter(f"rank > {pivots}").select("bucket", "node")
-        pivots *= 4
+    links = materialise(_links(_families(members, classes).join(texts, "node"), idf, similarity), "verified")
+    to_class = classes.select(F.col("node").alias("a"), F.col("class").alias("ca"))
+    joined = links.join(to_class, "a").join(classes.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b").select("ca", "cb")
+    classes = _class_of(classes, components(joined, "ca", "cb"))
 
     labelled = nodes.select("node", "_id", "rows").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     summed = labelled.groupBy("class").agg(F.min("_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(F.struct("_id", "node")).alias("_best"))

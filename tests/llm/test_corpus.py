@@ -6,6 +6,7 @@ import sys
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
 from pyspark import cloudpickle
@@ -106,8 +107,10 @@ def test_near_duplicates_against_all_pairs(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
 
 
-def test_chains_in_a_bucket_are_found(spark, monkeypatch):
-    """One band that always matches: all texts are one bucket, so links come from rounds of pivots alone."""
+@pytest.mark.parametrize("group", [4, 512])
+def test_chains_in_a_bucket_are_found(spark, monkeypatch, group):
+    """Bands that always match: all texts are one bucket and one family, in one chunk or in several."""
+    monkeypatch.setattr(neardup, "GROUP", group)
     rng, words = random.Random(4), vocabulary(3000)
     chain = [prose(rng, 120, words).split()]
     for _ in range(14):  # each near the one before, far from the first
