@@ -6,6 +6,7 @@ that word splitting, hashing and counting are numpy passes instead of loops over
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,10 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from tesselix.sources.storage import fresh_path, materialise
 
-__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "materialise", "mix", "powers", "ragged", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "words"]
+__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "materialise", "mix", "powers", "ragged", "release", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "words"]
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 SLICE_ROWS = 1 << 16
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,7 +50,8 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, buckets:
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Cuts batches into runs of rows with at most `most` bytes of text: (rows, bytes, offsets of the texts in them)."""
+    """Cuts batches into runs of rows with at most `most` bytes of text: (rows, bytes, offsets of the texts in them). At
+    a task's end the worker, which Spark keeps, gives back the memory it has freed."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         texts = texts.cast(pa.large_string()).fill_null("")
@@ -63,6 +65,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
             to = min(max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1), at + SLICE_ROWS)
             yield batch.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+    release()
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
 
 
 def words(buf: np.ndarray, offs: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
