@@ -12,18 +12,19 @@ of a text's id); per block and once more the word it starts at; per text its ids
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tesselix.llm.common import fresh_path, materialise, text_or_empty
+from tesselix.llm.files import store, write_file
 from tesselix.llm.tokens import encoded
 
 MAGIC = b"TSLX8B01"
 BLOCK = 512
+#: Blocks that are coded together.
+AT_ONCE = 1024
 # Fixed values of the code: ids in a word and bits of each, by selector. Selector 0 is the escape.
 COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
@@ -33,9 +34,20 @@ FILE_IDS = 1 << 22
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(words, the word at which each block starts and the number of words, escapes)."""
+    words, offsets, escapes, at, n = [], [np.zeros(1, np.uint64)], [], 0, 0
+    for i in range(0, len(ids), AT_ONCE * BLOCK):
+        own, places, rare = _encode(ids[i : i + AT_ONCE * BLOCK], n)
+        words.append(own)
+        offsets.append(places[1:] + np.uint64(at))
+        escapes.append(rare)
+        at, n = at + len(own), n + len(rare)
+    none = [np.zeros(0, np.uint64)]
+    return np.concatenate(words or none), np.concatenate(offsets), np.concatenate(escapes or none)
+
+
+def _encode(ids: np.ndarray, escaped_before: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """encode() of some blocks, ids in all but the last of them full."""
     n_blocks = -(-len(ids) // BLOCK)
-    if not n_blocks:
-        return np.zeros(0, np.uint64), np.zeros(1, np.uint64), np.zeros(0, np.uint64)
     wide = BLOCK + int(COUNTS.max())
     values = np.zeros((n_blocks, wide), np.uint64)
     full = np.zeros(n_blocks * BLOCK, np.uint64)
@@ -76,7 +88,7 @@ def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         words[place[own]] = word
     escaped = np.flatnonzero(s == 0)
     escaped = escaped[np.argsort(place[escaped])]
-    words[place[escaped]] = np.arange(len(escaped), dtype=np.uint64)
+    words[place[escaped]] = np.arange(escaped_before, escaped_before + len(escaped), dtype=np.uint64)
     return words, offsets.astype(np.uint64), flat[first[escaped]]
 
 
@@ -132,26 +144,6 @@ def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, list]:
     return ids, lengths.astype(np.int64), [None if z else int(k) for z, k in zip(nulls, key, strict=True)]
 
 
-def store(uri: str):
-    """(file system, path) of a path as Spark names it, for use in tasks."""
-    from pyarrow import fs
-
-    if "://" not in uri and not uri.startswith("file:"):
-        return fs.LocalFileSystem(), uri
-    return (fs.LocalFileSystem(), uri[5:].replace("//", "", 1) if uri.startswith("file://") else uri[5:]) if uri.startswith("file:") else fs.FileSystem.from_uri(uri)
-
-
-def write_file(folder: str, name: str, data: bytes) -> str:
-    """Writes under another name, then moves: a file is there whole or not at all. Each attempt has its own name."""
-    fs, path = store(folder)
-    fs.create_dir(path, recursive=True)
-    whole = f"{path}/{name}-{uuid.uuid4().hex[:12]}"
-    with fs.open_output_stream(f"{whole}.part") as out:
-        out.write(data)
-    fs.move(f"{whole}.part", whole)
-    return whole
-
-
 def write_ids(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the ids of all texts, each followed by `end`, in ascending order of id_col (an integer) to files in the
     shared folder, and returns the files: part, nth, file, texts, n_ids, first_id (ids in the files before it).
