@@ -28,13 +28,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import NOT_WHITE, fresh_path, materialise, mix, powers, ragged, slices, span_hashes, words
-from tesselix.llm.simple8b import store, write_file
+from tesselix.llm.files import store, write_file
 
 WINDOW = 50
 GRAM = 10
 #: Bytes of text in a bucket; a longer text is a bucket by itself.
-BUCKET_BYTES = 6 << 20
-MOST_TASKS = 20_000
+BUCKET_BYTES = 4 << 20
+MOST_TASKS = 100_000
 _BASE = 0xC2B2AE3D27D4EB4F
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -139,8 +139,8 @@ def anchors(buckets: DataFrame) -> DataFrame:
 
 
 def locate(own: Bucket, recurring: np.ndarray) -> Iterator[tuple]:
-    """Compiles the bucket's recurring anchors, streams its texts, and gives the segments around what is located:
-    (text's number, doc_id, first word in the text, windows, hash of the anchor, of the segment, of each window)."""
+    """Compiles the bucket's recurring anchors, streams its texts, and gives the segments around what is located, once
+    a text: (text's number, doc_id, first words in the text, windows, hash of the anchor, of the segment, of each window)."""
     import ahocorasick
 
     first, anchor = own.windows()
@@ -166,7 +166,7 @@ def locate(own: Bucket, recurring: np.ndarray) -> Iterator[tuple]:
     text = np.searchsorted(own.at, first[begin], "right") - 1
     spans = own.hashes(first[begin], n + WINDOW - 1).view(np.int64)
     each = own.hashes(first, WINDOW).view(np.int64)
-    keys = {}
+    keys, same = {}, {}
     for k, (b, a) in enumerate(zip(begin.tolist(), anchor[begin].tolist(), strict=True)):
         phrase = own.data[own.starts[a] : own.ends[a + GRAM - 1]]
         key = keys.get(phrase)
@@ -174,10 +174,14 @@ def locate(own: Bucket, recurring: np.ndarray) -> Iterator[tuple]:
             key = keys[phrase] = hashlib.blake2b(phrase, digest_size=16).digest()
         t = int(text[k])
         # the segment's hash holds where the anchor is in it: equal phrases at unequal places are unequal segments
-        yield t, own.ids[t], int(first[b] - own.at[t]), int(n[k]), key + int(a - first[b]).to_bytes(4, "little"), int(spans[k]), each[b : b + n[k]]
+        key = key + int(a - first[b]).to_bytes(4, "little")
+        starts, _, _ = same.setdefault((t, key, int(spans[k])), ([], int(n[k]), each[b : b + n[k]]))
+        starts.append(int(first[b] - own.at[t]))
+    for (t, key, span), (starts, count, hashes) in same.items():
+        yield t, own.ids[t], starts, count, key, span, hashes
 
 
-SEGMENT = "bucket bigint, nth int, doc_id bigint, start int, n int, anchor binary, segment bigint, windows array<bigint>"
+SEGMENT = "bucket bigint, nth int, doc_id bigint, starts array<int>, n int, anchor binary, segment bigint, windows array<bigint>"
 
 
 def segments(buckets: DataFrame, recurring: DataFrame) -> DataFrame:
@@ -189,17 +193,18 @@ def segments(buckets: DataFrame, recurring: DataFrame) -> DataFrame:
             rows += [(bucket, *x) for x in locate(Bucket(file), np.unique(grams.column("gram").to_numpy()))]
         cut = np.concatenate([[0], np.cumsum([r[4] for r in rows], dtype=np.int64)]).astype(np.int32)
         windows = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[7] for r in rows]) if rows else np.zeros(0, np.int64)))
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64()]
-        return pa.table([*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), windows], ["bucket", "nth", "doc_id", "start", "n", "anchor", "segment", "windows"])
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64()]
+        return pa.table([*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), windows], ["bucket", "nth", "doc_id", "starts", "n", "anchor", "segment", "windows"])
 
     return buckets.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(run, SEGMENT)
 
 
 def covered(found: DataFrame) -> DataFrame:
-    """Per segment of a text that has windows to remove: bucket, nth, start, n, mask (a bit a window)."""
+    """Per segment of a text that has windows to remove: bucket, nth, starts, n, mask (a bit a window)."""
     owners = found.groupBy("anchor", "segment").agg(F.min("doc_id").alias("owner"), F.first("n").alias("n"))
     owners = materialise(owners, "owners")
     contested = owners.groupBy(F.substring("anchor", 1, 16).alias("phrase")).agg(F.count("*").alias("segments")).filter("segments > 1").select("phrase")
+    contested = materialise(contested, "phrases")  # so that a phrase which is everywhere is a split join's key below
     shared = found.select(F.substring("anchor", 1, 16).alias("phrase"), "anchor", "segment", "doc_id", "windows").join(contested, "phrase", "left_semi")
     shared = materialise(shared.groupBy("anchor", "segment").agg(F.min(F.struct("doc_id", "windows")).alias("o")).select("anchor", "segment", "o.*"), "contested")
     single = shared.select("anchor", "segment", "doc_id", F.posexplode("windows").alias("i", "window")).withColumn("phrase", F.substring("anchor", 1, 16))
@@ -208,8 +213,8 @@ def covered(found: DataFrame) -> DataFrame:
     everything = F.expr("shiftleft(1L, n) - 1")
     known = owners.join(theirs, ["anchor", "segment"], "left").select("anchor", "segment", "owner", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
     # A hot segment (a passage in a third of all documents) is one row here and many there; AQE splits that join.
-    hit = found.select("bucket", "nth", "doc_id", "start", "n", "anchor", "segment").join(known, ["anchor", "segment"])
-    return hit.select("bucket", "nth", "start", "n", F.when(F.col("doc_id") > F.col("owner"), everything).otherwise(F.col("mask")).alias("mask")).filter("mask <> 0")
+    hit = found.select("bucket", "nth", "doc_id", "starts", "n", "anchor", "segment").join(known, ["anchor", "segment"])
+    return hit.select("bucket", "nth", "starts", "n", F.when(F.col("doc_id") > F.col("owner"), everything).otherwise(F.col("mask")).alias("mask")).filter("mask <> 0")
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,7 +228,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # By number, so that buckets stay spread out: their rows here are small, their files are not.
     tasks = min(2 * buckets.count() + 1, MOST_TASKS)
     buckets = buckets.select("bucket", "file").repartition(tasks, "bucket")
-    cells = anchors(buckets).repartition("gram")
+    cells = materialise(anchors(buckets), "anchors")
     recurring = cells.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("gram")
     found = materialise(segments(buckets, cells.join(recurring, "gram").select("bucket", "gram").repartition(tasks, "bucket")), "segments")
     gone = covered(found)
@@ -234,7 +239,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             b = Bucket(file)
             edges = np.zeros(len(b.starts) + 1, np.int64)
             if gone.num_rows:
-                nth, start, n, mask = (gone.column(c).to_numpy().astype(np.int64) for c in ("nth", "start", "n", "mask"))
+                nth, n, mask = (gone.column(c).to_numpy().astype(np.int64) for c in ("nth", "n", "mask"))
+                starts = gone.column("starts").combine_chunks()
+                times = starts.value_lengths().to_numpy().astype(np.int64)
+                nth, n, mask, start = np.repeat(nth, times), np.repeat(n, times), np.repeat(mask, times), starts.flatten().to_numpy().astype(np.int64)
                 i = ragged(np.zeros(len(n), np.int64), n)
                 of = np.repeat(np.arange(len(n)), n)
                 hit = (mask[of] >> i & 1).astype(bool)
