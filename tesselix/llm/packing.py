@@ -22,6 +22,10 @@ from tesselix.llm.tokens import encoded
 PIECE = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
+#: Pieces of one length that a task orders when rows carry their ids (whole windows are the hot length).
+HEAVY_ROWS = 8_000
+
+
 def pieces(docs: DataFrame, path: str, window: int = 4096, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of each text (a null one is empty), then `end`, cut into pieces of at most `window`: doc_id, start (its
     text's ids before it), length, ids (little-endian unsigned 32-bit), doc_tokens. Lazy, one pass, nothing shuffled.
@@ -100,7 +104,7 @@ def place(rows: DataFrame, window: int = 4096, order: tuple[str, ...] = ("doc_id
         by_length.setdefault(length, []).append((first + n, first, each, sequence, offset))
     places = spark.createDataFrame([(k, v) for k, v in by_length.items()], "length bigint, _places array<struct<upto: bigint, first: bigint, each: bigint, sequence: bigint, at: bigint>>")
     ranked = gapless(rows, ["length"], list(order), "_rank", 1 + sum(counts.values()) // rows_per_task)
-    joined = ranked.join(places, "length")
+    joined = ranked.join(F.broadcast(places), "length")  # at most 15 MB, by the bound above
     joined = joined.withColumn("_p", F.expr("element_at(filter(_places, p -> p.upto > _rank), 1)"))
     own = F.col("_rank") - F.col("_p.first")
     return joined.select(*rows.columns, F.expr("_p.sequence + (_rank - _p.first) div _p.each").alias("sequence_id"), (F.col("_p.at") + own % F.col("_p.each") * F.col("length")).alias("offset"))
@@ -108,4 +112,4 @@ def place(rows: DataFrame, window: int = 4096, order: tuple[str, ...] = ("doc_id
 
 def pack(docs: DataFrame, path: str, window: int = 4096, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all texts: one row a piece with its ids, sequence_id and offset. The pieces are written once."""
-    return place(materialise(pieces(docs, path, window, end, id_col, text_col), "pieces"), window)
+    return place(materialise(pieces(docs, path, window, end, id_col, text_col), "pieces"), window, rows_per_task=HEAVY_ROWS)
