@@ -3,6 +3,11 @@
 Toxic documents go, one document of each group of near copies stays, documents that hold benchmark passages go,
 secrets are replaced in the texts, and what is left is tokenised and packed. Each stage takes (spark, docs, sf_dir) and
 works on all rows of docs; all but the last return the columns of documents.
+
+A null or empty text is not toxic, holds no passage and no secret; of all such rows, as of all equal texts, one stays.
+Repeated rows of one id and text are one row after near_dedup; a null id is an id like others. Nulls in other columns and
+columns of any other name stay as they are. An empty table gives no rows; so does packing for it. Empty labels reject
+nothing, an empty benchmark neither.
 """
 
 from __future__ import annotations
