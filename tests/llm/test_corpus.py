@@ -283,6 +283,19 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert {i: b"".join(b for _, b in sorted(p)) for i, p in got.items()} == want
 
 
+def test_pipeline_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    empty_documents(spark).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+    df = documents(spark, ["one text", None, "", "one text", "another text that is longer"])
+    for name, stage in corpus_pipeline.STAGES[:-1]:  # no labels, no items: only copies go
+        left = sorted((r["text"] or "") for r in stage(spark, df, str(tmp_path)).collect())
+        assert left == (["", "another text that is longer", "one text"] if name == "near_dedup" else sorted(["one text", "", "", "one text", "another text that is longer"])), name
+
+
 def test_stages_return_documents(spark):
     import corpus_pipeline
 
