@@ -8,13 +8,14 @@ from tesselix.functions import geometry as g
 from tesselix.operators.index import FANOUT, leaf_of, leaves
 from tesselix.operators.knn import knn
 from tesselix.operators.points import DIMS, columns
+from tesselix.plans.ordering import numbered
 
 
 def write_clustered(points: DataFrame, path: str, dims: tuple[str, ...] = DIMS, files: int = 8, row_group_bytes: int = 1 << 18) -> None:
     """Rows near each other in files and row groups near each other, so that min/max statistics prune range queries."""
-    by = [F.expr(f"ntile({max(1, round(files**0.5))}) over (order by {dims[0]})")] if points.count() <= 1_000_000 else []
-    cut = points.withColumn("_slab", by[0]) if by else points.withColumn("_slab", F.lit(0))
-    cut = cut.repartitionByRange(files, "_slab", dims[1] if by else dims[0]).sortWithinPartitions("_slab", *reversed(dims))
+    n, slabs = max(1, points.count()), max(1, round(files**0.5))
+    cut = numbered(points, list(dims), "_rn").withColumn("_slab", F.expr(f"((_rn - 1) * {slabs}) div {n}")).drop("_rn")
+    cut = cut.repartitionByRange(files, "_slab", dims[1]).sortWithinPartitions("_slab", *reversed(dims))
     cut.drop("_slab").write.option("parquet.block.size", row_group_bytes).mode("overwrite").parquet(path)
 
 
