@@ -17,23 +17,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import gapless, materialise, text_or_empty
-from tesselix.llm.tokens import encoded
+from tesselix.llm.tokens import TOGETHER, encoded
 
 PIECE = "doc_id {id}, start bigint, length bigint, ids binary, doc_tokens bigint"
 
 
 #: Pieces of one length that a task orders when rows carry their ids (whole windows are the hot length).
 HEAVY_ROWS = 8_000
+#: Bytes of text encoded together then: more time, less memory.
+HEAVY_BYTES = 1 << 21
 
 
-def pieces(docs: DataFrame, path: str, window: int = 4096, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, path: str, window: int = 4096, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text", together: int = TOGETHER) -> DataFrame:
     """The ids of each text (a null one is empty), then `end`, cut into pieces of at most `window`: doc_id, start (its
     text's ids before it), length, ids (little-endian unsigned 32-bit), doc_tokens. Lazy, one pass, nothing shuffled.
     A text without ids (empty, and end is None) has no piece. Repeated rows and null ids are rows like others."""
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
 
     def run(batches):
-        for rows, ids, at in encoded(batches, "_text", path, end):
+        for rows, ids, at in encoded(batches, "_text", path, end, together):
             n = np.diff(at)
             count = -(-n // window)
             of = np.repeat(np.arange(len(n)), count)
@@ -112,4 +114,4 @@ def place(rows: DataFrame, window: int = 4096, order: tuple[str, ...] = ("doc_id
 
 def pack(docs: DataFrame, path: str, window: int = 4096, end: int | None = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Packs all texts: one row a piece with its ids, sequence_id and offset. The pieces are written once."""
-    return place(materialise(pieces(docs, path, window, end, id_col, text_col), "pieces"), window, rows_per_task=HEAVY_ROWS)
+    return place(materialise(pieces(docs, path, window, end, id_col, text_col, HEAVY_BYTES), "pieces"), window, rows_per_task=HEAVY_ROWS)

@@ -202,10 +202,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], column: str, path: str, end: int | None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """(rows, ids, ids before each row's text) for slices of the batches; `end` is appended to each text's ids."""
+def encoded(batches: Iterator[pa.RecordBatch], column: str, path: str, end: int | None, together: int = TOGETHER) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, ids before each row's text) for slices of the batches of at most `together` bytes or one text; `end` is
+    appended to each text's ids."""
     own = encoder(path)
-    for rows, buf, offs in slices(batches, column, TOGETHER):
+    for rows, buf, offs in slices(batches, column, together):
         ids, at = own.encode(buf, offs)
         if end is not None:
             n = len(at) - 1
