@@ -255,16 +255,28 @@ def range_join_grid(spark, d):
     return ranges.range_join(customers(spark, d), _squares(suppliers(spark, d), 50.0), method="grid", cell=(1000.0, 100.0)).select("qid", "id")
 
 
-@query(f"SELECT q.id AS qid, CAST(r AS BIGINT) AS r, count(*) AS hits FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 1500 = 0) q, (SELECT unnest({list(RADII)}) AS r) WHERE " + SQUARE.format("r") + " GROUP BY 1, 2")
-def range_radius_sweep(spark, d):
-    points = orders(spark, d)
-    centres = _squares(points.filter("id % 1500 = 0"), float(max(RADII)))
+def _radius_sweep(points: DataFrame, at: DataFrame) -> DataFrame:
+    """qid, r, hits of the squares of every radius around the points in `at`."""
+    centres = _squares(at, float(max(RADII)))
     inside = lambda r: F.col("x").between(F.col("q_x") - r, F.col("q_x") + r) & F.col("y").between(F.col("q_y") - r, F.col("q_y") + r)
     # one join at the largest radius; every smaller window lies in it
     wide = ranges.range_join(points, centres).groupBy("qid").agg(*(F.count(F.when(inside(float(r)), 1)).alias(str(r)) for r in RADII))
     return wide.select("qid", F.explode(F.array(*(F.struct(F.lit(r).cast("bigint").alias("r"), F.col(str(r)).alias("hits")) for r in RADII))).alias("s")).select("qid", "s.r", "s.hits").filter("hits > 0")
 
 
+@query(f"SELECT q.id AS qid, CAST(r AS BIGINT) AS r, count(*) AS hits FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 1500 = 0) q, (SELECT unnest({list(RADII)}) AS r) WHERE " + SQUARE.format("r") + " GROUP BY 1, 2")
+def range_radius_sweep(spark, d):
+    points = orders(spark, d)
+    return _radius_sweep(points, points.filter("id % 1500 = 0"))
+
+
+@query(f"SELECT q.id AS qid, CAST(r AS BIGINT) AS r, count(*) AS hits FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 100 = 0) q, (SELECT unnest({list(RADII)}) AS r) WHERE " + SQUARE.format("r") + " GROUP BY 1, 2")
+def range_radius_sweep_whole(spark, d):
+    """The sweep around all of the stated query set; range_radius_sweep keeps to the centres of its SQL."""
+    points = orders(spark, d)
+    return _radius_sweep(points, points.filter("id % 100 = 0"))
+
+
 # --- nearest neighbours ---------------------------------------------------------------------------------------------
 
 KNN = f"SELECT id, x, y, dist, row_number() OVER (ORDER BY dist, id) AS rank FROM (SELECT p.*, {DIST} AS dist FROM {PARTS} p, (SELECT 25.0::DOUBLE AS x, 910.0::DOUBLE AS y) q) QUALIFY rank <= 10"
