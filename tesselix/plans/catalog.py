@@ -303,6 +303,13 @@ def knn_k_sweep(spark, d):
     return knn.knn_sweep(points, as_queries(points.filter("id % 200 = 0")), list(KS))
 
 
+@query(f"SELECT CAST(k AS BIGINT) AS k, qid, count(*) AS n, max(dist) AS reach FROM (SELECT q.id AS qid, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, (SELECT * FROM {PARTS} WHERE id % 100 = 0) q), (SELECT unnest({list(KS)}) AS k) WHERE rank <= k GROUP BY 1, 2")
+def knn_k_sweep_whole(spark, d):
+    """The sweep for all of the stated query set; knn_k_sweep keeps to the queries of its SQL."""
+    points = parts(spark, d)
+    return knn.knn_sweep(points, as_queries(points.filter("id % 100 = 0")), list(KS))
+
+
 @query(f"SELECT qid, id, dist FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, {SUPPLIERS} q) WHERE rank <= 3")
 def knn_lateral(spark, d):
     sqlfuncs.register(spark)
