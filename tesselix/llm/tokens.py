@@ -89,12 +89,14 @@ class Encoder:
     def _letters(self, spans: list[bytes]) -> tuple[list[int], list[list[int]]]:
         """Which spans are words of Latin letters once the library has normalised them, and their ids by the model."""
         which, out, model = [], [], self.tokenizer.model
-        for at in range(0, len(spans), 500):
-            some = spans[at : at + 500]
-            parts = self.tokenizer.normalizer.normalize_str(b" ".join(some).decode()).split(" ")
+        usable = [i for i, s in enumerate(spans) if MARK not in s]
+        for at in range(0, len(usable), 500):
+            some = usable[at : at + 500]
+            # apart by the mark: a word may hold white space of other scripts, or be nothing else
+            parts = self.tokenizer.normalizer.normalize_str(MARK.join([spans[i] for i in some]).decode()).split(MARK.decode())
             if len(parts) != len(some):
                 continue
-            for i, p in enumerate(parts, at):
+            for i, p in zip(some, parts, strict=True):
                 if _LATIN.fullmatch(p):
                     which.append(i)
                     out.append([t.id for t in model.tokenize(p.encode().decode("latin-1").translate(_BYTES))])

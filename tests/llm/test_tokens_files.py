@@ -37,6 +37,14 @@ def test_ids_of_words_are_ids_of_texts(plain, texts):
     assert encode(texts) == [plain(t) for t in texts]
 
 
+def test_other_white_space_in_words(plain):
+    own = tokens.Encoder(tokens.default_path())
+    for text in ("naïve déjà", "Éa\u00a0bon \u00a0 café Über", "été\u3000ça ~é \u2028 \u0301x Garçon", "Ñu\u0085né ～ö ´ É\u2003 À"):  # the first are tried against the library
+        data = np.frombuffer(text.encode(), np.uint8)
+        assert own.encode(data, np.array([0, len(data)]))[0].tolist() == plain(text)
+    assert own.letters
+
+
 def test_words_are_forgotten_and_learned_again(plain, monkeypatch):
     monkeypatch.setattr(tokens, "KEPT", 50)
     rng, words = random.Random(1), vocabulary(300)
