@@ -140,9 +140,16 @@ def split(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", leas
     return ranked.withColumn("group_no", F.when(rn <= F.col("k"), 1).otherwise(2).cast("bigint")).select(*entries.columns, "group_no")
 
 
-def reinsert_candidates(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", n: int = REINSERTED) -> DataFrame:
-    """The n entries of one node whose centres are farthest from the mean centre, ties by id, with their squared distance."""
+def reinsert_candidates(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", n: int = REINSERTED, group: str | None = None) -> DataFrame:
+    """The n entries of one node, or of each group, whose centres are farthest from the mean centre, ties by id, with
+    their squared distance."""
     centre = g.centre(g.box("", dims))
+    if group is not None:
+        own = Window.partitionBy(group)
+        middle = entries.withColumns({f"_m_{d}": F.avg(c).over(own) for c, d in zip(centre, dims, strict=True)})
+        far = middle.withColumn("dist2", g.dist2(centre, columns(dims, "_m_")))
+        rn = F.row_number().over(own.orderBy(F.desc(F.round("dist2", 6)), id))
+        return far.withColumn("_rn", rn).filter(F.col("_rn") <= n).select(*entries.columns, "dist2")
     middle = entries.agg(*(F.avg(c).alias(f"_m_{d}") for c, d in zip(centre, dims, strict=True)))
     far = entries.crossJoin(F.broadcast(middle)).withColumn("dist2", g.dist2(centre, columns(dims, "_m_")))  # one row
     return far.orderBy(F.desc(F.round("dist2", 6)), id).limit(n).select(*entries.columns, "dist2")

@@ -58,9 +58,9 @@ def as_queries(points: DataFrame) -> DataFrame:
     return points.select(F.col("id").alias("qid"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
 
 
-def boxed(points: DataFrame) -> DataFrame:
-    """Points as degenerate boxes of one node."""
-    return points.select("id", F.lit(0).cast("bigint").alias("node"), F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
+def boxed(points: DataFrame, node=None) -> DataFrame:
+    """Points as degenerate boxes, of one node or of a column's."""
+    return points.select("id", (F.lit(0) if node is None else node).cast("bigint").alias("node"), F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
 
 
 PARTS = "(SELECT CAST(p_partkey AS BIGINT) AS id, p_name AS name, CAST(p_size AS DOUBLE) AS x, CAST(p_retailprice AS DOUBLE) AS y FROM part)"
@@ -462,6 +462,48 @@ def reinsert_candidates(spark, d):
     return index.reinsert_candidates(first51(spark, d)).select("id", F.round("dist2", 4).alias("dist2"))
 
 
+# all parts in nodes of one entry too many; a rest of fewer than twice LEAST entries has no split
+NODES51 = f"(SELECT *, CAST((row_number() OVER (ORDER BY x, id) - 1) // 51 AS BIGINT) AS node FROM {PARTS})"
+
+
+def nodes51(spark, d):
+    return boxed(index.leaf_of(parts(spark, d), fanout=51), F.col("node"))
+
+
+def _options_whole() -> str:
+    parts_of = []
+    for i, dim in enumerate(("x", "y")):
+        for j, side in enumerate(("min", "max")):
+            over = f"OVER (PARTITION BY node ORDER BY {dim}, id ROWS BETWEEN {{}})"
+            head, tail = over.format("UNBOUNDED PRECEDING AND CURRENT ROW"), over.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+            margin = " + ".join(f"(CAST(2 AS DOUBLE) * (max(x) {w} - min(x) {w}) + CAST(2 AS DOUBLE) * (max(y) {w} - min(y) {w}))" for w in (head, tail))
+            parts_of.append(f"SELECT node, '{dim}' AS dim, '{side}' AS side, {2 * i + j} AS o, count(*) OVER (PARTITION BY node) AS n, row_number() OVER (PARTITION BY node ORDER BY {dim}, id) AS k, {margin} AS margin FROM {NODES51}")
+    return "(SELECT * FROM (" + " UNION ALL ".join(parts_of) + ") WHERE k >= 25 AND k <= n - 25)"
+
+
+@query(f"SELECT node, dim, side, k, round(margin, 6) AS margin FROM {_options_whole()}")
+def split_options_whole(spark, d):
+    return index.split_options(nodes51(spark, d)).withColumn("margin", F.round("margin", 6))
+
+
+CHOSEN_WHOLE = f"(SELECT node, dim, side, k, margin, margin_sum FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(margin_sum, 6), o, margin, k) AS rn FROM (SELECT *, sum(margin) OVER (PARTITION BY node, o) AS margin_sum FROM {_options_whole()})) WHERE rn = 1)"
+
+
+@query(f"SELECT node, dim, side, k, round(margin, 6) AS margin, round(margin_sum, 6) AS margin_sum FROM {CHOSEN_WHOLE}")
+def choose_split_whole(spark, d):
+    return index.choose_split(nodes51(spark, d)).withColumns({"margin": F.round("margin", 6), "margin_sum": F.round("margin_sum", 6)})
+
+
+@query(f"SELECT node, id, CAST(CASE WHEN row_number() OVER (PARTITION BY node ORDER BY CASE WHEN dim = 'x' THEN x ELSE y END, id) <= k THEN 1 ELSE 2 END AS BIGINT) AS group_no FROM {NODES51} JOIN {CHOSEN_WHOLE} USING (node)")
+def split_node_whole(spark, d):
+    return index.split(nodes51(spark, d)).select("node", "id", "group_no")
+
+
+@query(f"SELECT node, id, round(d2, 4) AS dist2 FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(d2, 6) DESC, id) AS rn FROM (SELECT node, id, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM {NODES51} JOIN (SELECT node, avg(x) AS mx, avg(y) AS my FROM {NODES51} GROUP BY node) USING (node))) WHERE rn <= 15")
+def reinsert_candidates_whole(spark, d):
+    return index.reinsert_candidates(nodes51(spark, d), group="node").select("node", "id", F.round("dist2", 4).alias("dist2"))
+
+
 @query(f"SELECT node FROM {LEAVES} WHERE entries > 30")
 def overflowing_nodes(spark, d):
     return index.overflowing(part_leaves(spark, d), 30).select("node")
