@@ -109,6 +109,13 @@ def fetch_by_address(spark, d):
     return heap.fetch(records, pointers).select("id", "name", "x", "y", "block_id", "slot_id")
 
 
+@query(f"SELECT * FROM {ADDRESSED}")
+def fetch_by_address_whole(spark, d):
+    """Every address; fetch_by_address keeps to the slot of its SQL."""
+    records = heap.addressed(parts(spark, d))
+    return heap.fetch(records, records.select("block_id", "slot_id")).select("id", "name", "x", "y", "block_id", "slot_id")
+
+
 @query("SELECT d AS dims, 264 + 8 * d AS record_bytes, (32768 - 4) // (264 + 8 * d) AS slots_per_block, CAST(32768 AS BIGINT) AS block_bytes FROM (SELECT unnest([2, 3, 4, 8]::BIGINT[]) AS d)")
 def heap_layout(spark, d):
     names = ("dims", "record_bytes", "slots_per_block", "block_bytes")
