@@ -6,9 +6,16 @@ buckets. The machine adds to linear weights a product of small factor vectors fo
 insult with the mention of a group, can weigh more or less than its terms do alone.
 
 Fitting: of the labelled rows to learn from, at most `sample` distinct texts (those with the smallest hashes) are
-used. Executors count in how many texts of each label a bucket occurs; the `terms` buckets whose share differs most
-significantly are kept (a z-score of LEAST_Z at least, so that noise in labels selects nothing), and only those
-buckets of the sampled texts reach the driver, which fits the machine by gradient steps. Scoring covers all rows.
+used. A term enters the machine by its own evidence or by that of a pair it is in: a term whose texts are toxic at
+another rate than all texts, and two words whose common texts are toxic at another rate than the two words' own rates,
+added up, would make them. So words that say nothing alone enter as well. Evidence is n KL(observed | expected) for n texts,
+which bounds the logarithm of the chance of such a count; it must exceed the logarithm of the number of terms, or pairs,
+that were looked at, so noise is expected to bring in one at most, whatever the size. Every term and every pair of words is looked at; words in
+so few texts that no pair of theirs could reach the bar are passed over. Pairs are counted over at most `pair_texts` of the texts,
+in blocks of words that tasks work on by themselves; no pair is written anywhere.
+
+One fifth of the learnable texts, by their hashes, is kept from the choice of terms: it chooses the weight decay. The
+weights are then fitted to all of them. Rows that are held out for others are in none of this. Scoring covers all rows.
 """
 
 from __future__ import annotations
@@ -17,14 +24,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import ALNUM, LOWER, materialise, mix, slices, span_hashes, text_or_empty, words
+from tesselix.llm.common import ALNUM, LOWER, materialise, mix, ragged, slices, span_hashes, text_or_empty, words
 
-DIMENSIONS = 1 << 18
+DIMENSIONS = 1 << 20
 #: Bytes of a word's beginning that are terms as well, and how often a term must stand in a text to count once more.
 PREFIXES = (4, 5, 6)
 REPEATS = (2, 3, 5, 8)
-LEAST_Z = 5.0
-LEAST_TEXTS = 5
+#: Weight decays that the inner split chooses from.
+DECAYS = (1e-3, 1e-4, 1e-5)
+#: Cells (texts by terms) that the driver fits, 128 MB of them.
+CELLS = 1 << 25
+#: Pairs that a task holds at once.
+PAIRS = 1 << 22
 
 
 def _buckets(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,6 +73,14 @@ def _distinct(buf: np.ndarray, offs: np.ndarray, base: np.ndarray | None = None,
     return pairs // DIMENSIONS, pairs % DIMENSIONS
 
 
+def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) pairs of whole words, without repeats, ascending."""
+    starts, ends, at = words(buf, offs, ALNUM)
+    found = (mix(span_hashes(LOWER[buf], starts, ends), 7) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+    pairs = np.unique(np.repeat(np.arange(len(offs) - 1), np.diff(at)) * DIMENSIONS + found)
+    return pairs // DIMENSIONS, pairs % DIMENSIONS
+
+
 def repeated(buckets: np.ndarray, n: int) -> np.ndarray:
     """The bucket of `this bucket's term at least n times`; n = 0: of a length of text."""
     return (mix(buckets.astype(np.uint64), 100 + n) & np.uint64(DIMENSIONS - 1)).astype(np.int64)
@@ -89,16 +108,75 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.bias + linear + pairs / 2, -30, 30)))
 
 
+def evidence(n: np.ndarray, pos: np.ndarray, expected: np.ndarray | float) -> np.ndarray:
+    """n KL(pos / n | expected): by Chernoff's bound, a count at least as far off has at most exp(-this) of chance."""
+    r = pos / n
+    with np.errstate(divide="ignore", invalid="ignore"):
+        up, down = np.where(pos > 0, r * np.log(r / expected), 0.0), np.where(pos < n, (1 - r) * np.log((1 - r) / (1 - expected)), 0.0)
+    return n * (up + down)
+
+
+class WordSets:
+    """The words of some labelled texts, renumbered by rising number of texts, those left out that no pair could have
+    evidence with."""
+
+    def __init__(self, sets: list[np.ndarray], toxic: np.ndarray):
+        of, own = np.repeat(np.arange(len(sets)), [len(x) for x in sets]), np.concatenate([*sets, np.zeros(0, np.int64)])
+        self.toxic, self.rate = toxic.astype(bool), min(max(float(toxic.mean()), 1e-9), 1 - 1e-9)
+        n = np.bincount(own, minlength=DIMENSIONS)
+        self.bar = np.log(max(float((np.bincount(of) ** 2.0).sum()) / 2, 2.0)) if len(own) else np.inf
+        order = np.argsort(n, kind="stable")
+        order = order[n[order] * -np.log(min(self.rate, 1 - self.rate)) >= self.bar]
+        self.words, self.n = order, n[order]
+        number = np.full(DIMENSIONS, -1, np.int32)
+        number[order] = np.arange(len(order))
+        kept = number[own] >= 0
+        of, own = of[kept], number[own[kept]]
+        order = np.lexsort((own, of))
+        self.of, self.own = of[order].astype(np.int32), own[order].astype(np.int32)
+        self.ends = np.searchsorted(self.of, np.arange(len(sets)), "right").astype(np.int64)
+        self.places = np.argsort(self.own, kind="stable").astype(np.int32)  # by word
+        self.firsts = np.searchsorted(self.own[self.places], np.arange(len(self.words) + 1)).astype(np.int64)
+        pos = np.bincount(self.own, self.toxic[self.of], len(self.words))
+        rate = (pos + 2 * self.rate) / (self.n + 2)
+        self.logit = np.log(rate / (1 - rate)) - np.log(self.rate / (1 - self.rate))
+
+    def blocks(self) -> list[tuple[int, int]]:
+        """Runs of words with a bounded number of cells beside all words."""
+        step = max(1, PAIRS // max(len(self.words), 1))
+        return [(i, min(i + step, len(self.words))) for i in range(0, len(self.words), step)]
+
+    def telling(self, low: int, high: int) -> np.ndarray:
+        """The words of pairs with evidence, of the pairs of a word from low to high with one after it."""
+        places = self.places[self.firsts[low] : self.firsts[high]].astype(np.int64)
+        after = self.ends[self.of[places]] - places - 1
+        wide, cuts = len(self.words), np.searchsorted(np.cumsum(after), np.arange(0, int(after.sum()) + PAIRS, PAIRS)[1:], "right")
+        n, pos, at = np.zeros((high - low) * wide, np.int64), np.zeros((high - low) * wide, np.int64), 0
+        for to in np.unique(np.append(cuts, len(places))).tolist():
+            some, count = places[at:to], after[at:to]
+            at = to
+            code = np.repeat((self.own[some].astype(np.int64) - low) * wide, count) + self.own[ragged(some + 1, count)]
+            n += np.bincount(code, minlength=len(n))
+            pos += np.bincount(code[np.repeat(self.toxic[self.of[some]], count)], minlength=len(n))
+        met = np.flatnonzero(n)
+        a, b = met // wide + low, met % wide
+        expected = 1 / (1 + np.exp(-np.clip(np.log(self.rate / (1 - self.rate)) + self.logit[a] + self.logit[b], -30, 30)))
+        told = evidence(n[met], pos[met], expected) >= self.bar
+        return self.words[np.unique(np.concatenate([a[told], b[told]]))]
+
+
 def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, factors: int = 4, rounds: int = 250, rate: float = 0.05, decay: float = 1e-5) -> Machine:
-    """Adam on the logistic loss with weight decay; equal sets of terms are one row with a weight."""
+    """Adam on the logistic loss with weight decay; equal sets of terms are one row with a weight. Of more than CELLS
+    cells the first rows are used."""
     rows: dict[bytes, list] = {}
     for s, y in zip(sets, toxic, strict=True):
         row = rows.setdefault(s.tobytes(), [s, 0, 0])
         row[1 + int(y)] += 1
-    x = np.zeros((len(rows), len(buckets)), np.float32)
-    for i, (s, _, _) in enumerate(rows.values()):
+    fitted = list(rows.values())[: max(1, CELLS // max(len(buckets), 1))]
+    x = np.zeros((len(fitted), len(buckets)), np.float32)
+    for i, (s, _, _) in enumerate(fitted):
         x[i, s] = 1
-    neg, pos = (np.array([r[k] for r in rows.values()], np.float32) for k in (1, 2))
+    neg, pos = (np.array([r[k] for r in fitted], np.float32) for k in (1, 2))
     total = neg.sum() + pos.sum()
     rng = np.random.default_rng(1)
     start = [np.array([np.log((pos.sum() + 1) / (neg.sum() + 1))]), np.zeros(len(buckets)), rng.normal(0, 0.05, (len(buckets), factors))]
@@ -108,33 +186,48 @@ def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray,
         bias, w, v = params
         xv = x @ v
         z = bias + ((xv**2).sum(1) + x @ (2 * w - (v * v).sum(1))) / 2
-        g = ((pos + neg) / (1 + np.exp(-np.clip(z, -30, 30))) - pos) / total
-        both = x.T @ np.column_stack([g, g[:, None] * xv])  # all gradients in one product
-        xg = both[:, 0]
-        for k, grad in enumerate((g.sum(keepdims=True), xg + decay * w, both[:, 1:] - xg[:, None] * v + decay * v)):
+        grads = gradients(x, xv, z, w, v, neg, pos, total, decay)
+        for k, grad in enumerate(grads):
             m[k] = 0.9 * m[k] + 0.1 * grad
             s2[k] = 0.999 * s2[k] + 0.001 * grad**2
             params[k] = params[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s2[k] / (1 - 0.999**step)) + 1e-8)
     return Machine(buckets, float(params[0][0]), params[1].astype(np.float64), params[2].astype(np.float64))
 
 
+def gradients(x, xv, z, w, v, neg, pos, total, decay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean logistic loss plus decay / 2 times the squares of w and v, by bias, w and v; all in one product."""
+    g = ((pos + neg) / (1 + np.exp(-np.clip(z, -30, 30))) - pos) / total
+    both = x.T @ np.column_stack([g, g[:, None] * xv])
+    xg = both[:, 0]
+    return g.sum(keepdims=True), xg + decay * w, both[:, 1:] - xg[:, None] * v + decay * v
+
+
+def log_loss(machine: Machine, sets: list[np.ndarray], toxic: np.ndarray) -> float:
+    text = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    p = np.clip(machine.scores(text, np.concatenate([*sets, np.zeros(0, np.int64)]), len(sets)), 1e-6, 1 - 1e-6)
+    return float(-np.where(toxic > 0, np.log(p), np.log(1 - p)).mean())
+
+
 def learnable(id_col: str = "doc_id"):
     """The rows whose labels may be learned from."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, terms: int = 1024, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fits a machine to the labels of docs (0 or 1; null labels, null ids and ids without a row in docs count for
-    nothing; a repeated text counts once, as toxic if most of its labels say so). With no labels, or labels of one kind,
-    the machine scores every text alike, by the share of toxic ones (0 without labels)."""
+def _sampled(docs: DataFrame, labels: DataFrame, sample: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """_y, _inner, _nth (an order by hash) and _text of at most `sample` distinct learnable texts."""
     marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.avg(F.col(label_col).cast("double")).alias("_y"))
     marked = marked.filter(learnable("doc_id"))
     text = text_or_empty(text_col)
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("_h")).join(marked, "doc_id")
-    chosen = keyed.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), (F.avg("_y") >= 0.5).cast("int").alias("_y")).orderBy(F.xxhash64("_h", F.lit(3)), "_h").limit(sample)
-    chosen = materialise(chosen.select("doc_id", "_y"), "toxic-sample")
-    # at most `sample` rows of two numbers
-    rows = materialise(docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).join(F.broadcast(chosen), "doc_id").select("_y", "_text"), "toxic-texts")
+    chosen = keyed.groupBy("_h").agg(F.min("doc_id").alias("doc_id"), (F.avg("_y") >= 0.5).cast("int").alias("_y"))
+    chosen = chosen.select("doc_id", "_y", (F.pmod(F.xxhash64("_h", F.lit(5)), F.lit(5)) == 0).alias("_inner"), F.xxhash64("_h", F.lit(3)).alias("_nth")).orderBy("_nth", "doc_id").limit(sample)
+    chosen = materialise(chosen, "toxic-sample")
+    # at most `sample` rows of four numbers
+    return materialise(docs.select(F.col(id_col).alias("doc_id"), text.alias("_text")).join(F.broadcast(chosen), "doc_id").select("_y", "_inner", "_nth", "_text"), "toxic-texts")
+
+
+def _telling_terms(rows: DataFrame) -> np.ndarray | None:
+    """The buckets whose own texts differ from all texts; None if the texts are of one kind."""
 
     def count(batches):
         n = np.zeros((2, DIMENSIONS), np.int64)
@@ -147,29 +240,78 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, terms: int = 1
         used = np.flatnonzero(n.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(n[0][used], texts[0])), pa.array(np.append(n[1][used], texts[1]))], ["bucket", "neg", "pos"])
 
-    counts = materialise(rows.mapInArrow(count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")), "toxic-counts")
+    counts = rows.select("_y", "_text").mapInArrow(count, "bucket long, neg long, pos long").groupBy("bucket").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    counts = materialise(counts, "toxic-counts")
     totals = counts.filter("bucket = -1").first()
     neg, pos = (totals["neg"], totals["pos"]) if totals else (0, 0)
-    none = np.zeros(0, np.int64)
     if not neg or not pos:
-        return Machine(none, 30.0 if pos else -30.0, np.zeros(0), np.zeros((0, 1)))
-    share = (F.col("neg") + F.col("pos")) / F.lit(float(neg + pos))
-    z = (F.col("pos") / pos - F.col("neg") / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-    picked = counts.filter(f"bucket >= 0 and neg + pos >= {LEAST_TEXTS}").select("bucket", F.abs(z).alias("z")).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "bucket").limit(terms)
-    buckets = np.array(sorted(r["bucket"] for r in picked.collect()), np.int64)
-    machine = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1)))
-    base, of = machine.lookup()
+        return None
+    n, base = F.col("neg") + F.col("pos"), pos / (neg + pos)
+    part = lambda k, q: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / n / F.lit(q))).otherwise(0.0)
+    terms = counts.filter("bucket >= 0")
+    told = terms.filter(part("pos", base) + part("neg", 1 - base) >= F.lit(float(np.log(max(terms.count(), 2)))))
+    return np.array(sorted(r["bucket"] for r in told.select("bucket").collect()), np.int64)  # at most DIMENSIONS numbers
+
+
+def _telling_pairs(rows: DataFrame, pair_texts: int) -> np.ndarray:
+    """The buckets of words in pairs with evidence. The driver holds the word sets of at most `pair_texts` texts, and
+    tasks count all pairs of a block of words against them."""
 
     def sets(batches):
         for b, buf, offs in slices(batches, "_text"):
-            text, term = _distinct(buf, offs, base, of)
+            text, bucket = _words(buf, offs)
             cut = np.searchsorted(text, np.arange(len(offs)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([term[i:j].astype(np.int16).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["_y", "terms"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bucket[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["_y", "_nth", "words"])
+
+    some = rows.select("_y", "_nth", "_text").orderBy("_nth").limit(pair_texts)
+    got = some.mapInArrow(sets, "_y int, _nth bigint, words binary").collect()  # at most `pair_texts` sets of DIMENSIONS numbers
+    got.sort(key=lambda r: r["_nth"])
+    own = WordSets([np.frombuffer(bytes(r["words"]), np.int32).astype(np.int64) for r in got], np.array([r["_y"] for r in got]))
+    blocks = own.blocks()
+    if not blocks:
+        return np.zeros(0, np.int64)
+    spark = rows.sparkSession
+    held = spark.sparkContext.broadcast(own)
+
+    def count(batches):
+        for b in batches:
+            for i in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(held.value.telling(*blocks[i]))], ["bucket"])
+
+    found = spark.range(0, len(blocks), 1, min(len(blocks), 256)).mapInArrow(count, "bucket bigint").distinct().collect()  # at most DIMENSIONS numbers
+    held.unpersist()
+    return np.array(sorted(r["bucket"] for r in found), np.int64)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, pair_texts: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+    """Fits a machine to the labels of docs (0 or 1; null labels, null ids and ids without a row in docs count for
+    nothing; a repeated text counts once, as toxic if most of its labels say so). With no labels, or labels of one kind,
+    the machine scores every text alike, by the share of toxic ones (0 without labels)."""
+    rows = _sampled(docs, labels, sample, id_col, text_col, label_col)
+    kinds = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    none = np.zeros(0, np.int64)
+    if len(kinds) < 2:
+        return Machine(none, 30.0 if 1 in kinds else -30.0, np.zeros(0), np.zeros((0, 1)))
+    outer = rows.filter("not _inner")
+    own = _telling_terms(outer)
+    buckets = none if own is None else np.union1d(own, _telling_pairs(outer, pair_texts))
+    base, of = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1))).lookup()
 
-    got = rows.mapInArrow(sets, "_y int, terms binary").groupBy("terms").agg(F.sum("_y").alias("pos"), F.count("*").alias("n")).collect()  # at most `sample` sets of `terms` terms
-    got.sort(key=lambda r: bytes(r["terms"]))
-    rows_of = [(np.frombuffer(bytes(r["terms"]), np.int16).astype(np.int64), y) for r in got for y, n in ((1, r["pos"]), (0, r["n"] - r["pos"])) for _ in range(n)]
-    return fit_machine([s for s, _ in rows_of], np.array([y for _, y in rows_of]), buckets)
+    def sets(batches):
+        for b, buf, offs in slices(batches, "_text"):
+            text, term = _distinct(buf, offs, base, of)
+            cut = np.searchsorted(text, np.arange(len(offs)))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([term[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["_y", "_inner", "_nth", "terms"])
+
+    got = rows.mapInArrow(sets, "_y int, _inner boolean, _nth bigint, terms binary").collect()  # at most `sample` sets of the terms in use
+    got.sort(key=lambda r: (r["_nth"], bytes(r["terms"])))
+    all_sets, toxic = [np.frombuffer(bytes(r["terms"]), np.int32).astype(np.int64) for r in got], np.array([r["_y"] for r in got])
+    inner = np.array([r["_inner"] for r in got])
+    part = lambda mask: ([s for s, m in zip(all_sets, mask, strict=True) if m], toxic[mask])
+    best = DECAYS[0]
+    if inner.any() and not inner.all():
+        best = min(DECAYS, key=lambda d: log_loss(fit_machine(*part(~inner), buckets, decay=d, rounds=120), *part(inner)))
+    return fit_machine(all_sets, toxic, buckets, decay=best)
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -225,6 +225,87 @@ def test_held_out_accuracy_with_pairs(spark):
     assert sum((got[i] >= 0.5) == labels[i] for i in held) / len(held) > 0.97
 
 
+def test_held_out_accuracy_where_only_the_pair_tells(spark):
+    """Toxic: one of two words; both or neither is not. Neither word says anything alone."""
+    rng, words = random.Random(6), vocabulary(2000, 5)
+    texts, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        w = prose(rng, rng.randint(5, 40), words).split() + ["Alpha"] * a + ["(beta)"] * b
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        labels.append(int(a != b))
+    df = documents(spark, texts)
+    machine = toxicity.fit(df, spark.createDataFrame(list(enumerate(labels)), "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, machine).collect()}
+    held = [i for i in range(3000) if not learn_from(i)]
+    assert sum((got[i] >= 0.5) == labels[i] for i in held) / len(held) > 0.95
+    without = toxicity.Machine(machine.buckets, machine.bias, machine.w, machine.v * 0)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(df, without).collect()}
+    assert sum((got[i] >= 0.5) == labels[i] for i in held) / len(held) < 0.8  # it is the pair that tells
+
+
+def explicit_scores(x, bias, w, v):
+    z = [bias + sum(w[i] for i in s) + sum(float(v[i] @ v[j]) for k, i in enumerate(s) for j in s[k + 1 :]) for s in x]
+    return 1 / (1 + np.exp(-np.array(z)))
+
+
+@settings(max_examples=50, deadline=None)
+@given(seed=st.integers(0, 10**6))
+def test_scores_and_gradients_against_explicit_pairs(seed):
+    rng = np.random.default_rng(seed)
+    terms, n = rng.integers(1, 7), rng.integers(1, 6)
+    x = rng.random((n, terms)) < 0.5
+    sets = [np.flatnonzero(r).tolist() for r in x]
+    bias, w, v = rng.normal(), rng.normal(size=terms), rng.normal(size=(terms, 3))
+    machine = toxicity.Machine(np.arange(terms), bias, w, v)
+    text, term = np.repeat(np.arange(n), x.sum(1)), np.array([i for s in sets for i in s], np.int64)
+    assert np.allclose(machine.scores(text, term, n), explicit_scores(sets, bias, w, v))
+    neg, pos, decay = rng.integers(0, 3, n).astype(float), rng.integers(0, 3, n).astype(float), 0.1
+    total = max(neg.sum() + pos.sum(), 1)
+
+    def loss(bias, w, v):
+        p = explicit_scores(sets, bias, w, v)
+        return -(pos * np.log(p) + neg * np.log(1 - p)).sum() / total + decay / 2 * ((w**2).sum() + (v**2).sum())
+
+    f, xv = x.astype(float), x.astype(float) @ v
+    z = bias + ((xv**2).sum(1) + f @ (2 * w - (v * v).sum(1))) / 2
+    got = toxicity.gradients(f, xv, z, w, v, neg, pos, total, decay)
+    e = 1e-6
+    assert abs(got[0][0] - (loss(bias + e, w, v) - loss(bias - e, w, v)) / (2 * e)) < 1e-5
+    for i in range(terms):
+        d = np.eye(terms)[i] * e
+        assert abs(got[1][i] - (loss(bias, w + d, v) - loss(bias, w - d, v)) / (2 * e)) < 1e-5
+        for k in range(3):
+            d = np.zeros_like(v)
+            d[i, k] = e
+            assert abs(got[2][i, k] - (loss(bias, w, v + d) - loss(bias, w, v - d)) / (2 * e)) < 1e-5
+
+
+@settings(max_examples=40, deadline=None)
+@given(seed=st.integers(0, 10**6))
+def test_pairs_with_evidence_against_all_pairs(seed):
+    rng = np.random.default_rng(seed)
+    n, terms = 60, 12
+    x = rng.random((n, terms)) < rng.uniform(0.1, 0.9, terms)
+    toxic = (x[:, 0] ^ x[:, 1]) & (rng.random(n) < 0.95)
+    own = toxicity.WordSets([np.flatnonzero(r) for r in x], toxic.astype(int))
+    want = set()
+    for a in range(len(own.words)):
+        for b in range(a + 1, len(own.words)):
+            both = x[:, own.words[a]] & x[:, own.words[b]]
+            if both.any():
+                expected = 1 / (1 + np.exp(-(np.log(own.rate / (1 - own.rate)) + own.logit[a] + own.logit[b])))
+                if toxicity.evidence(np.array([both.sum()]), np.array([(both & toxic).sum()]), expected)[0] >= own.bar:
+                    want |= {int(own.words[a]), int(own.words[b])}
+    got = set()
+    for cells in (1, 1 << 20):  # a word at a time, all at once
+        toxicity.PAIRS, kept = cells, toxicity.PAIRS
+        got = {int(i) for low, high in own.blocks() for i in own.telling(low, high)}
+        toxicity.PAIRS = kept
+        assert got == want
+
+
 def test_labels_that_are_held_out_are_not_looked_at(spark):
     rng, words = random.Random(2), vocabulary(100)
     texts = [prose(rng, 20, words) + (" bad" if i % 4 == 0 else "") for i in range(300)]
