@@ -112,13 +112,29 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes hashed at once.
+CHUNK = 1 << 18
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, from one running sum over the buffer."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(buf)), out=run[1:])
-    return mix((run[ends] - run[starts]) * powers(_INVERSE, len(buf))[starts])
+    """64-bit hashes of the byte spans (starts ascend, and ends), from one running sum over the buffer. The sum is taken
+    chunk by chunk, so that a very long text takes a few numbers a span, not several a byte."""
+    at_start, at_end, scale = (np.zeros(len(starts), np.uint64) for _ in range(3))
+    local = np.zeros(min(CHUNK, len(buf)) + 1, np.uint64)
+    up, down = powers(_BASE, len(local)), powers(_INVERSE, len(local))
+    before = np.uint64(0)
+    for low in range(0, len(buf) if len(starts) else 0, CHUNK):
+        n = min(CHUNK, len(buf) - low)
+        np.cumsum((buf[low : low + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=local[1 : n + 1])
+        local[1 : n + 1] *= np.uint64(pow(_BASE, low, 1 << 64))
+        local[: n + 1] += before
+        i, j = np.searchsorted(starts, (low, low + n))
+        at_start[i:j] = local[starts[i:j] - low]
+        scale[i:j] = down[starts[i:j] - low] * np.uint64(pow(_INVERSE, low, 1 << 64))
+        i, j = np.searchsorted(ends, (low, low + n), "right")
+        at_end[i:j] = local[ends[i:j] - low]
+        before, local[0] = local[n], 0
+    return mix((at_end - at_start) * scale)
 
 
 def shingle_hashes(hashes: np.ndarray, n: int) -> np.ndarray:

@@ -5,15 +5,19 @@ an anchor, the phrase of GRAM words in it whose hash is smallest (the first on t
 at equal places, and about one phrase in twenty is the anchor of any window.
 
 1. Texts, words joined by one space, are put into bucket files of bounded size in the shared folder.
-2. Anchors that recur in more than one document are found by their hashes, and each bucket gets those of its own.
-3. Recurring anchors are confirmed as phrases: each bucket compiles its own Aho-Corasick automaton (so automata are
-   shards of bounded size whatever the corpus) and streams all its texts through it, which locates every occurrence.
+2. Anchors that by their hashes recur in more than one document are taken from the texts, and confirmed as recurring
+   phrases by the phrases themselves.
+3. Confirmed phrases are dealt to the buckets whose documents they are an anchor in, so each bucket's phrases are a shard of
+   bounded size whatever the corpus. Each shard is compiled to an Aho-Corasick automaton, and all texts are streamed
+   through their bucket's: a window counts if and only if the automaton has found a phrase at its anchor. (Shards that are dealt without
+   regard to documents would need every document streamed through every shard, which grows with the square of the corpus.)
 4. Consecutive windows around one located anchor are a segment. Equal segments of several documents collapse to the
    first document's, so copies never meet one another; only where an anchor has unequal segments are their windows
    compared, by the hashes of whole windows.
 5. Each bucket removes what its documents don't own.
 
-Phrases are compared as texts or by 128-bit hashes, windows by 64-bit hashes among those around one phrase.
+Phrases are compared as texts or by 128-bit hashes, windows by 64-bit hashes among those around one phrase. A text is
+worked on whole; beside it a task holds some twenty bytes for each of its words and bytes for its bucket's automaton.
 """
 
 from __future__ import annotations
@@ -79,10 +83,13 @@ class Bucket:
         self.ids = table.column("doc_id").to_pylist()
         lines = [b" " + t + b" \n" for t in table.column("text").to_pylist()]
         self.data = b"".join(lines)
-        offs = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
+        self.offs = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
+
+    def split(self) -> Bucket:
         self.buf = np.frombuffer(self.data, np.uint8)
-        self.starts, self.ends, self.at = words(self.buf, offs, NOT_WHITE)
+        self.starts, self.ends, self.at = words(self.buf, self.offs, NOT_WHITE)
         self.n_words = np.diff(self.at)
+        return self
 
     def hash_words(self) -> None:
         hashes = span_hashes(self.buf, self.starts, self.ends)
@@ -118,48 +125,76 @@ def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
+CELL = "bucket bigint, gram bigint, low bigint, high bigint, at bigint, n bigint"
+
+
 def anchors(buckets: DataFrame) -> DataFrame:
-    """bucket, gram (hash of an anchor), low and high: the smallest and largest id of its documents in the bucket."""
+    """bucket, gram (hash of an anchor), low and high: the smallest and largest id of its documents in the bucket; at and n:
+    where the anchor first stands in the bucket's bytes."""
 
     def run(batches):
         for b in batches:
             for bucket, file in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = Bucket(file)
+                own = Bucket(file).split()
                 _, anchor = own.windows()
                 anchor = np.unique(anchor)
                 ids = np.array([k or 0 for k in own.ids], np.int64)[np.searchsorted(own.at, anchor, "right") - 1]
                 grams = own.hashes(anchor, GRAM).view(np.int64) if len(anchor) else anchor
                 order = np.lexsort((ids, grams))
-                grams, ids = grams[order], ids[order]
+                grams, ids, anchor = grams[order], ids[order], anchor[order]
                 first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else grams
                 last = np.append(first[1:], len(grams)) - 1 if len(grams) else grams
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), bucket)), pa.array(grams[first]), pa.array(ids[first]), pa.array(ids[last])], ["bucket", "gram", "low", "high"])
+                at = own.starts[anchor[first]] if len(grams) else grams
+                n = own.ends[anchor[first] + GRAM - 1] - at if len(grams) else grams
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), bucket)), *(pa.array(x) for x in (grams[first], ids[first], ids[last], at, n))], ["bucket", "gram", "low", "high", "at", "n"])
 
-    return buckets.mapInArrow(run, "bucket bigint, gram bigint, low bigint, high bigint")
+    return buckets.mapInArrow(run, CELL)
 
 
-def locate(own: Bucket, recurring: np.ndarray) -> Iterator[tuple]:
-    """Compiles the bucket's recurring anchors, streams its texts, and gives the segments around what is located, once
-    a text: (text's number, doc_id, first words in the text, windows, hash of the anchor, of the segment, of each window)."""
+def confirmed(buckets: DataFrame, cells: DataFrame, tasks: int) -> DataFrame:
+    """bucket, at, n of the phrases that stand in more than one document: each bucket's shard."""
+    likely = cells.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("gram")
+    wanted = cells.join(likely, "gram").repartition(tasks, "bucket")
+
+    def run(own: pa.Table, wanted: pa.Table) -> pa.Table:
+        # a group is one bucket; one without likely phrases is not read
+        files = own.column("file").to_pylist() if wanted.num_rows else []
+        data = Bucket(files[0]).data if files else b""
+        spans = zip(wanted.column("at").to_pylist(), wanted.column("n").to_pylist(), strict=True) if files else ()
+        phrases = pa.array([data[i : i + n] for i, n in spans], pa.binary())
+        return pa.table([*(wanted.column(c).slice(0, len(phrases)) for c in ("bucket", "at", "n", "low", "high")), phrases], ["bucket", "at", "n", "low", "high", "phrase"])
+
+    texts = materialise(buckets.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(run, "bucket bigint, at bigint, n bigint, low bigint, high bigint, phrase binary"), "phrases")
+    recurring = texts.groupBy("phrase").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("phrase")
+    # a phrase that is everywhere is one row of `recurring` and one a bucket here; AQE splits that join
+    return texts.join(recurring, "phrase", "left_semi").select("bucket", "at", "n")
+
+
+def occurrences(own: Bucket, phrases: list[bytes]) -> np.ndarray:
+    """The words at which one of the phrases begins: an automaton of them, over all texts of the bucket."""
     import ahocorasick
 
-    first, anchor = own.windows()
-    if not len(first) or not len(recurring):
-        return
-    places = np.unique(anchor)
-    places = places[np.isin(own.hashes(places, GRAM).view(np.int64), recurring)]
-    phrases = {own.data[i:j] for i, j in zip((own.starts[places] - 1).tolist(), (own.ends[places + GRAM - 1] + 1).tolist(), strict=True)}
-    if not phrases:
-        return
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
     for p in phrases:
-        automaton.add_word(p.decode("latin-1"), len(p))  # bytes as characters: offsets are bytes
+        automaton.add_word(f" {p.decode('latin-1')} ", len(p))  # bytes as characters: offsets are bytes
     automaton.make_automaton()
-    begins = np.fromiter((end - n + 2 for end, n in automaton.iter(own.data.decode("latin-1"))), np.int64)
+    # a match ends at the space after the phrase
+    begins = np.fromiter((end - n for end, n in automaton.iter(own.data.decode("latin-1"))), np.int64)
+    return np.searchsorted(own.starts, begins)
+
+
+def locate(own: Bucket, phrases: list[bytes]) -> Iterator[tuple]:
+    """The segments around the anchors at which the automaton of the phrases finds one, once
+    a text: (text's number, doc_id, first words in the text, windows, hash of the anchor, of the segment, of each window)."""
+    if not phrases:
+        return
+    first, anchor = own.split().windows()
     located = np.zeros(len(own.starts) + 1, bool)
-    located[np.searchsorted(own.starts, begins)] = True
+    located[occurrences(own, phrases)] = True
     kept = located[anchor]
     first, anchor = first[kept], anchor[kept]
+    if not len(first):
+        return
     new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (first[1:] != first[:-1] + 1)])
     begin = np.flatnonzero(new)
     n = np.diff(np.append(begin, len(first)))
@@ -184,19 +219,21 @@ def locate(own: Bucket, recurring: np.ndarray) -> Iterator[tuple]:
 SEGMENT = "bucket bigint, nth int, doc_id bigint, starts array<int>, n int, anchor binary, segment bigint, windows array<bigint>"
 
 
-def segments(buckets: DataFrame, recurring: DataFrame) -> DataFrame:
-    """The segments of all buckets."""
+def segments(buckets: DataFrame, shards: DataFrame) -> DataFrame:
+    """The segments of all buckets, each by its shard of phrases."""
 
-    def run(own: pa.Table, grams: pa.Table) -> pa.Table:
+    def run(own: pa.Table, shard: pa.Table) -> pa.Table:
         rows = []
-        for bucket, file in zip(own.column("bucket").to_pylist(), own.column("file").to_pylist(), strict=True):
-            rows += [(bucket, *x) for x in locate(Bucket(file), np.unique(grams.column("gram").to_numpy()))]
+        for bucket, file in zip(own.column("bucket").to_pylist(), own.column("file").to_pylist() if shard.num_rows else [], strict=False):
+            texts = Bucket(file)
+            phrases = [texts.data[i : i + n] for i, n in zip(shard.column("at").to_pylist(), shard.column("n").to_pylist(), strict=True)]
+            rows += [(bucket, *x) for x in locate(texts, phrases)]
         cut = np.concatenate([[0], np.cumsum([r[4] for r in rows], dtype=np.int64)]).astype(np.int32)
         windows = pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate([r[7] for r in rows]) if rows else np.zeros(0, np.int64)))
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64()]
         return pa.table([*(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)), windows], ["bucket", "nth", "doc_id", "starts", "n", "anchor", "segment", "windows"])
 
-    return buckets.groupBy("bucket").cogroup(recurring.groupBy("bucket")).applyInArrow(run, SEGMENT)
+    return buckets.groupBy("bucket").cogroup(shards.groupBy("bucket")).applyInArrow(run, SEGMENT)
 
 
 def covered(found: DataFrame) -> DataFrame:
@@ -226,17 +263,17 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     buckets = write_buckets(docs, fresh_path(spark, "texts"), id_col, text_col)
     # By number, so that buckets stay spread out: their rows here are small, their files are not.
-    tasks = min(2 * buckets.count() + 1, MOST_TASKS)
+    tasks = min(buckets.count() + 1, MOST_TASKS)
     buckets = buckets.select("bucket", "file").repartition(tasks, "bucket")
     cells = materialise(anchors(buckets), "anchors")
-    recurring = cells.groupBy("gram").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("gram")
-    found = materialise(segments(buckets, cells.join(recurring, "gram").select("bucket", "gram").repartition(tasks, "bucket")), "segments")
+    shards = confirmed(buckets, cells, tasks)
+    found = materialise(segments(buckets, shards.repartition(tasks, "bucket")), "segments")
     gone = covered(found)
 
     def run(own: pa.Table, gone: pa.Table) -> pa.Table:
         out = []
         for file in own.column("file").to_pylist():
-            b = Bucket(file)
+            b = Bucket(file).split()
             edges = np.zeros(len(b.starts) + 1, np.int64)
             if gone.num_rows:
                 nth, n, mask = (gone.column(c).to_numpy().astype(np.int64) for c in ("nth", "n", "mask"))

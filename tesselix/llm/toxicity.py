@@ -263,7 +263,8 @@ def _telling_pairs(rows: DataFrame, pair_texts: int) -> np.ndarray:
             cut = np.searchsorted(text, np.arange(len(offs)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bucket[i:j].astype(np.int32).tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["_y", "_nth", "words"])
 
-    some = rows.select("_y", "_nth", "_text").orderBy("_nth").limit(pair_texts)
+    last = rows.select("_nth").orderBy("_nth").limit(pair_texts).agg(F.max("_nth")).first()[0]
+    some = rows.select("_y", "_nth", "_text").filter(F.col("_nth") <= F.lit(last))
     got = some.mapInArrow(sets, "_y int, _nth bigint, words binary").collect()  # at most `pair_texts` sets of DIMENSIONS numbers
     got.sort(key=lambda r: r["_nth"])
     own = WordSets([np.frombuffer(bytes(r["words"]), np.int32).astype(np.int64) for r in got], np.array([r["_y"] for r in got]))

@@ -185,6 +185,35 @@ def test_repeats_against_all_windows(spark, monkeypatch):
         assert got == brute_repeats(docs)
 
 
+def _finds_nothing(own, phrases):
+    return np.zeros(0, np.int64)
+
+
+def test_repeats_come_from_the_automaton(spark, monkeypatch):
+    """With an automaton that finds nothing, nothing goes."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(d, t, "", "", 0) for d, t in passages(rng, vocabulary(500))], DOCS)
+    assert repeats.drop_repeats(df).agg({"n_removed": "sum"}).first()[0] > 0
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the tasks can't import this module
+    cloudpickle.register_pickle_by_value(repeats)
+    try:
+        monkeypatch.setattr(repeats, "occurrences", _finds_nothing)
+        assert repeats.drop_repeats(df).agg({"n_removed": "sum"}).first()[0] == 0
+    finally:
+        cloudpickle.unregister_pickle_by_value(repeats)
+
+
+def test_occurrences_against_a_scan(spark, tmp_path):
+    rng, words = random.Random(4), vocabulary(3)
+    docs = spark.createDataFrame([(i, prose(rng, 80, words), "", "", 0) for i in range(9)], DOCS).coalesce(1)
+    file = repeats.write_buckets(docs, str(tmp_path), "doc_id", "text").first()["file"]
+    own = repeats.Bucket(file).split()
+    every = [own.data[own.starts[i] : own.ends[i + 2]] for i in range(len(own.starts) - 2)]
+    phrases = [p for p in dict.fromkeys(every) if b"\n" not in p][::3]
+    got = sorted(repeats.occurrences(own, phrases).tolist())
+    assert got == [i for i, p in enumerate(every) if p in phrases]
+
+
 def test_repeats_of_odd_rows(spark):
     df = odd_documents(spark)
     got = repeats.drop_repeats(df).collect()
