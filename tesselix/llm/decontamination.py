@@ -1,13 +1,15 @@
 """Benchmark decontamination by spaced seeds.
 
-Words are lower-case runs of letters and digits. A document is contaminated by an item if a window of WINDOW words of
-the document equals a window of the item but for at most SUBSTITUTED words, place by place. Fixed masks of the places
-that count are laid over each position of both sides; equal hashes of the words that a mask lets through are hits. The
-masks are lossless: however SUBSTITUTED words of a window are chosen, one mask fits between them (a test tries all
-choices). Each hit's alignment is then verified word by word around it, so hits alone decide nothing.
-
-Items of 5 to WINDOW - 1 words must stand in the document whole and unchanged; items of fewer words are not looked for.
-The test side goes to the tasks in blocks of bounded size, each of which all documents pass, so nothing is shuffled.
+Words are lower-case runs of letters and digits; in scripts that are written without spaces (U+3000 to U+9FFF) each
+character is one. A document is contaminated by an item if a window of the document equals a window of the item but for
+some substituted words, place by place: SUBSTITUTED words of WINDOW, and in a shorter item, whose window is the whole
+item, as many in proportion (none below 5 words, 1 below 10, 2 below WINDOW). Fixed masks of the places that count are
+laid over each position of both sides; equal hashes of the words that a mask lets through are hits. The masks are
+lossless for their length of item: however the words to substitute are chosen, one mask fits between them (a test tries
+all choices). Each hit's alignment is then verified word by word around it, so hits alone decide nothing.
+
+The test side goes to the tasks in blocks of bounded size, each of which all documents pass, so nothing is shuffled, and
+the passes over the documents grow with the test items: one for every BLOCK_CHARS characters of them.
 """
 
 from __future__ import annotations
@@ -23,16 +25,37 @@ from tesselix.llm.common import ALNUM, LOWER, mix, powers, ragged, slices, span_
 
 WINDOW = 15
 SUBSTITUTED = 3
-MASKS = ("1101111", "11100010011", "10001101011")
-SHORT = 5
+#: By the least number of an item's words: the masks. Items of fewer than 5 words have one that is the whole item.
+MASKS = {15: ("1101111", "11100010011", "10001101011"), 10: ("111011", "11010011", "11111"), 5: ("1111", "11101", "11011", "10111"), 4: ("1111",), 3: ("111",), 2: ("11",), 1: ("1",)}
+EXACT = 4
 #: Characters of test items in a block, so some 20 MB of hashes.
 BLOCK_CHARS = 4_000_000
 _PRIMES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _BITS = 20
 
 
+def allowed(n):
+    """The words of an item of n words that may be substituted in a window."""
+    return np.minimum(n, WINDOW) * SUBSTITUTED // WINDOW
+
+
+def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words and, per text, the number of words before it."""
+    alone = np.flatnonzero((buf >= 0xE3) & (buf <= 0xE9))  # the first of the three bytes of U+3000 to U+9FFF
+    alone = alone[alone + 2 < len(buf)]
+    if not len(alone):
+        return words(buf, offs, ALNUM)
+    other = buf.copy()
+    for k in range(3):
+        other[alone + k] = 0
+    starts, ends, _ = words(other, offs, ALNUM)
+    starts, ends = np.concatenate([starts, alone]), np.concatenate([ends, alone + 3])
+    order = np.argsort(starts, kind="stable")
+    return starts[order], ends[order], np.searchsorted(starts[order], offs)
+
+
 def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    starts, ends, at = words(buf, offs, ALNUM)
+    starts, ends, at = word_spans(buf, offs)
     return span_hashes(LOWER[buf], starts, ends), at
 
 
@@ -58,33 +81,37 @@ class Items:
         self.ids, (self.words, self.at) = ids, word_hashes(np.frombuffer(b"".join(data), np.uint8), offs)
         lengths = np.diff(self.at)
         item = np.repeat(np.arange(len(ids)), lengths)
-        self.seeds = []
-        for number, mask in enumerate(MASKS + ("1" * SHORT,)):
-            seeds = seed_hashes(self.words, mask, number)
-            place = np.arange(len(seeds))
-            if number < len(MASKS):
-                own = (item[: len(seeds)] == item[len(mask) - 1 :]) & (lengths[item[: len(seeds)]] >= WINDOW)
-            else:  # the beginnings of short items
-                own = (place == self.at[item[: len(seeds)]]) & (lengths[item[: len(seeds)]] >= SHORT) & (lengths[item[: len(seeds)]] < WINDOW)
-            seeds, place = seeds[own], place[own]
-            order = np.argsort(seeds, kind="stable")
-            seeds, place = seeds[order], place[order]
-            marked = np.zeros(1 << _BITS, bool)
-            marked[(seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-            self.seeds.append((mask, number, seeds, place, item[place], np.packbits(marked)))
+        self.seeds, number = [], 0
+        least = np.array(sorted(MASKS))
+        kind = least[np.maximum(np.searchsorted(least, lengths, "right") - 1, 0)]
+        for shortest, masks in MASKS.items():
+            for mask in masks:
+                seeds = seed_hashes(self.words, mask, number)
+                place = np.arange(len(seeds))
+                own = (item[: len(seeds)] == item[len(mask) - 1 :]) & (kind[item[: len(seeds)]] == shortest)
+                seeds, place = seeds[own], place[own]
+                order = np.argsort(seeds, kind="stable")
+                seeds, place = seeds[order], place[order]
+                marked = np.zeros(1 << _BITS, bool)
+                marked[(seeds >> np.uint64(64 - _BITS)).astype(np.int64)] = True
+                if len(seeds):
+                    self.seeds.append((mask, number, shortest <= EXACT, seeds, place, item[place], np.packbits(marked)))
+                number += 1
 
     def hits(self, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(position among all words, position among the items' words, item) of hits within one document."""
-        for mask, number, seeds, place, item, marked in self.seeds:
-            if not len(seeds):
-                continue
+        for mask, number, exact, seeds, place, item, marked in self.seeds:
             got = seed_hashes(hashes, mask, number)
             top = (got >> np.uint64(64 - _BITS)).astype(np.int64)
             at = np.flatnonzero(np.unpackbits(marked).view(bool)[top] & (doc[: len(got)] == doc[len(mask) - 1 :]))
             low, high = np.searchsorted(seeds, got[at], "left"), np.searchsorted(seeds, got[at], "right")
             at, low, n = at[high > low], low[high > low], (high - low)[high > low]
             which = ragged(low, n)
-            yield np.repeat(at, n), place[which], item[which]
+            at = np.repeat(at, n)
+            if exact and len(at):  # such an item's first place in a document is its best
+                _, first = np.unique(doc[at].astype(np.int64) * len(self.ids) + item[which], return_index=True)
+                at, which = at[first], which[first]
+            yield at, place[which], item[which]
 
     def matches(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(document, item, first word of the best window in the document, equal words in it) for each pair that holds."""
@@ -98,7 +125,8 @@ class Items:
         for d, i, shift in pairs.tolist():
             low, high = max(self.at[i], at[d] - shift), min(self.at[i + 1], at[d + 1] - shift)
             whole = self.at[i + 1] - self.at[i]
-            window, least = (WINDOW, WINDOW - SUBSTITUTED) if whole >= WINDOW else (whole, whole)
+            window = min(whole, WINDOW)
+            least = window - allowed(whole)
             if high - low < window:
                 continue
             run = np.concatenate([[0], np.cumsum(hashes[low + shift : high + shift] == self.words[low:high])])
@@ -126,7 +154,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_chars: int =
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per row of docs and item that contaminates it: doc_id, item_id, start_word, equal_words. Of several
-    windows the row has the one of most equal words, then the first. Null and empty texts on either side match nothing;
+    windows the row has the one of most equal words, then the first. Null texts and those without words match nothing on either side;
     repeated rows on either side give repeated rows; null ids are kept; an empty table on either side gives no rows."""
     spark = docs.sparkSession
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))

@@ -104,17 +104,17 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op3_weighted_minhash, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op9_repeated_phrases, op10_toxicity_fm)}
 
-WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{2FFF}\x{A000}-\x{10FFFF}]+|[\x{3000}-\x{9FFF}]')"
 ORACLES: dict[str, str] = {
-    # alignments by equal words, then windows of 15 words around the matches, 12 equal ones at least
+    # alignments by equal words, then windows of 15 words (or of the whole item) around the matches, a fifth unequal at most
     "op1_spaced_seed_decontamination": f"""
 WITH d AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS p, len(w) AS n FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
-b AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q, len(w) AS m FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) >= 15),
-hit AS (SELECT doc_id, item_id, p - q AS shift, p, n, m FROM d JOIN b USING (word)),
-likely AS (SELECT * FROM hit QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= 12),
-start AS (SELECT DISTINCT doc_id, item_id, shift, p - o AS s FROM likely, (SELECT unnest(range(15)) AS o) WHERE p - o >= greatest(0, shift) AND p - o + 15 <= least(n, m + shift)),
-best AS (SELECT doc_id, item_id, s, count(*) AS equal FROM start JOIN likely USING (doc_id, item_id, shift) WHERE p BETWEEN s AND s + 14 GROUP BY doc_id, item_id, shift, s)
-SELECT doc_id, item_id, CAST(s AS INTEGER) AS start_word, CAST(equal AS INTEGER) AS equal_words FROM best WHERE equal >= 12
+b AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q, len(w) AS m, least(len(w), 15) AS l, least(len(w), 15) - least(len(w), 15) * 3 // 15 AS need FROM (SELECT item_id, {WORDS} AS w FROM benchmark)),
+hit AS (SELECT doc_id, item_id, p - q AS shift, p, n, m, l, need FROM d JOIN b USING (word)),
+likely AS (SELECT * FROM hit QUALIFY count(*) OVER (PARTITION BY doc_id, item_id, shift) >= need),
+start AS (SELECT DISTINCT doc_id, item_id, shift, p - o AS s FROM likely, (SELECT unnest(range(15)) AS o) WHERE o < l AND p - o >= greatest(0, shift) AND p - o + l <= least(n, m + shift)),
+best AS (SELECT doc_id, item_id, s, need, count(*) AS equal FROM start JOIN likely USING (doc_id, item_id, shift) WHERE p BETWEEN s AND s + l - 1 GROUP BY doc_id, item_id, shift, s, need)
+SELECT doc_id, item_id, CAST(s AS INTEGER) AS start_word, CAST(equal AS INTEGER) AS equal_words FROM best WHERE equal >= need
 QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY equal DESC, s) = 1""",
     "op9_repeated_phrases": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
@@ -59,10 +60,12 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     weak = [(kind, m.start(), m.end()) for kind, pattern in WEAK.items() for m in pattern.finditer(text) if kind != "opaque" or opaque(m[0])]
     if not weak:
         return []
-    parts, covered = [], 0
+    parts, covered, begins = [], 0, [s for _, s, _ in base]  # ascending
     for kind, start, end in sorted([*base, *weak], key=lambda s: (s[1], KINDS.index(s[0]))):
-        if kind in WEAK and (start < covered or any(s < end and start < e for _, s, e in base if start <= s < end)):
-            continue
+        if kind in WEAK:
+            after = bisect_left(begins, start)
+            if start < covered or (after < len(begins) and begins[after] < end):
+                continue
         parts.append((kind, start, end))
         covered = max(covered, end)
     kept, i = [], 0
@@ -77,10 +80,6 @@ def linked_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str,
     return kept
 
 
-def joined(spans: list[tuple[str, int, int]]) -> str:
-    return ",".join(f"{kind}:{start}:{end}" for kind, start, end in spans)
-
-
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
 
@@ -151,7 +150,3 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
 
     return docs.mapInArrow(run, schema)
-
-
-def digest(spans: list[tuple[str, int, int]]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

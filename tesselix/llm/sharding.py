@@ -1,29 +1,27 @@
 """Sharding: longest-processing-time scheduling of groups that must stay together.
 
-Groups (equal texts) are ordered by size, largest first, and each goes to the least-loaded shard. LPT looks at
-sizes only, so it runs over a histogram of size classes instead of over groups: exact sizes below 2**16 and
-classes 2**(1/2048) wide above, at most about 160,000 classes whatever the input. The heap's decisions for a class
-come out as rank intervals, one per shard, and the groups of a class take them by their rank. Nothing but the
-histogram reaches the driver.
+Groups (equal texts) are ordered by size, largest first, and each goes to the least-loaded shard. LPT looks at sizes
+only, so it runs over the histogram of sizes instead of over groups, and gives the heap's loads exactly. The heap's
+decisions for a size come out as rank intervals, one per shard, and the groups of that size take them by their rank.
+
+k different sizes take k * k / 2 bytes at least, so the histogram has at most the root of twice the input's bytes rows. The
+driver takes it partition by partition, in order, and writes the plan in parts of PLAN_ROWS rows: it never holds all of it.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import gapless, materialise, text_or_empty
+from tesselix.llm.common import fresh_path, gapless, materialise, text_or_empty
 
-EXACT = 1 << 16
-FINE = 2048
 #: Beside a text's bytes, what a row takes in a shard.
 ROW_BYTES = 16
-
-
-def size_class(size):
-    above = F.lit(EXACT) + F.floor(F.log2(size / F.lit(float(EXACT))) * F.lit(float(FINE)))
-    return F.when(size < EXACT, size).otherwise(above).cast("long")
+#: Sizes whose plan is written together.
+PLAN_ROWS = 50_000
+PLAN = "_size long, _to array<int>, _upto array<long>"
 
 
 def deal(loads: list[int], size: int, count: int) -> list[int]:
@@ -32,6 +30,10 @@ def deal(loads: list[int], size: int, count: int) -> list[int]:
     last few are dealt by a search for the level they fill up to; the heap deals those."""
     step = max(size, 1)
     given = [0] * len(loads)
+    if count == 1:
+        i = loads.index(min(loads))
+        given[i], loads[i] = 1, loads[i] + size
+        return given
     low, high = min(loads), max(loads) + step * (count // len(loads) + 2)
 
     def below(level: int) -> int:
@@ -54,19 +56,17 @@ def deal(loads: list[int], size: int, count: int) -> list[int]:
     return given
 
 
-def schedule(classes: list[tuple[int, int, int]], shards: int) -> list[tuple[int, list[int], list[int]]]:
-    """(class, groups, bytes of them) -> (class, shards, ranks below which they take groups)."""
-    loads, plan = [0] * shards, []
-    for key, count, total in sorted(classes, reverse=True):
-        given = deal(loads, total // count, count)
+def schedule(sizes: Iterable[tuple[int, int]], shards: int) -> Iterator[tuple[int, list[int], list[int]]]:
+    """(size, groups of it), largest first -> (size, shards, ranks below which they take groups)."""
+    loads = [0] * shards
+    for size, count in sizes:
         to, upto, at = [], [], 0
-        for i, n in enumerate(given):
+        for i, n in enumerate(deal(loads, size, count)):
             if n:
                 at += n
                 to.append(i)
                 upto.append(at)
-        plan.append((key, to, upto))
-    return plan
+        yield size, to, upto
 
 
 def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 250_000) -> DataFrame:
@@ -83,12 +83,23 @@ def shard(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: s
         docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.unhex(F.sha2(data, 256)).alias("group_sha256")),
         "shard-rows",
     )
-    groups = materialise(rows.groupBy("group_sha256").agg(F.sum("size").alias("_size"), F.count("*").alias("_rows")).withColumn("_class", size_class(F.col("_size"))), "shard-groups")
-    histogram = groups.groupBy("_class").agg(F.count("*").alias("n"), F.sum("_size").alias("b"), F.sum("_rows").alias("r")).collect()  # bounded by the number of classes
-    buckets = 1 + sum(x["r"] for x in histogram) // rows_per_task
-    plan = spark.createDataFrame(schedule([(x["_class"], x["n"], x["b"]) for x in histogram], shards), "_class long, _to array<int>, _upto array<long>")
-    ranked = gapless(groups, ["_class"], ["group_sha256"], "_rank", buckets)
-    placed = ranked.join(plan, "_class").select("group_sha256", F.expr("element_at(_to, 1 + size(filter(_upto, x -> x <= _rank)))").alias("shard"))
+    groups = materialise(rows.groupBy("group_sha256").agg(F.sum("size").alias("_size")), "shard-groups")
+    histogram = materialise(groups.groupBy("_size").agg(F.count("*").alias("n")), "shard-sizes")
+    path, part = fresh_path(spark, "shard-plan"), []
+
+    def flush() -> None:
+        spark.createDataFrame(part, PLAN).coalesce(1).write.mode("append").parquet(path)
+        part.clear()
+
+    for row in schedule(((r["_size"], r["n"]) for r in histogram.orderBy(F.desc("_size")).toLocalIterator()), shards):
+        part.append(row)
+        if len(part) >= PLAN_ROWS:
+            flush()
+    flush()
+    plan = spark.read.schema(PLAN).parquet(path)
+    buckets = 1 + rows.count() // rows_per_task
+    ranked = gapless(groups, ["_size"], ["group_sha256"], "_rank", buckets)
+    placed = ranked.join(plan, "_size").select("group_sha256", F.expr("element_at(_to, 1 + size(filter(_upto, x -> x <= _rank)))").alias("shard"))
     # A group with a third of all rows is one hot key here; the join splits it (AQE's skew join), the groups' side has a row a key.
     placed_rows = materialise(rows.join(placed, "group_sha256"), "shard-placed")
     return gapless(placed_rows, ["shard"], ["doc_id", "group_sha256"], "slot", buckets)

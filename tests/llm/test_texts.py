@@ -5,6 +5,7 @@ import heapq
 import random
 import re
 import tarfile
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -24,12 +25,15 @@ SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthChec
 
 
 def test_masks_are_lossless():
-    for wrong in combinations(range(dec.WINDOW), dec.SUBSTITUTED):
-        assert any(all(m[k] == "0" or at + k not in wrong for k in range(len(m))) for m in dec.MASKS for at in range(dec.WINDOW - len(m) + 1))
+    for n in range(1, 30):
+        masks = dec.MASKS[max(k for k in dec.MASKS if k <= n)]
+        window = min(n, dec.WINDOW)
+        for wrong in combinations(range(window), int(dec.allowed(n))):
+            assert any(all(m[k] == "0" or at + k not in wrong for k in range(len(m))) for m in masks for at in range(window - len(m) + 1)), (n, wrong)
 
 
 def words_of(text):
-    return re.findall(r"[0-9a-z\u0080-\U0010ffff]+", "".join(c.lower() if c < "\x80" else c for c in text or ""))
+    return re.findall(r"[0-9a-z\u0080-\u2fff\ua000-\U0010ffff]+|[\u3000-\u9fff]", "".join(c.lower() if c < "\x80" else c for c in text or ""))
 
 
 def brute_contaminated(docs, items):
@@ -38,8 +42,9 @@ def brute_contaminated(docs, items):
         w = words_of(text)
         for i, item in items:
             b, best = words_of(item), None
-            n, least = (15, 12) if len(b) >= 15 else (len(b), len(b))
-            if len(b) < 5:
+            n = min(len(b), 15)
+            least = n - (0 if n < 5 else 1 if n < 10 else 2 if n < 15 else 3)
+            if not b:
                 continue
             for start in range(len(w) - n + 1):
                 for q in range(len(b) - n + 1):
@@ -55,7 +60,8 @@ def brute_contaminated(docs, items):
 @given(seed=st.integers(0, 10**6))
 def test_decontamination_against_all_windows(spark, seed):
     rng, words = random.Random(seed), vocabulary(40)
-    items = [(i, prose(rng, rng.choice([3, 5, 9, 14, 15, 16, 30]), words)) for i in range(8)] + [(8, None), (None, prose(rng, 20, words))]
+    items = [(20, "日本語の文、これは一つの文章です。"), (21, "中文"), (22, "!?")]
+    items += [(i, prose(rng, rng.choice([1, 2, 3, 4, 5, 6, 9, 10, 14, 15, 16, 30]), words)) for i in range(8)] + [(8, None), (None, prose(rng, 20, words))]
     docs = []
     for d in range(25):
         w = prose(rng, rng.randint(0, 60), words).split()
@@ -64,6 +70,7 @@ def test_decontamination_against_all_windows(spark, seed):
             at = rng.randint(0, len(w))
             w = w[:at] + own[rng.randint(0, 3) :] + w[at:]
         docs.append((d, ". ".join(w).upper() if d % 3 else " ".join(w)))
+    docs += [(25, "彼は日本語の文、これは二つの文章です"), (26, "x中y文z 中文w"), (27, "!?")]
     df = spark.createDataFrame(rows([t for _, t in docs]), DOCS)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     want = brute_contaminated(docs, items)
@@ -112,6 +119,35 @@ def test_weak_parts_need_a_partner(spark):
     assert got == {0: [], 1: [], 2: [], 3: ["endpoint", "opaque"], 4: [], 5: ["account", "assign"], 6: ["access", "opaque"]}
 
 
+def brute_linked(text, base):
+    """Weak parts, clear of strong ones and of earlier parts, in a scope that holds a secret and something else."""
+    weak = [(kind, m.start(), m.end()) for kind, p in secrets.WEAK.items() for m in p.finditer(text) if kind != "opaque" or secrets.opaque(m[0])]
+    parts = []
+    for part in sorted([*base, *weak], key=lambda s: (s[1], secrets.KINDS.index(s[0]))):
+        kind, start, end = part
+        if kind in secrets.BASE or not any(s < end and start < e for _, s, e in [*base, *parts]):
+            parts.append(part)
+    ends = [m.start() for m in secrets.SCOPE_END.finditer(text)]
+    scope = lambda p: sum(e <= p[1] for e in ends)
+    roles = lambda p: {secrets.ROLE[q[0]] for q in parts if scope(q) == scope(p)}
+    return [p for p in parts if p[0] in secrets.WEAK and "secret" in roles(p) and len(roles(p)) > 1]
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=SECRET_TEXT)
+def test_links_against_all_parts_of_a_scope(text):
+    base = secrets.base_spans(text)
+    assert secrets.linked_spans(text, base) == brute_linked(text, base)
+
+
+def test_links_take_time_in_proportion():
+    text = "".join(f"user = person{i}, password = hunter{i:08d}\n" for i in range(25_000))
+    base = secrets.base_spans(text)
+    began = time.perf_counter()
+    assert len(secrets.linked_spans(text, base)) == len(base) == 25_000
+    assert time.perf_counter() - began < 5
+
+
 def test_secrets_of_odd_rows(spark):
     df = odd_documents(spark)
     assert secrets.find_secrets(df).count() == df.count()
@@ -268,5 +304,33 @@ def test_shards(spark):
     for size in sorted(groups.values(), reverse=True):
         x, i = heapq.heappop(heap)
         heapq.heappush(heap, (x + size, i))
-    assert max(loads.values()) <= 1.01 * max(x for x, _ in heap)
+    assert [loads[i] for i in range(7)] == [x for x, _ in sorted(heap, key=lambda h: h[1])]
     assert sharding.shard(empty_documents(spark)).collect() == []
+
+
+def test_shards_of_odd_rows(spark):
+    df = odd_documents(spark)
+    got = sharding.shard(df, 3).collect()
+    assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((r["doc_id"], len((r["text"] or "").encode()) + 16) for r in df.collect())
+
+
+@settings(max_examples=60, deadline=None)
+@given(sizes=st.lists(st.one_of(st.integers(0, 40), st.integers(65_000, 66_000), st.integers(10**6, 10**9)), max_size=60), shards=st.integers(1, 9))
+def test_schedule_is_the_heap_at_every_size(sizes, shards):
+    loads = [0] * shards
+    for size, to, upto in sharding.schedule(sorted(Counter(sizes).items(), reverse=True), shards):
+        for i, n in zip(to, np.diff([0, *upto]).tolist(), strict=True):
+            loads[i] += n * size
+    heap = [(0, i) for i in range(shards)]
+    for size in sorted(sizes, reverse=True):
+        x, i = heapq.heappop(heap)
+        heapq.heappush(heap, (x + size, i))
+    assert sorted(loads) == sorted(x for x, _ in heap)
+
+
+def test_a_plan_in_parts_is_the_same(spark, monkeypatch):
+    rng, words = random.Random(5), vocabulary()
+    df = documents(spark, [prose(rng, rng.randint(0, 60), words) for _ in range(200)])
+    whole = sorted(tuple(r) for r in sharding.shard(df, 5).select("doc_id", "shard").collect())
+    monkeypatch.setattr(sharding, "PLAN_ROWS", 7)
+    assert sorted(tuple(r) for r in sharding.shard(df, 5).select("doc_id", "shard").collect()) == whole
