@@ -7,28 +7,44 @@ the larger weights) is `similarity` or more; classes are the connected component
 
 Equal texts are one node from the start, so copies never meet. SAMPLES improved consistent weighted samples a text
 agree each with a probability equal to the similarity; BANDS bands of them put nodes into buckets (at a similarity of
-0.8 all bands miss a pair with probability 0.0002, at 0.85 with 0.000007). In each bucket one pivot is verified against
-every other member by the exact similarity. What buckets then still hold several classes of is settled pair by pair:
-nodes that such buckets connect are a family, families are dealt to groups of two chunks of bounded size each, and every
-two nodes of a group that share a bucket and are of different classes are verified. The largest class of a family meets
-the others only, never itself. Pairs are compared inside the tasks; only links leave them.
+0.8 all bands miss a pair with probability 0.0002, at 0.85 with 0.000007).
+
+1. In each bucket one pivot meets every other member. Samples are compared first: a pair of which fewer agree than all but one in
+   a million pairs of the least similarity do is settled. The others are verified by the exact similarity.
+2. What buckets then still hold several classes of meets by samples only, which finds the nodes that have a likely
+   partner in another class.
+3. Those are settled pair by pair: nodes that such buckets connect are a family, families are dealt to groups of two
+   chunks of bounded size each, and every two nodes of a group that share a bucket and are of different classes are
+   verified. The largest class of a family meets the others only, never itself.
+
+Pairs are compared inside the tasks; only links, and in step 2 nodes, leave them. Texts are moved compressed, and only
+those that a pair is verified for. A text is worked on whole; beside it a task holds some tens of bytes for each of its words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import comb
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import ALNUM, LOWER, materialise, mix, shingle_hashes, slices, span_hashes, text_or_empty, words
+from tesselix.llm.common import ALNUM, LOWER, SLICE_BYTES, materialise, mix, shingle_hashes, slices, span_hashes, text_or_empty, words
 from tesselix.llm.components import components
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
 SAMPLES = BANDS * ROWS
 WORDS = 1 << 16
-#: Members that meet a pivot in one group, and nodes of a family in one chunk.
+#: Members that meet a pivot in one group, and nodes of a family in one chunk; shingles of a chunk.
 GROUP = 512
+GROUP_SHINGLES = 1 << 20
+#: Nodes of a bucket that meet by samples in one chunk.
+SKETCHES = 8192
+#: Shingles sampled at once.
+SHINGLES = 1 << 15
 _NO_ID = -(1 << 63)
 
 
@@ -110,33 +126,56 @@ _GAMMA = _quantiles()
 
 
 def band_keys(shingles: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """BANDS keys of each text that has shingles: improved consistent weighted sampling (Ioffe, 2010). Per sample and
-    shingle r and c are Gamma(2, 1) and beta uniform, drawn by hash; t = floor(ln S / r + beta), and the sample is the
-    shingle of least c / exp(r (t - beta + 1)) with its t."""
+    """BANDS keys of each text that has shingles, 16 bits for each of a band's samples: improved consistent weighted
+    sampling (Ioffe, 2010). Per sample and shingle r and c are Gamma(2, 1) and beta uniform, drawn by hash;
+    t = floor(ln S / r + beta), and the sample is the shingle of least c / exp(r (t - beta + 1)) with its t. Shingles are
+    taken in bounded runs; of a text in several, the least of all runs counts."""
     begin = at[:-1][at[1:] > at[:-1]]
-    lengths = np.diff(np.append(begin, len(shingles)))
-    keys = np.zeros((BANDS, len(begin)), np.uint64)
-    log_s = np.log(weights)
-    for j in range(SAMPLES):
-        x = shingles * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & (2**64 - 1)) + np.uint64((0xD1B54A32D192ED03 * (j + 1)) & (2**64 - 1))
-        x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-        y = x * np.uint64(0x94D049BB133111EB)
-        y ^= y >> np.uint64(31)
-        r = _GAMMA[(x >> np.uint64(52)).astype(np.int64)]
-        beta = (x.astype(np.uint32) >> np.uint32(8)).astype(np.float32) * np.float32(2**-24)
-        t = np.floor(log_s / r + beta)
-        u = ((y >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
-        v = (y.astype(np.uint32).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
-        cost = np.log(-np.log(np.minimum(u * v, np.float32(1 - 2**-24)))) - r * (t - beta + np.float32(1))
-        least = np.repeat(np.minimum.reduceat(cost, begin), lengths)
-        place = np.flatnonzero(cost == least)
-        pick = place[np.searchsorted(place, begin)]  # of equal ones the smallest shingle
-        sample = mix(shingles[pick] ^ (t[pick].astype(np.int64).astype(np.uint64) << np.uint64(48)), j)
-        band = j // ROWS
-        keys[band] = mix(keys[band] + sample, band)
-    return keys
+    least, sample = np.full((SAMPLES, len(begin)), np.inf, np.float32), np.zeros((SAMPLES, len(begin)), np.uint64)
+    for low in range(0, len(shingles), SHINGLES):
+        own, log_s = shingles[low : low + SHINGLES], np.log(weights[low : low + SHINGLES])
+        first = int(np.searchsorted(begin, low, "right")) - 1
+        last = int(np.searchsorted(begin, low + len(own)))
+        cut = np.maximum(begin[first:last] - low, 0)
+        lengths = np.diff(np.append(cut, len(own)))
+        for j in range(SAMPLES):
+            x = own * np.uint64((0x9E3779B97F4A7C15 * (2 * j + 1)) & (2**64 - 1)) + np.uint64((0xD1B54A32D192ED03 * (j + 1)) & (2**64 - 1))
+            x ^= x >> np.uint64(29)
+            x *= np.uint64(0xBF58476D1CE4E5B9)
+            x ^= x >> np.uint64(32)
+            y = x * np.uint64(0x94D049BB133111EB)
+            y ^= y >> np.uint64(31)
+            r = _GAMMA[(x >> np.uint64(52)).astype(np.int64)]
+            beta = (x.astype(np.uint32) >> np.uint32(8)).astype(np.float32) * np.float32(2**-24)
+            t = np.floor(log_s / r + beta)
+            u = ((y >> np.uint64(32)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
+            v = (y.astype(np.uint32).astype(np.float32) + np.float32(0.5)) * np.float32(2**-32)
+            cost = np.log(-np.log(np.minimum(u * v, np.float32(1 - 2**-24)))) - r * (t - beta + np.float32(1))
+            here = np.minimum.reduceat(cost, cut)
+            place = np.flatnonzero(cost == np.repeat(here, lengths))
+            pick = place[np.searchsorted(place, cut)]  # of equal ones the smallest shingle
+            got = mix(own[pick] ^ (t[pick].astype(np.int64).astype(np.uint64) << np.uint64(48)), j)
+            less = here < least[j, first:last]
+            sample[j, first:last] = np.where(less, got, sample[j, first:last])
+            least[j, first:last] = np.where(less, here, least[j, first:last])
+    lanes = (sample >> np.uint64(48)).reshape(BANDS, ROWS, len(begin))
+    return sum((lanes[:, k] << np.uint64(16 * k) for k in range(ROWS)), np.zeros((BANDS, len(begin)), np.uint64))
+
+
+def agreeing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many samples agree, of each row's keys."""
+    return (np.ascontiguousarray(a).view(np.uint16) == np.ascontiguousarray(b).view(np.uint16)).sum(-1)
+
+
+def least_agreeing(similarity: float) -> int:
+    """The samples that agree in all but one in a million pairs of that similarity."""
+    chance, n = 0.0, 0
+    while n < SAMPLES:
+        chance += comb(SAMPLES, n) * similarity**n * (1 - similarity) ** (SAMPLES - n)
+        if chance > 1e-6:
+            break
+        n += 1
+    return n
 
 
 def similarity_of(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
@@ -149,11 +188,26 @@ def similarity_of(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray)
     return shared / whole if whole else 0.0
 
 
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """slices() of texts that are compressed, in the last column."""
+    expand = zstandard.ZstdDecompressor()
+    for batch in batches:
+        at, texts, size = 0, [], 0
+        for i, z in enumerate(batch.columns[-1]):
+            texts.append(expand.decompress(z.as_py()))
+            size += len(texts[-1])
+            if size >= SLICE_BYTES or i == batch.num_rows - 1:
+                offs = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+                yield batch.slice(at, i + 1 - at), np.frombuffer(b"".join(texts), np.uint8), offs
+                at, texts, size = i + 1, [], 0
+
+
 def _links(groups: DataFrame, idf, similarity: float) -> DataFrame:
-    """groups: group, role, own, node, class, bands, _text. Rows of role 0 are verified against rows of role 1 and, where
+    """groups: group, role, own, node, class, bands, z. Rows of role 0 are verified against rows of role 1 and, where
     `own` holds, against each other, if they share a band and their classes differ. Gives links (a, b), as many as join
     the classes met in a group. Rows of a group lie together, those of role 0 first, which alone are held."""
     rows = groups.repartition("group").sortWithinPartitions("group", "role", "node")
+    enough = least_agreeing(similarity)
 
     def run(batches):
         weights = idf.value
@@ -164,17 +218,18 @@ def _links(groups: DataFrame, idf, similarity: float) -> DataFrame:
                 x = root[x]
             return x
 
-        for got, buf, offs in slices(batches, "_text"):
+        for got, buf, offs in _unpacked(batches):
             shingles, weight, at = weighted_shingles(buf, offs, weights)
-            of = got.column(5)
-            keys = of.flatten().to_numpy().reshape(-1, BANDS)
+            keys = got.column(5).flatten().to_numpy().reshape(-1, BANDS)
             out = []
             for i, (group, role, own, node, cls) in enumerate(zip(*(got.column(k).to_pylist() for k in range(5)), strict=True)):
                 if group != current:
                     current, first, sets, classes, n, root = group, [], [], [], 0, {}
                 mine = (shingles[at[i] : at[i + 1]], weight[at[i] : at[i + 1]])
                 if role or own:
-                    for k in np.flatnonzero((bands[:n] == keys[i]).any(1)).tolist():
+                    near = np.flatnonzero((bands[:n] == keys[i]).any(1))
+                    near = near[agreeing(bands[near], keys[i]) >= enough]
+                    for k in near.tolist():
                         a, b = find(classes[k]), find(cls)
                         if a != b and similarity_of(*sets[k], *mine) >= similarity:
                             root[b] = a
@@ -189,32 +244,89 @@ def _links(groups: DataFrame, idf, similarity: float) -> DataFrame:
                     sets.append((mine[0].copy(), mine[1].copy()))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    return rows.select("group", "role", "own", "node", "class", "bands", "_text").mapInArrow(run, "a binary, b binary")
+    return rows.select("group", "role", "own", "node", "class", "bands", "z").mapInArrow(run, "a binary, b binary")
+
+
+def _likely(pairs: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (pivot, node, and the keys of both) whose samples agree often enough."""
+    enough = least_agreeing(similarity)
+
+    def run(batches):
+        for b in batches:
+            p, q = (b.column(k).flatten().to_numpy().reshape(-1, BANDS) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["pivot", "node"]).filter(pa.array(agreeing(p, q) >= enough))
+
+    return pairs.select("pivot", "node", "p_bands", "bands").mapInArrow(run, "pivot binary, node binary")
+
+
+def _with_partners(groups: DataFrame, similarity: float) -> DataFrame:
+    """groups: group, role, own, node, class, bands, as for _links(). The nodes that have, in their group, one of another
+    class whose samples agree often enough."""
+    rows = groups.repartition("group").sortWithinPartitions("group", "role", "node")
+    enough = least_agreeing(similarity)
+
+    def run(batches):
+        current, names, classes, bands, n, found = None, [], [], np.zeros((0, BANDS), np.int64), 0, set()
+        for got in batches:
+            keys, out = got.column(5).flatten().to_numpy().reshape(-1, BANDS), set()
+            for i, (group, role, own, node, cls) in enumerate(zip(*(got.column(k).to_pylist() for k in range(5)), strict=True)):
+                if group != current:
+                    current, names, classes, n, found = group, [], [], 0, set()
+                if role or own:
+                    near = np.flatnonzero((bands[:n] == keys[i]).any(1))
+                    near = near[agreeing(bands[near], keys[i]) >= enough]
+                    met = [names[k] for k in near.tolist() if classes[k] != cls]
+                    if met:
+                        out.update(x for x in met if x not in found)
+                        found.update(met)
+                        out.add(node)
+                if not role:
+                    if n == len(bands):
+                        bands = np.concatenate([bands, np.zeros((max(n, 16), BANDS), np.int64)])
+                    bands[n] = keys[i]
+                    n += 1
+                    names.append(node)
+                    classes.append(cls)
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.binary())], ["node"])
+
+    return rows.select("group", "role", "own", "node", "class", "bands").mapInArrow(run, "node binary").distinct()
 
 
-def _families(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """The groups that settle what buckets hold several classes of beside their pivots: group, role, own, node, class."""
-    now = members.filter("node <> pivot").select("bucket", "node").join(classes, "node")
+def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """bucket, node, class, size, hub of what buckets hold several classes of beside their pivots."""
+    now = members.filter("node <> pivot").select("bucket", "node", "size").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    now = materialise(now, "open")
     open_ = now.groupBy("bucket").agg(F.min("class").alias("l"), F.max("class").alias("h"), F.min("node").alias("hub")).filter("l < h").select("bucket", "hub")
-    edges = now.select("bucket", "node").join(open_, "bucket").select("hub", "node").distinct()
-    families = materialise(components(edges, "hub", "node").select("node", F.col("root").alias("family")).join(classes, "node"), "families")
-    sizes = families.groupBy("family", "class").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("family").agg(F.max(F.struct("n", "class")).alias("m"), F.sum("n").alias("all"))
-    chunks = lambda n: F.ceil(n / F.lit(GROUP))
-    sizes = sizes.select("family", F.col("m.class").alias("major"), chunks(F.col("all") - F.col("m.n")).alias("minors"), chunks(F.col("m.n")).alias("majors")).filter("minors > 0")
-    # a hot family is one row of sizes and many nodes: a join that AQE splits
-    dealt = families.join(sizes, "family").withColumn("large", F.col("class") == F.col("major"))
+    return now.join(open_, "bucket")
+
+
+def _dealt(rows: DataFrame, key: str, most: int, shingles: int) -> DataFrame:
+    """rows: key, node, class, size (shingles). The groups in which every two nodes of a key meet, but for those of its
+    largest class: group, role, own, node, class. A chunk has about `most` nodes and `shingles` shingles at most."""
+    sizes = rows.groupBy(key, "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sizes = sizes.groupBy(key).agg(F.max(F.struct("n", "class", "s")).alias("m"), F.sum("n").alias("all"), F.sum("s").alias("whole"))
+    chunks = lambda n, s: F.greatest(F.ceil(n / F.lit(most)), F.ceil(s / F.lit(shingles)))
+    others = F.col("all") - F.col("m.n")
+    sizes = sizes.filter(others > 0).select(key, F.col("m.class").alias("major"), chunks(others, F.col("whole") - F.col("m.s")).alias("minors"), chunks(F.col("m.n"), F.col("m.s")).alias("majors"))
+    # a hot key is one row of sizes and many nodes: a join that AQE splits
+    dealt = rows.join(sizes, key).withColumn("large", F.col("class") == F.col("major"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("majors")).otherwise(F.col("minors"))))
-    others = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("o")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("o")
     low, high = F.least("chunk", "o"), F.greatest("chunk", "o")
     minor = dealt.filter("not large")
-    row = lambda kind, a, b, role, own: (F.xxhash64("family", F.lit(kind), a, b).alias("group"), role.cast("int").alias("role"), own.alias("own"), "node", "class")
-    among = minor.select("*", others("minors")).select(*row(0, low, high, F.col("chunk") > F.col("o"), F.col("chunk") == F.col("o")))
-    left = minor.select("*", others("majors")).select(*row(1, F.col("chunk"), F.col("o"), F.lit(0), F.lit(False)))
-    right = dealt.filter("large").select("*", others("minors")).select(*row(1, F.col("o"), F.col("chunk"), F.lit(1), F.lit(False)))
+    row = lambda kind, a, b, role, own: (F.xxhash64(key, F.lit(kind), a, b).alias("group"), role.cast("int").alias("role"), own.alias("own"), "node", "class")
+    among = minor.select("*", each("minors")).select(*row(0, low, high, F.col("chunk") > F.col("o"), F.col("chunk") == F.col("o")))
+    left = minor.select("*", each("majors")).select(*row(1, F.col("chunk"), F.col("o"), F.lit(0), F.lit(False)))
+    right = dealt.filter("large").select("*", each("minors")).select(*row(1, F.col("o"), F.col("chunk"), F.lit(1), F.lit(False)))
     return among.unionByName(left).unionByName(right)
 
 
+def _families(open_: DataFrame) -> DataFrame:
+    """family, node, class, size: nodes that open buckets connect."""
+    found = components(open_.select("hub", "node").distinct(), "hub", "node").select("node", F.col("root").alias("family"))
+    return found.join(open_.select("node", "class", "size").distinct(), "node")
+
+
 def _class_of(nodes: DataFrame, found: DataFrame) -> DataFrame:
     """nodes (node, class) with the classes that `found` (node, root) has joined."""
     return materialise(nodes.join(found.select(F.col("node").alias("class"), "root"), "class", "left").select("node", F.coalesce("root", "class").alias("class")), "classes")
@@ -233,6 +345,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text_col))
 
     def sketch(batches):
+        pack = zstandard.ZstdCompressor(level=1)
+        packed: set[bytes] = set()  # of each text the first row of a task carries it
         for rows, buf, offs in slices(batches, "_text"):
             shingles, weight, at = weighted_shingles(buf, offs, idf.value)
             has = np.flatnonzero(np.diff(at))
@@ -241,31 +355,49 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
                 keys = np.ascontiguousarray(band_keys(shingles, weight, at).T).view(np.int64)
             cut = np.zeros(rows.num_rows + 1, np.int32)
             cut[1:] = np.cumsum(np.where(np.diff(at) > 0, BANDS, 0))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.ravel()))], ["_id", "node", "bands"])
-
-    rows = materialise(named.mapInArrow(sketch, "_id bigint, node binary, bands array<bigint>"), "sketches")
-    nodes = materialise(rows.groupBy("node").agg(F.min("_id").alias("_id"), F.count("*").alias("rows"), F.first("bands").alias("bands")), "nodes")
-
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))  # a bucket with a third of all nodes: one row of `buckets`, and a join that AQE splits
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1")
-    members = materialise(placed.join(buckets, "bucket").select("bucket", "node", "pivot"), "members")
-    # The texts in question, one row each; ids are in the join's key so that a hot text's copies are spread.
-    involved = members.select("node").distinct().join(nodes.select("node", "_id", "bands"), "node")
-    texts = materialise(named.join(involved, ["_id", "node"]).dropDuplicates(["node"]).select("node", "bands", "_text"), "texts")
-
-    pairs = members.filter("node <> pivot").select("pivot", "node").distinct()
+            data, z = buf.data, []
+            for node, n, i, j in zip(rows.column(1).to_pylist(), np.diff(at).tolist(), offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+                z.append(pack.compress(data[i:j]) if n and node not in packed else None)
+                packed.add(node)
+            if len(packed) > GROUP * GROUP:
+                packed.clear()
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.ravel())), pa.array(z, pa.binary())], ["_id", "node", "size", "bands", "z"])
+
+    rows = materialise(named.mapInArrow(sketch, "_id bigint, node binary, size bigint, bands array<bigint>, z binary"), "sketches")
+    nodes = materialise(rows.groupBy("node").agg(F.min("_id").alias("_id"), F.count("*").alias("rows"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+
+    def texts_of(picked: DataFrame, what: str) -> DataFrame:
+        """The texts of some nodes, one row each; a hot text is in one row a task at most."""
+        found = rows.filter("z is not null").select("node", "z").join(picked.select("node").distinct(), "node", "left_semi")
+        return materialise(found.groupBy("node").agg(F.first("z").alias("z")).join(nodes.select("node", "bands"), "node"), what)
+
+    each = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
+    placed = each.select("node", "size", F.xxhash64("band", "key").alias("bucket"))
+    # a bucket with a third of all nodes: one row of `buckets`, and a join that AQE splits
+    buckets = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1").select("bucket", "pivot")
+    members = materialise(placed.join(buckets, "bucket").select("bucket", "node", "size", "pivot"), "members")
+
+    pairs = members.filter("node <> pivot").select("pivot", "node").distinct().join(nodes.select("node", "bands"), "node")
+    pairs = materialise(_likely(pairs.join(nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("p_bands")), "pivot"), similarity), "pairs")
     parts = pairs.groupBy("pivot").agg((F.count("*") / GROUP + 1).cast("int").alias("parts"))
     dealt = pairs.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("group"), "pivot", "node")
     ends = dealt.select("group", F.lit(1).alias("role"), "node").unionByName(dealt.select("group", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct())
     ends = ends.select("group", "role", F.lit(False).alias("own"), "node", F.col("node").alias("class"))
-    links = _links(ends.join(texts, "node"), idf, similarity)
-    classes = _class_of(texts.select("node", F.col("node").alias("class")), components(materialise(links, "verified")))
-    links = materialise(_links(_families(members, classes).join(texts, "node"), idf, similarity), "verified")
+    links = _links(ends.join(texts_of(ends, "texts"), "node"), idf, similarity)
+    classes = components(materialise(links, "verified")).select("node", F.col("root").alias("class"))
+    classes = materialise(nodes.select("node").join(classes, "node", "left").select("node", F.coalesce("class", "node").alias("class")), "classes")
+
+    open_ = materialise(_open(members, classes), "open")
+    met = _dealt(open_.select("bucket", "node", "class", F.lit(0).alias("size")), "bucket", SKETCHES, 1)
+    likely = materialise(_with_partners(met.join(nodes.select("node", "bands"), "node"), similarity), "likely")
+    families = materialise(_families(open_.join(likely, "node", "left_semi")), "families")
+    groups = _dealt(families, "family", GROUP, GROUP_SHINGLES)
+    links = materialise(_links(groups.join(texts_of(families, "texts"), "node"), idf, similarity), "verified")
     to_class = classes.select(F.col("node").alias("a"), F.col("class").alias("ca"))
     joined = links.join(to_class, "a").join(classes.select(F.col("node").alias("b"), F.col("class").alias("cb")), "b").select("ca", "cb")
     classes = _class_of(classes, components(joined, "ca", "cb"))
 
-    labelled = nodes.select("node", "_id", "rows").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
+    labelled = nodes.select("node", "_id", "rows").join(classes, "node")
     summed = labelled.groupBy("class").agg(F.min("_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(F.struct("_id", "node")).alias("_best"))
     known = labelled.join(summed, "class").select("node", "class_id", "class_size", "_best")
     no_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
