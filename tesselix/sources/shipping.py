@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -17,7 +19,9 @@ def ship(spark: SparkSession) -> None:
     if application in _shipped:
         return
     package = Path(__file__).resolve().parent.parent
-    path = Path(tempfile.mkdtemp()) / "tesselix.zip"
+    folder = Path(tempfile.mkdtemp())  # the driver's own: executors get the file from the driver
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = folder / "tesselix.zip"
     with zipfile.ZipFile(path, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, Path(package.name) / f.relative_to(package))
