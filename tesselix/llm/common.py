@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from tesselix.sources.storage import fresh_path, materialise
 
-__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "materialise", "mix", "powers", "ragged", "release", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "words"]
+__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "materialise", "mix", "powers", "ragged", "release", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "unused", "words"]
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
 SLICE_BYTES = 1 << 20
@@ -36,14 +36,26 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with as many underscores after them as it takes for df to have no column of that name."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, buckets: int) -> DataFrame:
     """Adds out: 0, 1, 2, ... within each key. A key's rows are spread over `buckets` by a hash of `order`, counted
-    there and numbered from the bucket's offset, so a hot key is never sorted by one task. Keys must not be null."""
-    salted = df.withColumn("_b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
-    by_key = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = salted.groupBy(*keys, "_b").agg(F.count("*").alias("_n")).select(*keys, "_b", F.coalesce(F.sum("_n").over(by_key), F.lit(0)).alias("_o"))
-    within = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return salted.join(offsets, [*keys, "_b"]).withColumn(out, (F.col("_o") + F.row_number().over(within) - 1).cast("long")).drop("_b", "_o")
+    there and numbered from the bucket's offset, so a hot key is never sorted by one task. Keys must not be null. Other
+    columns stay, whatever their names."""
+    b, n, o = unused(df, "_b", "_n", "_o")
+    salted = df.withColumn(b, F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
+    by_key = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = salted.groupBy(*keys, b).agg(F.count("*").alias(n)).select(*keys, b, F.coalesce(F.sum(n).over(by_key), F.lit(0)).alias(o))
+    within = Window.partitionBy(*keys, b).orderBy(*order)
+    return salted.join(offsets, [*keys, b]).withColumn(out, (F.col(o) + F.row_number().over(within) - 1).cast("long")).drop(b, o)
 
 
 # --- texts as bytes -------------------------------------------------------------------------------------------

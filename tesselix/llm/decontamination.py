@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from tesselix.llm.common import ALNUM, LOWER, mix, powers, ragged, slices, span_hashes, text_or_empty, words
+from tesselix.sources.shipping import ship
 
 WINDOW = 15
 SUBSTITUTED = 3
@@ -157,6 +158,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     windows the row has the one of most equal words, then the first. Null texts and those without words match nothing on either side;
     repeated rows on either side give repeated rows; null ids are kept; an empty table on either side gives no rows."""
     spark = docs.sparkSession
+    ship(spark)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
     schema = f"doc_id {dict(picked.dtypes)['doc_id']}, item_id {dict(items.dtypes)[item_id]}, start_word int, equal_words int"
     out = spark.createDataFrame([], schema)
@@ -181,6 +183,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs that no item contaminates, columns unchanged; rows with a null or empty text stay."""
     spark, schema = docs.sparkSession, docs.schema
+    ship(spark)
     for block in item_blocks(items, item_id, item_text):
         held = spark.sparkContext.broadcast(block)
 

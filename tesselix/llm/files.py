@@ -12,6 +12,9 @@ def store(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path, and the path there; a path without a scheme or with file: is a mounted one."""
     if uri.startswith("file:"):
         return fs.LocalFileSystem(), unquote(urlparse(uri).path)
+    for name in ("s3a:", "s3n:"):  # Spark's names of a store that is s3 here
+        if uri.startswith(name):
+            uri = "s3:" + uri[len(name) :]
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 

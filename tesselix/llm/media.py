@@ -21,10 +21,13 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import fresh_path, materialise, slices, text_or_empty
 from tesselix.llm.files import Writer, store
+from tesselix.sources.shipping import ship
 
 WIDTH = 64
 SHARD_BYTES = 64 << 20
 HEADER = 33
+#: Stored bytes and samples that are given out together, about.
+BATCH_BYTES = 4 << 20
 #: Stored bytes that a task reads.
 TASK_BYTES = 16 << 20
 _MAGIC = b"\x89PNG\r\n\x1a\n"
@@ -101,6 +104,7 @@ def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
     """Stores the UTF-8 bytes of every text (null: empty) as media: doc_id, n_bytes (of the text), digest, shard,
     offset, length. Equal texts have equal values but for doc_id. Repeated rows and null ids stay; an empty table gives
     no rows and no shards; other columns are dropped. Shards that a lost attempt has left are in no row."""
+    ship(docs.sparkSession)
     folder = folder or fresh_path(docs.sparkSession, "media")
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
 
@@ -132,28 +136,41 @@ def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
 def read_media(rows: DataFrame, payload: bool = True) -> DataFrame:
     """What is stored, one row a content: digest, media_bytes, width, height, bits from header ranges and, if asked for,
     the stored file (media) and its samples (payload), read back whole. Contents are read in the order they lie in."""
+    ship(rows.sparkSession)
     wanted = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
     # by number: the rows are small, what is read for them is not
     tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism + int((rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
     wanted = wanted.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
     def run(batches):
-        file, opened = None, None
+        file, opened, found, held = None, None, [], 0
+
+        def flush():
+            nonlocal found, held
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            out = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["digest", "media_bytes", "width", "height", "bits", "media", "payload"])
+            found, held = [], 0
+            return out
+
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                found = []
-                for digest, shard, offset, length in zip(*(c.to_pylist() for c in b.slice(at, 500).columns), strict=True):
-                    if shard != opened:
-                        if file:
-                            file.close()
-                        fs, path = store(shard)
-                        file, opened = fs.open_input_file(path), shard
-                    file.seek(offset)
-                    head = file.read(HEADER)
-                    width, height, bits, _ = png_header(head)
-                    whole = head + file.read(length - HEADER) if payload else None
-                    found.append((digest, length, width, height, bits, whole, png_samples(whole) if payload else None))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["digest", "media_bytes", "width", "height", "bits", "media", "payload"])
+            for digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if shard != opened:
+                    if file:
+                        file.close()
+                    fs, path = store(shard)
+                    file, opened = fs.open_input_file(path), shard
+                file.seek(offset)
+                head = file.read(HEADER)
+                width, height, bits, _ = png_header(head)
+                whole = head + file.read(length - HEADER) if payload else None
+                samples = png_samples(whole) if payload else None
+                found.append((digest, length, width, height, bits, whole, samples))
+                held += HEADER + (length + len(samples) if payload else 0)
+                if held >= BATCH_BYTES or len(found) >= 5_000:
+                    yield flush()
+        if file:
+            file.close()
+        if found:
+            yield flush()
 
     return wanted.mapInArrow(run, "digest string, media_bytes bigint, width bigint, height bigint, bits bigint, media binary, payload binary")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import ALNUM, LOWER, SLICE_BYTES, materialise, mix, shingle_hashes, slices, span_hashes, text_or_empty, words
 from tesselix.llm.components import components
+from tesselix.sources.shipping import ship
 
 SHINGLE = 5
 BANDS, ROWS = 16, 4
@@ -340,6 +341,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     any other. An empty table gives no rows; other columns are dropped. Ids must be integers.
     """
     spark = docs.sparkSession
+    ship(spark)
     text = text_or_empty(text_col)
     named = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(_NO_ID)).alias("_id"), F.unhex(F.md5(text.cast("binary"))).alias("node"), text.alias("_text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text_col))

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import NOT_WHITE, fresh_path, materialise, mix, powers, ragged, slices, span_hashes, words
 from tesselix.llm.files import store, write_file
+from tesselix.sources.shipping import ship
 
 WINDOW = 50
 GRAM = 10
@@ -261,6 +262,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other's words; rows of a null id keep all and remove nothing elsewhere. An empty table gives no rows; other columns
     are dropped. Ids must be integers."""
     spark = docs.sparkSession
+    ship(spark)
     buckets = write_buckets(docs, fresh_path(spark, "texts"), id_col, text_col)
     # By number, so that buckets stay spread out: their rows here are small, their files are not.
     tasks = min(buckets.count() + 1, MOST_TASKS)

@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tesselix.sources.shipping import ship
+
 # The kinds in the order that breaks ties of position, their patterns and least lengths.
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8),
@@ -110,6 +112,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in x] for x in _scan(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, pa.list_(SPAN))], ["doc_id", "secrets"])
 
+    ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = dict(picked.dtypes)["doc_id"]
     return picked.mapInArrow(run, f"doc_id {kind}, secrets array<struct<kind: string, start: bigint, end: bigint>>")
@@ -130,6 +133,7 @@ def redact_secrets(docs: DataFrame, text_col: str = "text", length_col: str | No
     """docs with secrets replaced in the text, and its length column, if there is one, brought up to date. Rows without
     secrets, null texts and all other columns are unchanged."""
     schema = docs.schema
+    ship(docs.sparkSession)
 
     def run(batches):
         for b in batches:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 from tesselix.llm.common import fresh_path, materialise, text_or_empty
 from tesselix.llm.files import store, write_file
 from tesselix.llm.tokens import encoded
+from tesselix.sources.shipping import ship
 
 MAGIC = b"TSLX8B01"
 BLOCK = 512
@@ -152,6 +153,7 @@ def write_ids(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "do
     written. An empty table gives no files. A file that a lost attempt has left is in no row of the result.
     """
     spark = docs.sparkSession
+    ship(spark)
     folder = folder or fresh_path(spark, "ids")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("_h"))
@@ -200,6 +202,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                     some = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]) * 4), pa.py_buffer(data[cut[0] : cut[-1]].tobytes())])
                     yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 5_000], pa.int64()), pa.array(first + cut[:-1]), pa.array(np.diff(cut)), some.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
+    ship(files.sparkSession)
     # a few files a task: the window that numbers them has left them in one partition
     spread = files.select("file", "first_id").repartition(max(files.sparkSession.sparkContext.defaultParallelism * 2, 8), "file")
     return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")

@@ -24,7 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import ALNUM, LOWER, materialise, mix, ragged, slices, span_hashes, text_or_empty, words
+from tesselix.llm.common import ALNUM, LOWER, materialise, mix, ragged, slices, span_hashes, text_or_empty, unused, words
+from tesselix.sources.shipping import ship
 
 DIMENSIONS = 1 << 20
 #: Bytes of a word's beginning that are terms as well, and how often a term must stand in a text to count once more.
@@ -288,6 +289,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, pair_texts: in
     """Fits a machine to the labels of docs (0 or 1; null labels, null ids and ids without a row in docs count for
     nothing; a repeated text counts once, as toxic if most of its labels say so). With no labels, or labels of one kind,
     the machine scores every text alike, by the share of toxic ones (0 without labels)."""
+    ship(docs.sparkSession)
     rows = _sampled(docs, labels, sample, id_col, text_col, label_col)
     kinds = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     none = np.zeros(0, np.int64)
@@ -316,12 +318,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, pair_texts: in
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str = "score") -> DataFrame:
-    """docs with a column `out` (any column of that name is replaced). Null and empty texts score by the bias alone;
-    repeated rows score alike."""
+    """docs with a column `out` (any column of that name is replaced). Null texts count as empty; empty texts score by
+    the bias and the term of their length; repeated rows score alike."""
+    ship(docs.sparkSession)
     base, of = machine.lookup()
-    text = "_text"
-    while text in docs.columns:
-        text += "_"
+    (text,) = unused(docs, "_text")
     kept = [c for c in docs.columns if c != out]
     given = docs.select(*kept, text_or_empty(text_col).alias(text))
 
@@ -335,7 +336,5 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", out: str =
 
 def drop_toxic(docs: DataFrame, machine: Machine, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs that score below the threshold, columns unchanged."""
-    out = "_toxicity"
-    while out in docs.columns:
-        out += "_"
+    (out,) = unused(docs, "_toxicity")
     return score(docs, machine, text_col, out).filter(F.col(out) < threshold).drop(out)

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.llm.common import NOT_WHITE, distinct_spans, slices, text_or_empty, words
+from tesselix.sources.shipping import ship
 
 NONE = -1
 #: Longer words are walked one by one.
@@ -118,6 +119,7 @@ _automata: dict[str, Automaton] = {}
 def count_pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_words (separated by ASCII white space), n_tokens (their pieces). Null and
     empty texts have 0 of both; repeated rows and null ids stay; an empty table gives none; other columns are dropped."""
+    ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"))
 
     def run(batches):

@@ -11,6 +11,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from tesselix.llm import packing, simple8b, tokens
+from tesselix.sources.storage import materialise
 from tests.llm.helpers import DOCS, documents, empty_documents, odd_documents, prose, rows, vocabulary
 
 TEXT = st.text(st.one_of(st.sampled_from("aAbé ,.'\n\t\r\x0b\x1c~<|0９ſΣ ̸́ﬁİ"), st.characters(exclude_categories=["Cs"])), max_size=40)
@@ -100,6 +101,19 @@ def test_packing(spark, plain, window):
     assert packing.pack(empty_documents(spark), tokens.default_path(), window).collect() == []
 
 
+def test_places_by_files_and_by_rows(spark, plain):
+    """The general interface, with columns of any name, and the one that leaves ids where they lie."""
+    df = odd_documents(spark)
+    cut = packing.pieces(df, tokens.default_path(), 16, 2)
+    clash = cut.withColumns({c: F.lit(-1) for c in ("_b", "_n", "_o", "_rank", "_places", "_p")})
+    want = Counter((r["doc_id"], (*plain(r["text"]), 2)) for r in df.select("doc_id", "text").collect())
+    got = packing.place(materialise(clash), 16)
+    assert got.columns == [*clash.columns, "sequence_id", "offset"]
+    assert got.filter("_b + _n + _o + _rank + _places + _p <> -6").count() == 0
+    check_packing(got.collect(), want, 16)
+    check_packing(packing.place_files(materialise(cut.repartition(5)), 16, batch_rows=7).collect(), want, 16)
+
+
 def test_packing_leaves_little_room(spark):
     rng, words = random.Random(5), vocabulary()
     df = documents(spark, [prose(rng, rng.randint(1, 300), words) for _ in range(400)])
