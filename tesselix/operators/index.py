@@ -123,8 +123,10 @@ def choose_split(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id
     rank = F.lit(0)
     for i, (d, side) in enumerate((d, side) for d in dims for side in ("min", "max")):
         rank = F.when((F.col("dim") == d) & (F.col("side") == side), i).otherwise(rank)
-    sums = options.groupBy(group, "dim", "side").agg(F.sum("margin").alias("margin_sum"), F.min(F.struct("margin", "k")).alias("_b"))
-    best = sums.groupBy(group).agg(F.min(F.struct(F.round("margin_sum", 6), rank.alias("rank"), "dim", "side", "margin_sum", "_b")).alias("_c"))
+    # added up by k, so that sums are the same wherever rows lie: they are compared as they are
+    own = F.array_sort(F.collect_list(F.struct("k", "margin")))
+    sums = options.groupBy(group, "dim", "side").agg(F.aggregate(own, F.lit(0.0), lambda s, v: s + v["margin"]).alias("margin_sum"), F.min(F.struct("margin", "k")).alias("_b"))
+    best = sums.groupBy(group).agg(F.min(F.struct("margin_sum", rank.alias("rank"), "dim", "side", "_b")).alias("_c"))
     return best.select(group, "_c.dim", "_c.side", F.col("_c._b.k").alias("k"), F.col("_c._b.margin").alias("margin"), "_c.margin_sum")
 
 
@@ -140,23 +142,68 @@ def split(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", leas
     return ranked.withColumn("group_no", F.when(rn <= F.col("k"), 1).otherwise(2).cast("bigint")).select(*entries.columns, "group_no")
 
 
-def reinsert_candidates(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", n: int = REINSERTED, group: str | None = None) -> DataFrame:
-    """The n entries of one node, or of each group, whose centres are farthest from the mean centre, ties by id, with
-    their squared distance."""
+def reinsert_candidates(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", n: int = REINSERTED, group: str = "node") -> DataFrame:
+    """The n entries of each group whose centres are farthest from the mean centre, ties by id, with their squared distance."""
     centre = g.centre(g.box("", dims))
-    if group is not None:
-        own = Window.partitionBy(group)
-        middle = entries.withColumns({f"_m_{d}": F.avg(c).over(own) for c, d in zip(centre, dims, strict=True)})
-        far = middle.withColumn("dist2", g.dist2(centre, columns(dims, "_m_")))
-        rn = F.row_number().over(own.orderBy(F.desc(F.round("dist2", 6)), id))
-        return far.withColumn("_rn", rn).filter(F.col("_rn") <= n).select(*entries.columns, "dist2")
-    middle = entries.agg(*(F.avg(c).alias(f"_m_{d}") for c, d in zip(centre, dims, strict=True)))
-    far = entries.crossJoin(F.broadcast(middle)).withColumn("dist2", g.dist2(centre, columns(dims, "_m_")))  # one row
-    return far.orderBy(F.desc(F.round("dist2", 6)), id).limit(n).select(*entries.columns, "dist2")
+    # added up by id, so that distances are the same wherever rows lie: they are compared as they are
+    own = F.array_sort(F.collect_list(F.struct(F.col(id).alias("id"), *(c.alias(d) for c, d in zip(centre, dims, strict=True)))))
+    mean = lambda d: F.aggregate("_e", F.lit(0.0), lambda s, v: s + v[d]) / F.size("_e")
+    middle = entries.groupBy(group).agg(own.alias("_e")).select(group, *(mean(d).alias(f"_m_{d}") for d in dims))  # a node's entries: few
+    far = entries.join(middle, group).withColumn("dist2", g.dist2(centre, columns(dims, "_m_")))
+    rn = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("dist2"), id))
+    return far.withColumn("_rn", rn).filter(F.col("_rn") <= n).select(*entries.columns, "dist2")
+
+
+def divided(entries: DataFrame, first_new: int, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """Splits nodes of more than `fanout` entries (boxes with their node) until none is left: the entries with their nodes, and
+    node, origin of each new node. First halves keep their node's number, second halves get numbers from first_new on."""
+    entries = materialise(entries, "entries")
+    lineage = entries.select("node", F.col("node").alias("origin")).limit(0)
+    while True:
+        over = materialise(overflowing(entries.groupBy("node").agg(F.count("*").alias("entries")), fanout).select("node"), "over")
+        if over.isEmpty():
+            return entries, lineage
+        named = numbered(over, ["node"], "_nth").join(lineage, "node", "left")
+        named = materialise(named.select("node", (F.col("_nth") + (first_new - 1)).alias("_new"), F.coalesce("origin", "node").alias("origin")), "named")
+        halves = split(entries.join(over, "node", "left_semi"), dims, id, fanout // 2).join(named, "node")
+        moved = halves.withColumn("node", F.when(F.col("group_no") == 1, F.col("node")).otherwise(F.col("_new"))).select(*entries.columns)
+        entries = materialise(entries.join(over, "node", "left_anti").unionByName(moved), "entries")
+        lineage = materialise(lineage.unionByName(named.select(F.col("_new").alias("node"), "origin")), "lineage")
+        first_new += named.count()
+
+
+def grow(placed: DataFrame, nodes: DataFrame, new: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """Inserts points (id and dims, ids not yet there) into a tree that stays otherwise as it is. Each point goes down to a leaf;
+    leaves that overflow are split, second halves become children of the first one's parent, parents that overflow are split in
+    turn, up to a new root. placed: id, dims, node; nodes: levels(). Gives both, boxes up to date."""
+    nodes = materialise(nodes, "nodes")
+    if nodes.isEmpty():
+        return leaf_of(new, dims, id, fanout).select(id, *dims, "node"), levels(new, dims, id, fanout)
+    boxes = [f"{d}_{s}" for d in dims for s in ("min", "max")]
+    to = descend(new, nodes, dims, id).select(F.col("id").alias(id), "node")
+    points = materialise(placed.select(id, *dims, "node").unionByName(new.select(id, *dims).join(to, id).select(id, *dims, "node")), "placed")
+    entries, key, level, out, below = points.select(F.col(id).alias("_key"), "node", *(F.col(b[:-4]).alias(b) for b in boxes)), "_key", 0, None, None
+    columns_ = ["level", "node", "parent", "entries", *boxes]
+    while True:
+        known = nodes.filter(F.col("level") == level).select(F.col("node").alias("origin"), "parent")
+        entries, lineage = divided(entries, (known.agg(F.max("origin")).first()[0] or 0) + 1, dims, key, fanout)
+        if below is None:
+            leaf = entries.select(F.col("_key").alias(id), "node")
+        else:  # the level below has its parents now
+            own = below.drop("parent").join(entries.select(F.col("_key").alias("node"), F.col("node").alias("parent")), "node").select(*columns_)
+            out = own if out is None else out.unionByName(own)
+        made = node_boxes(entries, "node", dims).join(lineage, "node", "left").withColumn("origin", F.coalesce("origin", "node")).join(known, "origin", "left")
+        made = materialise(made.withColumn("level", F.lit(level).cast("bigint")).select(*columns_), "level")
+        if made.count() == 1:
+            root = made.withColumn("parent", F.lit(None).cast("bigint"))
+            return points.drop("node").join(leaf, id).select(id, *dims, "node"), materialise(root if out is None else out.unionByName(root), "nodes")
+        # without a parent: halves of the root, whose parent is a new root
+        entries = made.select(F.col("node").alias("_key"), F.coalesce("parent", F.lit(0).cast("bigint")).alias("node"), *boxes)
+        below, level = made, level + 1
 
 
 def insert(points: DataFrame, new: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, method: str = "slab") -> DataFrame:
-    """The levels after new points have come in: inserts are batches, and a batch is laid out anew."""
+    """The levels after a large batch of new points has come in, laid out anew; grow() leaves the tree as it is instead."""
     return levels(points.unionByName(new), dims, id, fanout, method)
 
 

@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tesselix.sources.storage import materialise
+
 DIMS = ("x", "y")
 
 
@@ -37,9 +39,13 @@ def columns(dims: tuple[str, ...], prefix: str = "") -> list[Column]:
 
 
 def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
-    """df in parts of about `most` rows at most, by a hash of the key; small ones are one part."""
+    """df in parts of about `most` rows at most, by a hash of the key; small ones are one part. More parts are cut from a table
+    that is written once."""
     n = -(-df.count() // most)
-    return [df] if n <= 1 else [df.filter(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]
+    if n <= 1:
+        return [df]
+    df = materialise(df, "blocks")
+    return [df.filter(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]
 
 
 def sampled(df: DataFrame, n: int, seed: int = 0, order: tuple[str, ...] = ("id",)) -> DataFrame:

@@ -7,9 +7,12 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.operators.points import DIMS
+from tesselix.sources.storage import materialise
 
-#: Query boxes that may be broadcast; more of them go through the grid.
-BROADCAST_QUERIES = 20_000
+#: Query boxes that may be broadcast, each of which all points are compared with; more of them go through the grid.
+BROADCAST_QUERIES = 2_000
+#: The widest grid's cells are 2 ** this times the narrowest's.
+MOST_GRIDS = 60
 
 
 def range_query(points: DataFrame, low, high, dims: tuple[str, ...] = DIMS) -> DataFrame:
@@ -31,19 +34,23 @@ def preview(hits: DataFrame, n: int, order: tuple[str, ...] = ("id",)) -> DataFr
 
 def range_join(points: DataFrame, queries: DataFrame, dims: tuple[str, ...] = DIMS, prefix: str = "q_", method: str = "auto", cell: tuple[float, ...] | None = None) -> DataFrame:
     """points x queries (columns {prefix}{dim}_min and _max) where the point lies in the box. Few queries are broadcast;
-    many (or method='grid') are spread over grid cells, joined by cell and refined: a point has one cell, so no pair
-    comes twice. Boxes far larger than the cell make many cells: choose cells of about a box."""
+    many (or method='grid') are spread over grid cells, joined by cell and refined. Boxes wider than the cell go to a grid
+    whose cells are twice, four times, ... as wide, so none takes more than three cells a dimension; a point has one cell in
+    each grid that is in use, and a box is in one grid, so no pair comes twice."""
     inside = reduce(lambda a, b: a & b, (F.col(d).between(F.col(f"{prefix}{d}_min"), F.col(f"{prefix}{d}_max")) for d in dims))
     if method == "broadcast" or (method == "auto" and len(queries.limit(BROADCAST_QUERIES + 1).select(F.lit(1)).collect()) <= BROADCAST_QUERIES):
         return points.join(F.broadcast(queries), inside)
     if cell is None:
         sides = queries.agg(*(F.avg(F.col(f"{prefix}{d}_max") - F.col(f"{prefix}{d}_min")).alias(d) for d in dims)).first()
         cell = tuple(float(sides[d] or 1.0) or 1.0 for d in dims)
-    at = lambda c, w: F.floor(c / F.lit(float(w)))
-    spread, own = queries, points
+    queries = queries.filter(reduce(lambda a, b: a & b, (F.col(f"{prefix}{d}_min") <= F.col(f"{prefix}{d}_max") for d in dims)))
+    wide = F.greatest(F.lit(1.0), *((F.col(f"{prefix}{d}_max") - F.col(f"{prefix}{d}_min")) / F.lit(w) for d, w in zip(dims, cell, strict=True)))
+    queries = materialise(queries.withColumn("_grid", F.least(F.ceil(F.log2(wide)), F.lit(MOST_GRIDS)).cast("int")), "boxes")
+    grids = sorted(r["_grid"] for r in queries.select("_grid").distinct().collect())  # at most MOST_GRIDS + 1
+    at = lambda c, w: F.floor(c / (F.lit(float(w)) * F.pow(F.lit(2.0), F.col("_grid"))))
+    spread, own = queries, points.withColumn("_grid", F.explode(F.array(*(F.lit(i) for i in grids)).cast("array<int>")))
     for d, w in zip(dims, cell, strict=True):
-        spread = spread.filter(F.col(f"{prefix}{d}_min") <= F.col(f"{prefix}{d}_max"))
         spread = spread.withColumn(f"_c_{d}", F.explode(F.sequence(at(F.col(f"{prefix}{d}_min"), w), at(F.col(f"{prefix}{d}_max"), w))))
         own = own.withColumn(f"_c_{d}", at(F.col(d), w))
-    cells = [f"_c_{d}" for d in dims]
+    cells = ["_grid", *(f"_c_{d}" for d in dims)]
     return own.join(spread, cells).filter(inside).drop(*cells)

@@ -102,18 +102,20 @@ def heap_address(spark, d):
     return heap.addressed(parts(spark, d)).select("id", "block_id", "slot_id")
 
 
-@query(f"SELECT * FROM {ADDRESSED} WHERE slot_id = 7")
+@query(f"SELECT * FROM {ADDRESSED}")
 def fetch_by_address(spark, d):
+    """Every record, by its address."""
     records = heap.addressed(parts(spark, d))
-    pointers = records.filter("slot_id = 7").select("block_id", "slot_id")
-    return heap.fetch(records, pointers).select("id", "name", "x", "y", "block_id", "slot_id")
+    return heap.fetch(records, records.select("block_id", "slot_id")).select("id", "name", "x", "y", "block_id", "slot_id")
 
 
-@query(f"SELECT * FROM {ADDRESSED}")
-def fetch_by_address_whole(spark, d):
-    """Every address; fetch_by_address keeps to the slot of its SQL."""
-    records = heap.addressed(parts(spark, d))
-    return heap.fetch(records, records.select("block_id", "slot_id")).select("id", "name", "x", "y", "block_id", "slot_id")
+@query(f"SELECT id, name, x, y FROM {PARTS} UNION ALL SELECT id + 1000000000, NULL, x, y FROM {SUPPLIERS}")
+def heap_append(spark, d):
+    """A table written, another appended, and both read back."""
+    path = fresh_path(spark, "heap")
+    heap.write(parts(spark, d), path)
+    heap.write(suppliers(spark, d).select((F.col("id") + 1_000_000_000).alias("id"), F.lit(None).cast("string").alias("name"), "x", "y"), path, append=True)
+    return spark.read.parquet(path)
 
 
 @query("SELECT d AS dims, 264 + 8 * d AS record_bytes, (32768 - 4) // (264 + 8 * d) AS slots_per_block, CAST(32768 AS BIGINT) AS block_bytes FROM (SELECT unnest([2, 3, 4, 8]::BIGINT[]) AS d)")
@@ -122,15 +124,21 @@ def heap_layout(spark, d):
     return spark.createDataFrame([tuple(heap.layout(n)[k] for k in names) for n in (2, 3, 4, 8)], ", ".join(f"{k} bigint" for k in names))
 
 
-@query()
+# whole characters of the first 256 bytes, then U+FFFD if the next one was cut in two; no text of the tables has a NUL
+_BYTES_OF = "list_transform(generate_series(1, least(length(text), 257)), lambda i: strlen(substring(text, 1, i)))"
+
+
+@query(f"SELECT doc_id, substring(text, 1, whole) || CASE WHEN whole < length(text) AND strlen(substring(text, 1, whole)) < 256 THEN chr(65533) ELSE '' END AS name_256 FROM (SELECT doc_id, text, CAST(len(list_filter({_BYTES_OF}, lambda b: b <= 256)) AS BIGINT) AS whole FROM documents)")
 def name_truncated(spark, d):
     return table(spark, d, "documents").select("doc_id", heap.stored_name(F.col("text")).alias("name_256"))
 
 
-@query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(6 AS BIGINT) AS letters, true AS small FROM part")
+@query("SELECT CAST(p_partkey AS BIGINT) AS id, CAST(6 AS BIGINT) AS letters, true AS small, true AS same FROM part")
 def generated_names(spark, d):
+    """Names, and whether rows in another order and partitioning get the same."""
     named = parts(spark, d).withColumn("n", osm.generated_name(F.col("id")))
-    return named.select("id", F.length("n").cast("bigint").alias("letters"), F.col("n").rlike("^[a-z]{6}$").alias("small"))
+    again = parts(spark, d).repartition(3, "name").select("id", osm.generated_name(F.col("id")).alias("m"))
+    return named.join(again, "id").select("id", F.length("n").cast("bigint").alias("letters"), F.col("n").rlike("^[a-z]{6}$").alias("small"), (F.col("n") == F.col("m")).alias("same"))
 
 
 @query(f"SELECT id, printf('%d, %s, (%.6f, %.6f)', id, name, x, y) AS line FROM {PARTS} ORDER BY id LIMIT 10")
@@ -138,6 +146,13 @@ def text_report(spark, d):
     return report.lines(parts(spark, d), 10)
 
 
+@query(f"SELECT printf('%d, %s, (%.6f, %.6f)', id, name, x, y) AS line FROM {PARTS}")
+def text_report_written(spark, d):
+    path = fresh_path(spark, "report")
+    report.write_lines(parts(spark, d), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
 # --- scalar geometry over the leaves of part ------------------------------------------------------------------------
 
 
@@ -214,6 +229,30 @@ def sql_functions(spark, d):
     return parts(spark, d).select("id", F.expr("point_dist(x, y, 25D, 910D)").alias("dist"), F.expr("box_contains(10D, 902D, 30D, 915D, x, y)").alias("inside"))
 
 
+@query(
+    f"""SELECT node, (x_max - x_min) * (y_max - y_min) AS area, CAST(2 AS DOUBLE) * (x_max - x_min) + CAST(2 AS DOUBLE) * (y_max - y_min) AS margin,
+    x_max >= 10 AND 30 >= x_min AND y_max >= 902 AND 915 >= y_min AS meets, sqrt(gx * gx + gy * gy) AS dist, x_min <= 25 AND y_min <= 910 AND (x_min < 25 OR y_min < 910) AS below
+    FROM (SELECT *, {GAPS} FROM {LEAVES})"""
+)
+def sql_box_functions(spark, d):
+    sqlfuncs.register(spark)
+    return part_leaves(spark, d).select(
+        "node",
+        F.expr("box_area(x_min, y_min, x_max, y_max)").alias("area"),
+        F.expr("box_margin(x_min, y_min, x_max, y_max)").alias("margin"),
+        F.expr("box_overlaps(x_min, y_min, x_max, y_max, 10D, 902D, 30D, 915D)").alias("meets"),
+        F.expr("box_min_dist(x_min, y_min, x_max, y_max, 25D, 910D)").alias("dist"),
+        F.expr("point_dominates(x_min, y_min, 25D, 910D)").alias("below"),
+    )
+
+
+@query(f"SELECT id, x, y FROM {PARTS} WHERE {INSIDE}")
+def sql_range_points(spark, d):
+    parts(spark, d).createOrReplaceTempView("tesselix_points")
+    sqlfuncs.register(spark, "tesselix_points")
+    return spark.sql("SELECT * FROM range_points(10D, 902D, 30D, 915D)")
+
+
 @query("SELECT a.id, count(*) AS dominated FROM {0} a JOIN {0} b ON a.x <= b.x AND a.y <= b.y AND (a.x < b.x OR a.y < b.y) GROUP BY a.id".format(SUPPLIERS))
 def dominates_pairs(spark, d):
     return sky.dominance_counts(suppliers(spark, d))
@@ -271,15 +310,9 @@ def _radius_sweep(points: DataFrame, at: DataFrame) -> DataFrame:
     return wide.select("qid", F.explode(F.array(*(F.struct(F.lit(r).cast("bigint").alias("r"), F.col(str(r)).alias("hits")) for r in RADII))).alias("s")).select("qid", "s.r", "s.hits").filter("hits > 0")
 
 
-@query(f"SELECT q.id AS qid, CAST(r AS BIGINT) AS r, count(*) AS hits FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 1500 = 0) q, (SELECT unnest({list(RADII)}) AS r) WHERE " + SQUARE.format("r") + " GROUP BY 1, 2")
-def range_radius_sweep(spark, d):
-    points = orders(spark, d)
-    return _radius_sweep(points, points.filter("id % 1500 = 0"))
-
-
 @query(f"SELECT q.id AS qid, CAST(r AS BIGINT) AS r, count(*) AS hits FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 100 = 0) q, (SELECT unnest({list(RADII)}) AS r) WHERE " + SQUARE.format("r") + " GROUP BY 1, 2")
-def range_radius_sweep_whole(spark, d):
-    """The sweep around all of the stated query set; range_radius_sweep keeps to the centres of its SQL."""
+def range_radius_sweep(spark, d):
+    """Around all of the stated query set."""
     points = orders(spark, d)
     return _radius_sweep(points, points.filter("id % 100 = 0"))
 
@@ -294,9 +327,23 @@ def knn_single(spark, d):
     return knn.knn(parts(spark, d), AT, 10).select("id", "x", "y", "dist", "rank")
 
 
+_indexes: dict = {}
+
+
+def part_index(spark, d) -> layout.Index:
+    """The stored index of part, written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _indexes:
+        path = fresh_path(spark, "index")
+        layout.write_index(parts(spark, d), path)
+        _indexes[key] = layout.Index(spark, path)
+    return _indexes[key]
+
+
 @query(KNN)
 def knn_two_phase(spark, d):
-    return layout.knn_two_phase(*layout.leaf_table(parts(spark, d)), AT, 10).select("id", "x", "y", "dist", "rank")
+    """From the stored index: only leaves that can hold a neighbour are read."""
+    return part_index(spark, d).knn(AT, 10).select("id", "x", "y", "dist", "rank")
 
 
 @query(f"SELECT qid, id, dist, rank FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {SUPPLIERS} p, (SELECT * FROM {CUSTOMERS} WHERE id % 100 = 0) q) WHERE rank <= 5")
@@ -304,15 +351,16 @@ def knn_join_batch(spark, d):
     return knn.knn_join(suppliers(spark, d), as_queries(customers(spark, d).filter("id % 100 = 0")), 5).select("qid", "id", "dist", "rank")
 
 
-@query(f"SELECT CAST(k AS BIGINT) AS k, qid, count(*) AS n, max(dist) AS reach FROM (SELECT q.id AS qid, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, (SELECT * FROM {PARTS} WHERE id % 200 = 0) q), (SELECT unnest({list(KS)}) AS k) WHERE rank <= k GROUP BY 1, 2")
-def knn_k_sweep(spark, d):
-    points = parts(spark, d)
-    return knn.knn_sweep(points, as_queries(points.filter("id % 200 = 0")), list(KS))
+@query(f"SELECT qid, id, dist, rank FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 100 = 0) q) WHERE rank <= 5")
+def knn_join_by_cells(spark, d):
+    """A batch that compares points in cells around the queries only."""
+    points = orders(spark, d)
+    return knn.knn_join(points, as_queries(points.filter("id % 100 = 0")), 5, method="grid").select("qid", "id", "dist", "rank")
 
 
 @query(f"SELECT CAST(k AS BIGINT) AS k, qid, count(*) AS n, max(dist) AS reach FROM (SELECT q.id AS qid, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, (SELECT * FROM {PARTS} WHERE id % 100 = 0) q), (SELECT unnest({list(KS)}) AS k) WHERE rank <= k GROUP BY 1, 2")
-def knn_k_sweep_whole(spark, d):
-    """The sweep for all of the stated query set; knn_k_sweep keeps to the queries of its SQL."""
+def knn_k_sweep(spark, d):
+    """For all of the stated query set."""
     points = parts(spark, d)
     return knn.knn_sweep(points, as_queries(points.filter("id % 100 = 0")), list(KS))
 
@@ -372,9 +420,10 @@ def skyline_positive_ids(spark, d):
     return sky.skyline(parts(spark, d), duplicates="first", rule="positive")
 
 
-@query(f"SELECT count(*) AS skyline, min(id) AS first_id FROM ({_undominated(PARTS)})")
+@query(f"SELECT id, name, x, y, count(*) OVER () AS hits FROM ({_undominated(PARTS)}) ORDER BY id LIMIT 10")
 def skyline_preview(spark, d):
-    return sky.skyline(parts(spark, d)).agg(F.count("*").alias("skyline"), F.min("id").alias("first_id"))
+    """The first 10 rows of the skyline and, on each, the number of all."""
+    return ranges.preview(sky.skyline(parts(spark, d)), 10).select("id", "name", "x", "y", "hits")
 
 
 THREE = "(SELECT CAST(vec_id AS BIGINT) AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings)"
@@ -428,87 +477,72 @@ def choose_leaf(spark, d):
     return index.descend(suppliers(spark, d), index.levels(parts(spark, d)))
 
 
-FIRST51 = f"(SELECT * FROM {PARTS} ORDER BY id LIMIT 51)"
+# all parts in nodes of one entry too many; a rest of fewer than twice LEAST entries has no split
+NODES51 = f"(SELECT *, CAST((row_number() OVER (ORDER BY x, id) - 1) // 51 AS BIGINT) AS node FROM {PARTS})"
 
 
-def first51(spark, d):
-    return boxed(parts(spark, d).orderBy("id").limit(51))
+def nodes51(spark, d):
+    return boxed(index.leaf_of(parts(spark, d), fanout=51), F.col("node"))
 
 
 def _options() -> str:
     parts_of = []
     for i, dim in enumerate(("x", "y")):
         for j, side in enumerate(("min", "max")):
-            over = f"OVER (ORDER BY {dim}, id ROWS BETWEEN {{}})"
+            over = f"OVER (PARTITION BY node ORDER BY {dim}, id ROWS BETWEEN {{}})"
             head, tail = over.format("UNBOUNDED PRECEDING AND CURRENT ROW"), over.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
             margin = " + ".join(f"(CAST(2 AS DOUBLE) * (max(x) {w} - min(x) {w}) + CAST(2 AS DOUBLE) * (max(y) {w} - min(y) {w}))" for w in (head, tail))
-            parts_of.append(f"SELECT '{dim}' AS dim, '{side}' AS side, {2 * i + j} AS o, row_number() OVER (ORDER BY {dim}, id) AS k, {margin} AS margin FROM {FIRST51}")
-    return "(SELECT * FROM (" + " UNION ALL ".join(parts_of) + ") WHERE k >= 25 AND k <= 51 - 25)"
+            parts_of.append(f"SELECT node, '{dim}' AS dim, '{side}' AS side, {2 * i + j} AS o, count(*) OVER (PARTITION BY node) AS n, row_number() OVER (PARTITION BY node ORDER BY {dim}, id) AS k, {margin} AS margin FROM {NODES51}")
+    return "(SELECT * FROM (" + " UNION ALL ".join(parts_of) + ") WHERE k >= 25 AND k <= n - 25)"
 
 
-@query(f"SELECT CAST(0 AS BIGINT) AS node, dim, side, k, round(margin, 6) AS margin FROM {_options()}")
+@query(f"SELECT node, dim, side, k, margin FROM {_options()}")
 def split_options(spark, d):
-    return index.split_options(first51(spark, d)).withColumn("margin", F.round("margin", 6))
+    return index.split_options(nodes51(spark, d))
 
 
-CHOSEN = f"(SELECT dim, side, k, margin, margin_sum FROM (SELECT *, row_number() OVER (ORDER BY round(margin_sum, 6), o, margin, k) AS rn FROM (SELECT *, sum(margin) OVER (PARTITION BY o) AS margin_sum FROM {_options()})) WHERE rn = 1)"
+CHOSEN = f"(SELECT node, dim, side, k, margin, margin_sum FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY margin_sum, o, margin, k) AS rn FROM {_options()} JOIN (SELECT node, o, list_reduce(list(margin ORDER BY k), lambda a, b: a + b) AS margin_sum FROM {_options()} GROUP BY node, o) USING (node, o)) WHERE rn = 1)"
 
 
-@query(f"SELECT CAST(0 AS BIGINT) AS node, dim, side, k, round(margin, 6) AS margin, round(margin_sum, 6) AS margin_sum FROM {CHOSEN}")
+@query(f"SELECT node, dim, side, k, margin, margin_sum FROM {CHOSEN}")
 def choose_split(spark, d):
-    return index.choose_split(first51(spark, d)).withColumns({"margin": F.round("margin", 6), "margin_sum": F.round("margin_sum", 6)})
+    return index.choose_split(nodes51(spark, d))
 
 
-@query(f"SELECT id, CAST(CASE WHEN row_number() OVER (ORDER BY CASE WHEN dim = 'x' THEN x ELSE y END, id) <= k THEN 1 ELSE 2 END AS BIGINT) AS group_no FROM {FIRST51}, {CHOSEN}")
+@query(f"SELECT node, id, CAST(CASE WHEN row_number() OVER (PARTITION BY node ORDER BY CASE WHEN dim = 'x' THEN x ELSE y END, id) <= k THEN 1 ELSE 2 END AS BIGINT) AS group_no FROM {NODES51} JOIN {CHOSEN} USING (node)")
 def split_node(spark, d):
-    return index.split(first51(spark, d)).select("id", "group_no")
-
-
-@query(f"SELECT id, round(d2, 4) AS dist2 FROM (SELECT id, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM {FIRST51}, (SELECT avg(x) AS mx, avg(y) AS my FROM {FIRST51})) ORDER BY round(d2, 6) DESC, id LIMIT 15")
-def reinsert_candidates(spark, d):
-    return index.reinsert_candidates(first51(spark, d)).select("id", F.round("dist2", 4).alias("dist2"))
-
-
-# all parts in nodes of one entry too many; a rest of fewer than twice LEAST entries has no split
-NODES51 = f"(SELECT *, CAST((row_number() OVER (ORDER BY x, id) - 1) // 51 AS BIGINT) AS node FROM {PARTS})"
-
-
-def nodes51(spark, d):
-    return boxed(index.leaf_of(parts(spark, d), fanout=51), F.col("node"))
-
-
-def _options_whole() -> str:
-    parts_of = []
-    for i, dim in enumerate(("x", "y")):
-        for j, side in enumerate(("min", "max")):
-            over = f"OVER (PARTITION BY node ORDER BY {dim}, id ROWS BETWEEN {{}})"
-            head, tail = over.format("UNBOUNDED PRECEDING AND CURRENT ROW"), over.format("1 FOLLOWING AND UNBOUNDED FOLLOWING")
-            margin = " + ".join(f"(CAST(2 AS DOUBLE) * (max(x) {w} - min(x) {w}) + CAST(2 AS DOUBLE) * (max(y) {w} - min(y) {w}))" for w in (head, tail))
-            parts_of.append(f"SELECT node, '{dim}' AS dim, '{side}' AS side, {2 * i + j} AS o, count(*) OVER (PARTITION BY node) AS n, row_number() OVER (PARTITION BY node ORDER BY {dim}, id) AS k, {margin} AS margin FROM {NODES51}")
-    return "(SELECT * FROM (" + " UNION ALL ".join(parts_of) + ") WHERE k >= 25 AND k <= n - 25)"
+    return index.split(nodes51(spark, d)).select("node", "id", "group_no")
 
 
-@query(f"SELECT node, dim, side, k, round(margin, 6) AS margin FROM {_options_whole()}")
-def split_options_whole(spark, d):
-    return index.split_options(nodes51(spark, d)).withColumn("margin", F.round("margin", 6))
+_MEAN = "list_reduce(list({0} ORDER BY id), lambda a, b: a + b) / count(*) AS m{0}"
 
 
-CHOSEN_WHOLE = f"(SELECT node, dim, side, k, margin, margin_sum FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(margin_sum, 6), o, margin, k) AS rn FROM (SELECT *, sum(margin) OVER (PARTITION BY node, o) AS margin_sum FROM {_options_whole()})) WHERE rn = 1)"
+@query(f"SELECT node, id, d2 AS dist2 FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY d2 DESC, id) AS rn FROM (SELECT node, id, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM {NODES51} JOIN (SELECT node, {_MEAN.format('x')}, {_MEAN.format('y')} FROM {NODES51} GROUP BY node) USING (node))) WHERE rn <= 15")
+def reinsert_candidates(spark, d):
+    return index.reinsert_candidates(nodes51(spark, d)).select("node", "id", "dist2")
 
 
-@query(f"SELECT node, dim, side, k, round(margin, 6) AS margin, round(margin_sum, 6) AS margin_sum FROM {CHOSEN_WHOLE}")
-def choose_split_whole(spark, d):
-    return index.choose_split(nodes51(spark, d)).withColumns({"margin": F.round("margin", 6), "margin_sum": F.round("margin_sum", 6)})
+def _grown(spark, d):
+    new = suppliers(spark, d).select((F.col("id") + 1_000_000_000).alias("id"), "x", "y")
+    placed = index.leaf_of(parts(spark, d), fanout=50).select("id", "x", "y", "node")
+    return index.grow(placed, index.levels(parts(spark, d)), new)
 
 
-@query(f"SELECT node, id, CAST(CASE WHEN row_number() OVER (PARTITION BY node ORDER BY CASE WHEN dim = 'x' THEN x ELSE y END, id) <= k THEN 1 ELSE 2 END AS BIGINT) AS group_no FROM {NODES51} JOIN {CHOSEN_WHOLE} USING (node)")
-def split_node_whole(spark, d):
-    return index.split(nodes51(spark, d)).select("node", "id", "group_no")
+@query(f"SELECT id, x, y, true AS inside, true AS fits, true AS linked FROM (SELECT id, x, y FROM {PARTS} UNION ALL SELECT id + 1000000000, x, y FROM {SUPPLIERS})")
+def insert_in_place(spark, d):
+    """Suppliers go into the tree of part. Of each point: whether its leaf's box holds it, its leaf is not too full, and its leaf's parent is there."""
+    placed, nodes = _grown(spark, d)
+    parents = nodes.filter("level = 1").select(F.col("node").alias("parent"), F.lit(True).alias("linked"))
+    leaf = nodes.filter("level = 0").join(parents, "parent", "left").select("node", "entries", "x_min", "x_max", "y_min", "y_max", F.coalesce("linked", F.lit(False)).alias("linked"))
+    inside = F.col("x").between(F.col("x_min"), F.col("x_max")) & F.col("y").between(F.col("y_min"), F.col("y_max"))
+    return placed.join(leaf, "node").select("id", "x", "y", inside.alias("inside"), (F.col("entries") <= 50).alias("fits"), "linked")
 
 
-@query(f"SELECT node, id, round(d2, 4) AS dist2 FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY round(d2, 6) DESC, id) AS rn FROM (SELECT node, id, (x - mx) * (x - mx) + (y - my) * (y - my) AS d2 FROM {NODES51} JOIN (SELECT node, avg(x) AS mx, avg(y) AS my FROM {NODES51} GROUP BY node) USING (node))) WHERE rn <= 15")
-def reinsert_candidates_whole(spark, d):
-    return index.reinsert_candidates(nodes51(spark, d), group="node").select("node", "id", F.round("dist2", 4).alias("dist2"))
+@query(f"SELECT id, CAST(0 AS BIGINT) AS node FROM {SUPPLIERS}")
+def choose_node_at_level(spark, d):
+    """The descent that stops at the level of the root, of which there is one."""
+    nodes = index.levels(parts(spark, d))
+    return index.descend(suppliers(spark, d), nodes, to_level=nodes.agg(F.max("level")).first()[0])
 
 
 @query(f"SELECT node FROM {LEAVES} WHERE entries > 30")
@@ -534,10 +568,16 @@ def leaf_entries(spark, d):
     return index.leaf_nodes(index.levels(parts(spark, d))).select("node", "entries")
 
 
-@query("SELECT CAST(100 AS BIGINT) AS draws, true AS known")
+@query("SELECT CAST(100 AS BIGINT) AS draws, true AS known, true AS same, true AS others, true AS spread")
 def point_sampler(spark, d):
-    drawn = pts.sampled(parts(spark, d), 100, 7).join(parts(spark, d).select("id", F.lit(1).alias("k")), "id", "left")
-    return drawn.agg(F.count("*").alias("draws"), (F.count("k") == F.count("*")).alias("known"))
+    """100 draws: whether all are rows, the same seed draws the same, another one others, and both halves of the ids are drawn from."""
+    rows = parts(spark, d)
+    drawn = pts.sampled(rows, 100, 7).select("draw", "id").join(rows.select("id", F.lit(1).alias("k")), "id", "left")
+    again = pts.sampled(rows.repartition(3), 100, 7).select("draw", F.col("id").alias("again"))
+    other = pts.sampled(rows, 100, 8).select("draw", F.col("id").alias("other"))
+    middle = rows.agg(F.avg("id").alias("middle"))
+    low = F.sum((F.col("id") < F.col("middle")).cast("int"))
+    return drawn.join(again, "draw").join(other, "draw").crossJoin(F.broadcast(middle)).agg(F.count("*").alias("draws"), (F.count("k") == F.count("*")).alias("known"), F.every(F.col("id") == F.col("again")).alias("same"), F.some(F.col("id") != F.col("other")).alias("others"), low.between(25, 75).alias("spread"))
 
 
 @query(f"SELECT id, x, y FROM {PARTS} WHERE {INSIDE}")
@@ -555,9 +595,10 @@ def skyline_two_phase(spark, d):
 OSM_FIXTURE = """<osm><node id="-5" lat="40.5979" lon="22.9645"/><node id="7" lat="40.5985" lon="22.9650"><tag k="name" v="a"/><tag k="name" v="b"/></node><node id="9" lat="40.7" lon="22.9"><tag k="amenity" v="cafe"/></node><way id="3"><tag k="name" v="w"/></way></osm>"""
 
 
-@query()
+@query("SELECT id, CASE WHEN id = 7 THEN 'b' END AS name, CASE WHEN id = 7 THEN 1 ELSE 6 END AS letters, x, y FROM (VALUES (CAST(-5 AS BIGINT), 40.5979::DOUBLE, 22.9645::DOUBLE), (7, 40.5985, 22.965), (9, 40.7, 22.9)) AS t(id, x, y)")
 def osm_nodes(spark, d):
     """Nodes of a small document, put where all executors can read it."""
     path = fresh_path(spark, "osm")
     spark.createDataFrame([(OSM_FIXTURE,)], "value string").coalesce(1).write.mode("overwrite").text(path)
-    return osm.read_osm(spark, path)
+    made = F.col("name") == osm.generated_name(F.col("id"))
+    return osm.read_osm(spark, path).select("id", F.when(~made, F.col("name")).alias("name"), F.length("name").alias("letters"), "x", "y")

@@ -59,7 +59,7 @@ def test_range_join_by_grid_and_by_broadcast(spark, rows, r):
     df = frame(spark, rows)
     queries = df.filter("id % 3 = 0").select(F.col("id").alias("qid"), *(e for c in "xy" for e in ((F.col(c) - r).alias(f"q_{c}_min"), (F.col(c) + r).alias(f"q_{c}_max"))))
     want = sorted((q, i) for q, (a, b) in enumerate(rows) if q % 3 == 0 for i, (x, y) in enumerate(rows) if abs(a - x) <= r and abs(b - y) <= r)
-    for how in ({"method": "broadcast"}, {"method": "grid", "cell": (1.0, 1.0)}, {"method": "grid"}):
+    for how in ({"method": "broadcast"}, {"method": "grid", "cell": (1.0, 1.0)}, {"method": "grid", "cell": (0.3, 5.0)}, {"method": "grid"}):
         assert sorted(tuple(x) for x in ranges.range_join(df, queries, **how).select("qid", "id").collect()) == want
 
 
@@ -112,6 +112,41 @@ def test_knn_join_in_blocks(spark):
     assert rows(knn.knn_join(df, queries, 3)) == rows(knn.knn_join(df, queries, 3, block=40))
 
 
+def test_one_wide_box_takes_few_cells(spark):
+    df = frame(spark, cloud(300))
+    boxes = [(i, x - 0.1, x + 0.1, y - 0.1, y + 0.1) for i, (x, y) in enumerate(cloud(30, seed=5))] + [(99, -1e6, 1e6, -1e6, 1e6)]
+    queries = spark.createDataFrame(boxes, "qid bigint, q_x_min double, q_x_max double, q_y_min double, q_y_max double")
+    rows = lambda d: sorted(tuple(r) for r in d.select("qid", "id").collect())
+    got = ranges.range_join(df, queries, method="grid", cell=(0.2, 0.2))
+    assert rows(got) == rows(ranges.range_join(df, queries, method="broadcast"))
+
+
+@SLOW
+@given(rows=ROWS, k=st.integers(1, 12))
+def test_knn_join_by_cells(spark, rows, k):
+    df = frame(spark, [*rows, (1e4, -3.0)])  # one far away: cells grow for it
+    queries = df.select(F.col("id").alias("qid"), F.col("x").alias("q_x"), F.col("y").alias("q_y"))
+    queries = queries.unionByName(spark.createDataFrame([(-1, -1e6, 7.0)], "qid bigint, q_x double, q_y double"))
+    got = lambda d: sorted(tuple(r) for r in d.select("qid", "id", "dist", "rank").collect())
+    assert got(knn.knn_join(df, queries, k, method="grid")) == got(knn.knn_join(df, queries, k, method="all"))
+    assert got(knn.knn_join(df, queries, k, method="grid", block=4)) == got(knn.knn_join(df, queries, k, method="all"))
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    df = frame(spark, cloud(3_000))
+    layout.write_index(df, str(tmp_path / "i"), rows_per_file=1_000)
+    stored = layout.Index(spark, str(tmp_path / "i"))
+    assert stored.points.count() == 3_000 and stored.leaves.agg(F.max("entries")).first()[0] <= 50
+    assert len(stored.near((50.0, 50.0), 5)) <= 10
+    got = lambda d: [(r["id"], r["dist"]) for r in d.orderBy("rank").collect()]
+    monkeypatch.setattr(layout, "MOST_HELD", 3)
+    for at, k in (((50.0, 50.0), 5), ((-9.0, 200.0), 60), ((1.0, 1.0), 0), ((5.0, 5.0), 4_000)):
+        want = got(knn.knn(df, at, k))
+        assert got(stored.knn(at, k)) == want == got(layout.Index(spark, str(tmp_path / "i")).knn(at, k))
+    plan = stored.knn((50.0, 50.0), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(node," in plan
+
+
 def brute_skyline(rows):
     return [i for i, p in enumerate(rows) if not any(all(b <= a for a, b in zip(p, q)) and q != p for q in rows)]
 
@@ -140,9 +175,9 @@ def test_global_order_over_buckets_is_that_of_one_window(spark):
     rows = [(rng.randrange(20), rng.randrange(1000)) for _ in range(500)]
     df = frame(spark, [(i, float(x), float(y)) for i, (x, y) in enumerate(rows)])
     for per in (10**6, 50):
-        got = {r["id"]: r["rn"] for r in ordering.numbered(df, ["x", "id"], rows_per_bucket=per).collect()}
+        got = {r["id"]: r["rn"] for r in ordering.numbered(df, ["x", "id"], rows_per_range=per).collect()}
         assert got == {i: n + 1 for n, (_, i) in enumerate(sorted((x, i) for i, (x, _) in enumerate(rows)))}
-        low = {r["id"]: r["m"] for r in ordering.running_min_before(df, ["x", "id"], "y", "m", rows_per_bucket=per).collect()}
+        low = {r["id"]: r["m"] for r in ordering.running_min_before(df, ["x", "id"], "y", "m", rows_per_range=per).collect()}
         best, want = None, {}
         for _, i in sorted((x, i) for i, (x, _) in enumerate(rows)):
             want[i] = best
@@ -212,6 +247,78 @@ def test_split_groups(spark):
     assert len(index.reinsert_candidates(entries).collect()) == 15
 
 
+def close_entries(spark, n=51, node=0, seed=7):
+    """Entries in a box of a few ten-thousandths of a degree, where squares are far below 1e-6."""
+    rng = random.Random(seed)
+    at = [(i, node, 40.5979 + rng.random() * 5e-4, 22.9641 + rng.random() * 5e-4) for i in range(n)]
+    return at, spark.createDataFrame([(i, m, x, x, y, y) for i, m, x, y in at], "id bigint, node bigint, x_min double, x_max double, y_min double, y_max double")
+
+
+def test_farthest_entries_at_the_scale_of_degrees(spark):
+    at, entries = close_entries(spark)
+    other, more = close_entries(spark, node=3, seed=8)
+    got = {}
+    for r in index.reinsert_candidates(entries.unionByName(more)).collect():
+        got.setdefault(r["node"], set()).add(r["id"])
+    for node, own in ((0, at), (3, other)):
+        mx, my = sum(p[2] for p in own) / 51, sum(p[3] for p in own) / 51
+        want = sorted(own, key=lambda p: (-((p[2] - mx) ** 2 + (p[3] - my) ** 2), p[0]))[:15]
+        assert got[node] == {p[0] for p in want} and got[node] != set(range(15))
+
+
+def test_split_at_the_scale_of_degrees(spark):
+    at, entries = close_entries(spark)
+    chosen = index.choose_split(entries).first()
+    sums = {}
+    for o, dim in enumerate((2, 3)):
+        order, total, best = sorted(at, key=lambda p: (p[dim], p[0])), 0.0, None
+        for k in range(25, 51 - 25 + 1):
+            margin = sum(2.0 * (max(p[c] for p in half) - min(p[c] for p in half)) for half in (order[:k], order[k:]) for c in (2, 3))
+            total, best = total + margin, min(best or (margin, k), (margin, k))
+        sums[o] = (total, best[1])
+    o = min(sums, key=lambda o: (sums[o][0], o))
+    assert (chosen["dim"], chosen["side"], chosen["k"]) == ("xy"[o], "min", sums[o][1])
+
+
+@pytest.mark.parametrize("old, new, fanout", [(0, 30, 6), (1, 40, 6), (36, 1, 6), (100, 150, 6)])
+def test_points_go_into_a_tree_that_stays(spark, old, new, fanout):
+    rng = random.Random(old)
+    first, more = frame(spark, cloud(old)), frame(spark, [(rng.choice([3.0, 90.0]) + rng.random(), rng.random()) for _ in range(new)]).withColumn("id", F.col("id") + 1000)
+    nodes = index.levels(first, fanout=fanout)
+    before = {r["id"]: r["node"] for r in index.leaf_of(first, fanout=fanout).collect()}
+    placed, grown = index.grow(index.leaf_of(first, fanout=fanout), nodes, more, fanout=fanout)
+    points, tree = placed.collect(), {(r["level"], r["node"]): r for r in grown.collect()}
+    assert sorted(r["id"] for r in points) == sorted([*range(old), *range(1000, 1000 + new)])
+    assert len(tree) == grown.count()
+    roots = [k for k, r in tree.items() if r["parent"] is None]
+    assert len(roots) == 1 and roots[0][0] == max(level for level, _ in tree)
+    for (level, node), r in tree.items():
+        kids = [(p["x"], p["x"], p["y"], p["y"]) for p in points if p["node"] == node] if not level else [(c["x_min"], c["x_max"], c["y_min"], c["y_max"]) for (lv, _), c in tree.items() if lv == level - 1 and c["parent"] == node]
+        assert 0 < len(kids) == r["entries"] <= fanout
+        assert (r["x_min"], r["x_max"], r["y_min"], r["y_max"]) == (min(k[0] for k in kids), max(k[1] for k in kids), min(k[2] for k in kids), max(k[3] for k in kids))
+    assert all((0, p["node"]) in tree for p in points)
+    if new == 1:  # what did not overflow stays where it was
+        moved = [p for p in points if p["id"] < 1000 and before[p["id"]] != p["node"]]
+        assert len({before[p["id"]] for p in moved}) <= 1
+
+
+def test_files_and_ranges_follow_the_rows(spark, tmp_path):
+    df = frame(spark, cloud(1_000))
+    assert ordering.ranged(df, ["x", "id"], 100).select("_range").distinct().count() > 5
+    for per in (100, 10_000):
+        layout.write_clustered(df, str(tmp_path / f"c{per}"), rows_per_file=per)
+    assert len(list((tmp_path / "c100").glob("*.parquet"))) > 5 and len(list((tmp_path / "c10000").glob("*.parquet"))) == 1
+
+
+def test_records_are_appended(spark, tmp_path):
+    df = frame(spark, cloud(20))
+    heap.write(df, str(tmp_path / "h"))
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        heap.write(df, str(tmp_path / "h"))
+    heap.write(df, str(tmp_path / "h"), append=True)
+    assert spark.read.parquet(str(tmp_path / "h")).count() == 40
+
+
 @pytest.mark.parametrize("n", [117, 118, 234])
 def test_addresses_are_unique(spark, n):
     got = heap.addressed(frame(spark, cloud(n))).collect()
