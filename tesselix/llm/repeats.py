@@ -17,7 +17,7 @@ at equal places, and about one phrase in twenty is the anchor of any window.
 5. Each bucket removes what its documents don't own.
 
 Phrases are compared as texts or by 128-bit hashes, windows by 64-bit hashes among those around one phrase. A text is
-worked on whole; beside it a task holds some twenty bytes for each of its words and bytes for its bucket's automaton.
+worked on whole: beside it a task holds a dozen numbers for each of its words, and its bucket's automaton.
 """
 
 from __future__ import annotations
