@@ -1,8 +1,8 @@
 """Token ids in binary files: Simple-8b, a word-aligned code.
 
 A 64-bit word holds a selector (its 4 high bits) and as many ids as fit the selector's width. Ids are coded in blocks
-of BLOCK; the file has the word at which each block starts, so blocks are found and decoded on their own, and all of
-them at once in array operations. An id too large for any width is an escape: the word holds its index in a list of
+of BLOCK; the file has the word at which each block starts, so readers find, read and decode runs of blocks on their
+own, all blocks of a run at once in array operations. An id too large for any width is an escape: the word holds its index in a list of
 64-bit values at the end of the file.
 
 File, all little-endian: MAGIC; seven unsigned 64-bit numbers (ids, ids a block, blocks, words, escapes, texts, bytes
@@ -12,6 +12,8 @@ of a text's id); per block and once more the word it starts at; per text its ids
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,6 +33,9 @@ COUNTS = np.array([1, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.i
 BITS = np.array([60, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 #: Ids in a file, about.
 FILE_IDS = 1 << 22
+#: Ids that a reader decodes together, about, and texts at most.
+RUN_IDS = 1 << 20
+RUN_TEXTS = 5_000
 
 
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,29 +130,61 @@ def file_bytes(ids: np.ndarray, lengths: np.ndarray, keys: list) -> bytes:
     return b"".join([MAGIC, *(x.tobytes() for x in (head, offsets.astype("<u8"), lengths.astype("<u8"), nulls, key, words.astype("<u8"), escapes.astype("<u8")))])
 
 
-def parse(data: bytes) -> tuple[np.ndarray, np.ndarray, list]:
-    """(ids, ids of each text, ids of the texts) of a file."""
-    if data[:8] != MAGIC:
-        raise ValueError("not a file of token ids")
-    n, block, blocks, n_words, n_escapes, texts, _ = (int(x) for x in np.frombuffer(data, "<u8", 7, 8))
-    if block != BLOCK:
-        raise ValueError(f"blocks of {block} ids")
-    at = 8 + 56
+class IdFile:
+    """A file of ids, open: its head and index are read, words only by ranges of blocks."""
+
+    def __init__(self, f):
+        self.f = f
+        if f.read(8) != MAGIC:
+            raise ValueError("not a file of token ids")
+        self.n, block, blocks, self.n_words, self.n_escapes, texts, _ = (int(x) for x in self._take("<u8", 7))
+        if block != BLOCK:
+            raise ValueError(f"blocks of {block} ids")
+        self.offsets, lengths, nulls, keys = self._take("<u8", blocks + 1), self._take("<u8", texts), self._take("u1", texts), self._take("<i8", texts)
+        self.at = np.concatenate([[0], np.cumsum(lengths.astype(np.int64))])
+        self.nulls, self.keys = nulls.astype(bool), keys.astype(np.int64)
+        self.words_at = 64 + self.offsets.nbytes + lengths.nbytes + nulls.nbytes + keys.nbytes
+        self._escapes = None
+
+    def _take(self, kind: str, count: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize * count
+        data = self.f.read(size)
+        if len(data) != size:
+            raise ValueError("a file of token ids that is cut off")
+        return np.frombuffer(data, kind)
 
-    def take(kind: str, count: int) -> np.ndarray:
-        nonlocal at
-        got = np.frombuffer(data, kind, count, at)
-        at += got.nbytes
-        return got
+    def ids(self, low: int, high: int) -> np.ndarray:
+        """The ids from low to high (exclusive); only the blocks that hold them are read."""
+        if low >= high:
+            return np.zeros(0, np.uint64)
+        if self._escapes is None:
+            self.f.seek(self.words_at + 8 * self.n_words)
+            self._escapes = self._take("<u8", self.n_escapes).astype(np.uint64)
+        first, last = low // BLOCK, -(-high // BLOCK)
+        start, stop = int(self.offsets[first]), int(self.offsets[last])
+        self.f.seek(self.words_at + 8 * start)
+        words = self._take("<u8", stop - start).astype(np.uint64)
+        got = decode(words, self.offsets[first : last + 1] - np.uint64(start), self._escapes, min(last * BLOCK, self.n) - first * BLOCK)
+        return got[low - first * BLOCK : high - first * BLOCK]
 
-    offsets, lengths, nulls, key = take("<u8", blocks + 1), take("<u8", texts), take("u1", texts), take("<i8", texts)
-    ids = decode(take("<u8", n_words).astype(np.uint64), offsets, take("<u8", n_escapes), n)
-    return ids, lengths.astype(np.int64), [None if z else int(k) for z, k in zip(nulls, key, strict=True)]
+    def texts(self, numbers: np.ndarray, most: int = RUN_IDS) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The texts of these ascending numbers, in runs of texts next to each other with about `most` ids, one text at
+        least: (numbers, ids, the place in the run at which each text starts and the run's ids)."""
+        i = 0
+        while i < len(numbers):
+            end = int(np.searchsorted(self.at, self.at[numbers[i]] + most, "right")) - 1
+            j = i + 1
+            while j < len(numbers) and j - i < RUN_TEXTS and numbers[j] == numbers[j - 1] + 1 and numbers[j] < end:
+                j += 1
+            cut = self.at[numbers[i] : numbers[j - 1] + 2]
+            yield numbers[i:j], self.ids(int(cut[0]), int(cut[-1])), cut - cut[0]
+            i = j
 
 
 def write_ids(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
     """Writes the ids of all texts, each followed by `end`, in ascending order of id_col (an integer) to files in the
-    shared folder, and returns the files: part, nth, file, texts, n_ids, first_id (ids in the files before it).
+    shared folder, and returns the files: part, nth, file, texts, n_ids, low and high (the smallest and largest id_col in
+    it; null if all are), first_id (ids in the files before it).
 
     Null ids come first, equal ones in the order of their texts' hashes; a null text is empty; each repeated row is
     written. An empty table gives no files. A file that a lost attempt has left is in no row of the result.
@@ -167,9 +204,11 @@ def write_ids(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "do
             nonlocal nth, ids, lengths, keys, waiting
             n = np.concatenate(lengths)
             file = write_file(folder, f"part-{part:06d}-{nth:04d}", file_bytes(np.concatenate(ids), n, keys))
-            row = [[part], [nth], [file], [len(n)], [waiting]]
+            some = [k for k in keys if k is not None]
+            row = [[part], [nth], [file], [len(n)], [waiting], [min(some, default=None)], [max(some, default=None)]]
+            kinds = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 4]
             nth, ids, lengths, keys, waiting = nth + 1, [], [], [], 0
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in row], ["part", "nth", "file", "texts", "n_ids"])
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], ["part", "nth", "file", "texts", "n_ids", "low", "high"])
 
         for got, own, at in encoded(batches, "_text", path, end):
             ids.append(own)
@@ -181,28 +220,44 @@ def write_ids(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "do
         if keys:
             yield flush()
 
-    files = materialise(rows.mapInArrow(run, "part bigint, nth bigint, file string, texts bigint, n_ids bigint"), "id-files")
+    files = materialise(rows.mapInArrow(run, "part bigint, nth bigint, file string, texts bigint, n_ids bigint, low bigint, high bigint"), "id-files")
     # a row a file: few
     return files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 
-def read_ids(files: DataFrame) -> DataFrame:
-    """The texts of write_ids(): doc_id, start (ids of all texts before it), n_tokens, ids (little-endian unsigned 32-bit)."""
+TEXT = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
+
 
+def _read(files: DataFrame, wanted: list[int] | None) -> DataFrame:
     def run(batches):
+        some = None if wanted is None else np.array(wanted, np.int64)
         for b in batches:
             for file, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 fs, path = store(file)
                 with fs.open_input_file(path) as f:
-                    ids, lengths, keys = parse(f.read())
-                at = np.concatenate([[0], np.cumsum(lengths)])
-                data = ids.astype("<u4")
-                for i in range(0, len(keys), 5_000):
-                    cut = at[i : i + 5_001]
-                    some = pa.Array.from_buffers(pa.large_binary(), len(cut) - 1, [None, pa.py_buffer((cut - cut[0]) * 4), pa.py_buffer(data[cut[0] : cut[-1]].tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 5_000], pa.int64()), pa.array(first + cut[:-1]), pa.array(np.diff(cut)), some.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+                    own = IdFile(f)
+                    numbers = np.arange(len(own.keys)) if some is None else np.flatnonzero(np.isin(own.keys, some) & ~own.nulls)
+                    for which, ids, cut in own.texts(numbers):
+                        data = pa.Array.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(cut * 4), pa.py_buffer(ids.astype("<u4").tobytes())])
+                        keys = pa.array(own.keys[which], pa.int64(), mask=own.nulls[which])
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(first + own.at[which]), pa.array(np.diff(cut)), data.cast(pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
 
     ship(files.sparkSession)
     # a few files a task: the window that numbers them has left them in one partition
     spread = files.select("file", "first_id").repartition(max(files.sparkSession.sparkContext.defaultParallelism * 2, 8), "file")
-    return spread.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids binary")
+    return spread.mapInArrow(run, TEXT)
+
+
+def read_ids(files: DataFrame) -> DataFrame:
+    """The texts of write_ids(): doc_id, start (ids of all texts before it), n_tokens, ids (little-endian unsigned 32-bit).
+    Files are read and decoded by runs of blocks, so a task holds about RUN_IDS ids, or one text's."""
+    return _read(files, None)
+
+
+def read_texts(files: DataFrame, wanted: list[int]) -> DataFrame:
+    """read_ids() of the documents of a stated list: files that can't hold one are left alone, of the others the index is
+    read, and the blocks that hold those texts. Ids that aren't there have no row, repeated ones all theirs."""
+    wanted = sorted(set(wanted))
+    # ranges of the list that reach the small table of files
+    holds = F.exists(F.lit(wanted).cast("array<bigint>"), lambda i: i.between(F.col("low"), F.col("high")))
+    return _read(files.filter(holds), wanted)

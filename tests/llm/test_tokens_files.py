@@ -1,5 +1,6 @@
 """Token ids, packing and binary files."""
 
+import io
 import random
 import zlib
 from collections import Counter
@@ -174,9 +175,61 @@ def test_files(spark, plain, monkeypatch):
     assert simple8b.read_ids(simple8b.write_ids(empty_documents(spark), tokens.default_path())).collect() == []
 
 
+def test_stated_texts_by_their_blocks(spark, plain, monkeypatch):
+    df = odd_documents(spark)
+    files = simple8b.write_ids(df, tokens.default_path())
+    everything = simple8b.read_ids(files).collect()
+    known = sorted({r["doc_id"] for r in everything if r["doc_id"] is not None})
+    wanted = [*known[::3], known[0], max(known) + 1]
+    got = simple8b.read_texts(files, wanted).collect()
+    assert Counter(map(tuple, got)) == Counter(tuple(r) for r in everything if r["doc_id"] in wanted)
+    assert simple8b.read_texts(files, []).collect() == simple8b.read_texts(files, [max(known) + 1]).collect() == []
+
+
+class Counted(io.BytesIO):
+    seen = 0
+
+    def read(self, n=-1):
+        data = super().read(n)
+        self.seen += len(data)
+        return data
+
+
+@settings(max_examples=60, deadline=None)
+@given(lengths=st.lists(st.integers(0, 1200), max_size=12), most=st.integers(1, 3000), seed=st.integers(0, 9), step=st.integers(1, 3))
+def test_runs_of_blocks_are_the_ids(lengths, most, seed, step):
+    rng = np.random.default_rng(seed)
+    ids = rng.integers(0, 2 ** rng.integers(1, 63, sum(lengths), dtype=np.uint64), dtype=np.uint64) if sum(lengths) else np.zeros(0, np.uint64)
+    at = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+    keys = [None if i % 4 == 1 else i for i in range(len(lengths))]
+    own = simple8b.IdFile(io.BytesIO(simple8b.file_bytes(ids, np.array(lengths, np.int64), keys)))
+    assert [None if z else k for k, z in zip(own.keys.tolist(), own.nulls.tolist(), strict=True)] == keys
+    seen = []
+    for which, some, cut in own.texts(np.arange(0, len(lengths), step), most):
+        for k, i in enumerate(which.tolist()):
+            assert (some[cut[k] : cut[k + 1]] == ids[at[i] : at[i + 1]]).all()
+        assert len(which) == 1 or len(some) <= most
+        seen += which.tolist()
+    assert seen == list(range(0, len(lengths), step))
+
+
+def test_a_text_takes_its_own_blocks_only():
+    ids = np.arange(200_000, dtype=np.uint64) % 50_000
+    f = Counted(simple8b.file_bytes(ids, np.full(200, 1000, np.int64), list(range(200))))
+    own = simple8b.IdFile(f)
+    f.seen = 0
+    assert (own.ids(100_000, 101_000) == ids[100_000:101_000]).all()
+    assert f.seen < 4 * simple8b.BLOCK * 8  # of 200,000 ids
+
+
 def test_damaged_files_are_refused():
+    whole = simple8b.file_bytes(np.arange(3000, dtype=np.uint64), np.array([3000]), [1])
+    with pytest.raises(ValueError):
+        simple8b.IdFile(io.BytesIO(b"something else"))
+    with pytest.raises(ValueError):
+        simple8b.IdFile(io.BytesIO(whole[:60]))
     with pytest.raises(ValueError):
-        simple8b.parse(b"something else")
+        simple8b.IdFile(io.BytesIO(whole[:-8])).ids(0, 3000)
 
 
 def test_queries(spark, plain, tmp_path):
