@@ -133,44 +133,91 @@ def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
     return rows.drop("shard", "offset").join(places, "digest").select("doc_id", "n_bytes", "digest", "_p.shard", "_p.offset", "length")
 
 
-def read_media(rows: DataFrame, payload: bool = True) -> DataFrame:
-    """What is stored, one row a content: digest, media_bytes, width, height, bits from header ranges and, if asked for,
-    the stored file (media) and its samples (payload), read back whole. Contents are read in the order they lie in."""
+HEAD = "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, bits bigint"
+
+
+class _Opened:
+    """The shard read last, kept open: places come in the order they lie in."""
+
+    def __init__(self):
+        self.uri = self.file = None
+
+    def read(self, uri: str, offset: int, length: int) -> bytes:
+        if uri != self.uri:
+            self.close()
+            fs, path = store(uri)
+            self.file, self.uri = fs.open_input_file(path), uri
+        self.file.seek(offset)
+        return self.file.read(length)
+
+    def close(self) -> None:
+        if self.file:
+            self.file.close()
+
+
+def read_headers(rows: DataFrame, task_bytes: int | None = None) -> DataFrame:
+    """One row a content of store_texts()'s rows: digest, shard, offset, length, and width, height, bits from HEADER bytes at
+    the offset; nothing else is read. Contents come in the order they lie in; no rows give none. task_bytes: stored bytes
+    that a task's contents have, about, for what reads them afterwards."""
     ship(rows.sparkSession)
     wanted = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
     # by number: the rows are small, what is read for them is not
-    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism + int((rows.agg(F.sum("length")).first()[0] or 0) // TASK_BYTES)
+    tasks = 2 * rows.sparkSession.sparkContext.defaultParallelism
+    if task_bytes:
+        tasks += int((rows.agg(F.sum("length")).first()[0] or 0) // task_bytes)
     wanted = wanted.repartitionByRange(tasks, "shard", "offset").sortWithinPartitions("shard", "offset")
 
     def run(batches):
-        file, opened, found, held = None, None, [], 0
+        opened = _Opened()
+        for b in batches:
+            places = zip(*(b.column(i).to_pylist() for i in (1, 2)), strict=True)
+            heads = [png_header(opened.read(shard, offset, HEADER))[:3] for shard, offset in places]
+            if heads:
+                yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(x, pa.int64()) for x in zip(*heads, strict=True))], [*b.schema.names, "width", "height", "bits"])
+        opened.close()
+
+    return wanted.mapInArrow(run, HEAD)
+
+
+def read_payloads(heads: DataFrame) -> DataFrame:
+    """read_headers()'s rows with the stored file (media) and its samples (payload), read back whole; a file whose samples
+    aren't as many as its header row says is refused."""
+
+    def run(batches):
+        opened, found, held = _Opened(), [], 0
 
         def flush():
             nonlocal found, held
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            out = pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(zip(*found, strict=True), kinds, strict=True)], ["digest", "media_bytes", "width", "height", "bits", "media", "payload"])
+            own, media, payload = zip(*found, strict=True)
+            kept = pa.Table.from_batches(own).combine_chunks().to_batches()[0]
+            out = pa.RecordBatch.from_arrays([*kept.columns, pa.array(media, pa.binary()), pa.array(payload, pa.binary())], [*kept.schema.names, "media", "payload"])
             found, held = [], 0
             return out
 
         for b in batches:
-            for digest, shard, offset, length in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if shard != opened:
-                    if file:
-                        file.close()
-                    fs, path = store(shard)
-                    file, opened = fs.open_input_file(path), shard
-                file.seek(offset)
-                head = file.read(HEADER)
-                width, height, bits, _ = png_header(head)
-                whole = head + file.read(length - HEADER) if payload else None
-                samples = png_samples(whole) if payload else None
-                found.append((digest, length, width, height, bits, whole, samples))
-                held += HEADER + (length + len(samples) if payload else 0)
+            places = zip(*(b.column(c).to_pylist() for c in ("shard", "offset", "length", "width", "height")), strict=True)
+            for i, (shard, offset, length, width, height) in enumerate(places):
+                media = opened.read(shard, offset, length)
+                payload = png_samples(media)
+                if len(payload) != width * height:
+                    raise ValueError("a payload that is not its header's")
+                found.append((b.slice(i, 1), media, payload))
+                held += length + len(payload)
                 if held >= BATCH_BYTES or len(found) >= 5_000:
                     yield flush()
-        if file:
-            file.close()
+        opened.close()
         if found:
             yield flush()
 
-    return wanted.mapInArrow(run, "digest string, media_bytes bigint, width bigint, height bigint, bits bigint, media binary, payload binary")
+    return heads.mapInArrow(run, f"{HEAD}, media binary, payload binary")
+
+
+def read_media(rows: DataFrame, payload: bool = True) -> DataFrame:
+    """What is stored, one row a content: digest, media_bytes, width, height, bits from header ranges and, if asked for,
+    the stored file (media) and its samples (payload); else both are null and no payload is read."""
+    if payload:
+        read = read_payloads(read_headers(rows, TASK_BYTES))
+    else:
+        none = F.lit(None).cast("binary")
+        read = read_headers(rows).withColumns({"media": none, "payload": none})
+    return read.select("digest", F.col("length").alias("media_bytes"), "width", "height", "bits", "media", "payload")

@@ -15,7 +15,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tesselix.llm import decontamination as dec, media, secrets, sharding, wordpiece
+from tesselix.llm import decontamination as dec, files, media, secrets, sharding, wordpiece
 from tests.llm.helpers import DOCS, documents, empty_documents, odd_documents, prose, rows, vocabulary
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -252,10 +252,25 @@ def test_media_of_odd_rows(spark, tmp_path):
             assert hashlib.sha256(tar.extractfile(member).read()).hexdigest() == digest
     read = media.read_media(spark.createDataFrame(got)).collect()
     assert {bytes(r["payload"]) for r in read} == {media.padded(t) for _, t in texts}
-    assert all(r["payload"] is None for r in media.read_media(spark.createDataFrame(got), payload=False).collect())
+    heads = {r["digest"]: r for r in media.read_media(spark.createDataFrame(got), payload=False).collect()}
+    assert all(r["payload"] is None and r["media"] is None for r in heads.values())
+    assert {r["digest"]: r[1:5] for r in read} == {d: r[1:5] for d, r in heads.items()}
     assert media.read_media(media.store_texts(empty_documents(spark))).collect() == []
 
 
+def test_metadata_takes_headers_only(spark, tmp_path, monkeypatch):
+    stored = media.store_texts(spark.createDataFrame(rows(["word " * 2000, "another " * 900]), DOCS), str(tmp_path / "m")).collect()
+    for r in stored:  # what follows the headers is gone; metadata don't need it, payloads do
+        data = bytearray(open(files.store(r["shard"])[1], "rb").read())
+        data[r["offset"] + media.HEADER : r["offset"] + r["length"]] = bytes(r["length"] - media.HEADER)
+        open(files.store(r["shard"])[1], "wb").write(data)
+    again = spark.createDataFrame(stored)
+    got = {r["digest"]: (r["width"], r["height"], r["bits"]) for r in media.read_headers(again).collect()}
+    assert got == {r["digest"]: (64, len(media.padded(bytes(r["n_bytes"]))) // 64, 8) for r in stored}
+    with pytest.raises(Exception, match="damaged PNG"):
+        media.read_media(again).collect()
+
+
 def test_media_query(spark, tmp_path):
     from tesselix.llm import queries
 
