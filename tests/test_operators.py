@@ -132,6 +132,14 @@ def test_knn_join_by_cells(spark, rows, k):
     assert got(knn.knn_join(df, queries, k, method="grid", block=4)) == got(knn.knn_join(df, queries, k, method="all"))
 
 
+def test_cells_follow_the_long_sides():
+    assert abs(knn.cell_width([100.0, 100.0], 10_000, 1) - 1) < 1e-9
+    assert abs(knn.cell_width([1000.0, 10.0], 10_000, 4) - 2) < 1e-9
+    assert abs(knn.cell_width([1e6, 1e-3], 1000, 5) - 5000) < 1e-6  # not the root of what the thin side leaves
+    assert knn.cell_width([0.0, 0.0], 3, 1) == knn.cell_width([], 0, 1) == 1.0
+    assert knn.cell_width([5.0, 7.0], 3, 10) > 0
+
+
 def test_stored_index(spark, tmp_path, monkeypatch):
     df = frame(spark, cloud(3_000))
     layout.write_index(df, str(tmp_path / "i"), rows_per_file=1_000)
