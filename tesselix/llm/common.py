@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F, Window
 
 from tesselix.sources.storage import fresh_path, materialise
 
-__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "materialise", "mix", "powers", "ragged", "release", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "unused", "words"]
+__all__ = ["ALNUM", "LOWER", "NOT_WHITE", "distinct_spans", "fresh_path", "gapless", "hot_keys", "materialise", "mix", "powers", "ragged", "release", "salted_join", "shingle_hashes", "slices", "span_hashes", "text_or_empty", "unused", "words"]
 
 #: Bytes of text worked on at once; a single longer text is worked on alone.
 SLICE_BYTES = 1 << 20
@@ -58,6 +58,29 @@ def gapless(df: DataFrame, keys: list[str], order: list[str], out: str, buckets:
     return salted.join(offsets, [*keys, b]).withColumn(out, (F.col(o) + F.row_number().over(within) - 1).cast("long")).drop(b, o)
 
 
+#: A key is hot if it holds more than one in HOT of all rows, so there are fewer than HOT of them; a hot key's rows are
+#: dealt to SALTS tasks.
+HOT = 200
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, key: str) -> list:
+    """The hot keys of df, fewer than HOT; null is none. Keys are counted before they are shuffled."""
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("of"))  # one row
+    return [r[0] for r in counts.crossJoin(F.broadcast(total)).filter(F.col("n") * HOT > F.col("of")).select(key).collect()]
+
+
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str, hot: list) -> DataFrame:
+    """many joined with the row of `one` that its key has (rows without one go). Rows of hot keys are dealt to SALTS tasks by a
+    hash of the column `spread` of many, and a hot key's row of `one` to each of them."""
+    (salt,) = unused(many.select("*", *(F.lit(None).alias(c) for c in one.columns if c not in many.columns)), "_salt")
+    is_hot = F.col(key).isin(hot) if hot else F.lit(False)
+    dealt = many.withColumn(salt, F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(0).cast("int"))
+    copies = one.withColumn(salt, F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies, [key, salt]).drop(salt)
+
+
 # --- texts as bytes -------------------------------------------------------------------------------------------
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import fresh_path, materialise, slices, text_or_empty
+from tesselix.llm.common import fresh_path, hot_keys, materialise, salted_join, slices, text_or_empty
 from tesselix.llm.files import Writer, store
 from tesselix.sources.shipping import ship
 
@@ -130,7 +130,7 @@ def store_texts(docs: DataFrame, folder: str | None = None, id_col: str = "doc_i
 
     rows = materialise(picked.mapInArrow(run, f"doc_id {dict(picked.dtypes)['doc_id']}, {ROW}"), "media-rows")
     places = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset")).alias("_p"))
-    return rows.drop("shard", "offset").join(places, "digest").select("doc_id", "n_bytes", "digest", "_p.shard", "_p.offset", "length")
+    return salted_join(rows.drop("shard", "offset"), places, "digest", "doc_id", hot_keys(rows, "digest")).select("doc_id", "n_bytes", "digest", "_p.shard", "_p.offset", "length")
 
 
 HEAD = "digest string, shard string, offset bigint, length bigint, width bigint, height bigint, bits bigint"

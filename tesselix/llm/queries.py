@@ -71,7 +71,7 @@ def op7_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tesselix.llm.common import materialise
+    from tesselix.llm.common import hot_keys, materialise, salted_join
     from tesselix.llm.media import read_media, store_texts
 
     rows = materialise(store_texts(table(spark, sf_dir, "documents")), "media-places")
@@ -84,7 +84,7 @@ def op8_tar_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("media", 256).alias("media_sha256"),
         F.format_string("png %dx%d %d bit grey", "width", "height", "bits").alias("feature"),
     )
-    return rows.select("doc_id", "n_bytes", "digest").join(read, "digest").drop("digest")
+    return salted_join(rows.select("doc_id", "n_bytes", "digest"), read, "digest", "doc_id", hot_keys(rows, "digest")).drop("digest")
 
 
 def op9_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tesselix.llm import decontamination as dec, files, media, secrets, sharding, wordpiece
+from tesselix.llm import common, decontamination as dec, files, media, secrets, sharding, wordpiece
 from tests.llm.helpers import DOCS, documents, empty_documents, odd_documents, prose, rows, vocabulary
 
 SLOW = settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -271,6 +271,15 @@ def test_metadata_takes_headers_only(spark, tmp_path, monkeypatch):
         media.read_media(again).collect()
 
 
+def test_hot_keys_are_dealt_out(spark):
+    many = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}", i) for i in range(900)] + [(900, None, 0), (901, "absent", 0)], "doc_id bigint, k string, _salt int")
+    one = spark.createDataFrame([("hot", "h")] + [(f"k{i}", str(i)) for i in range(0, 900, 3)], "k string, v string")
+    assert common.hot_keys(many, "k") == ["hot"] and common.hot_keys(many.limit(0), "k") == []
+    for hot in (["hot"], []):
+        got = common.salted_join(many, one, "k", "doc_id", hot)
+        assert Counter(map(tuple, got.select("doc_id", "k", "_salt", "v").collect())) == Counter((i, "hot" if i % 3 else f"k{i}", i, "h" if i % 3 else str(i)) for i in range(900))
+
+
 def test_media_query(spark, tmp_path):
     from tesselix.llm import queries
 
