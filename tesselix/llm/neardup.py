@@ -31,7 +31,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import ALNUM, LOWER, SLICE_BYTES, materialise, mix, shingle_hashes, slices, span_hashes, text_or_empty, words
+from tesselix.llm.common import ALNUM, HOT, LOWER, SLICE_BYTES, hot_keys, materialise, mix, salted_join, shingle_hashes, slices, span_hashes, text_or_empty, words
 from tesselix.llm.components import components
 from tesselix.sources.shipping import ship
 
@@ -298,7 +298,7 @@ def _open(members: DataFrame, classes: DataFrame) -> DataFrame:
     now = members.filter("node <> pivot").select("bucket", "node", "size").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
     now = materialise(now, "open")
     open_ = now.groupBy("bucket").agg(F.min("class").alias("l"), F.max("class").alias("h"), F.min("node").alias("hub")).filter("l < h").select("bucket", "hub")
-    return now.join(open_, "bucket")
+    return salted_join(now, open_, "bucket", "node", hot_keys(now, "bucket"))
 
 
 def _dealt(rows: DataFrame, key: str, most: int, shingles: int) -> DataFrame:
@@ -309,8 +309,8 @@ def _dealt(rows: DataFrame, key: str, most: int, shingles: int) -> DataFrame:
     chunks = lambda n, s: F.greatest(F.ceil(n / F.lit(most)), F.ceil(s / F.lit(shingles)))
     others = F.col("all") - F.col("m.n")
     sizes = sizes.filter(others > 0).select(key, F.col("m.class").alias("major"), chunks(others, F.col("whole") - F.col("m.s")).alias("minors"), chunks(F.col("m.n"), F.col("m.s")).alias("majors"))
-    # a hot key is one row of sizes and many nodes: a join that AQE splits
-    dealt = rows.join(sizes, key).withColumn("large", F.col("class") == F.col("major"))
+    # a hot key is one row of sizes and many nodes
+    dealt = salted_join(rows, sizes, key, "node", hot_keys(rows, key)).withColumn("large", F.col("class") == F.col("major"))
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("majors")).otherwise(F.col("minors"))))
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)).alias("o")
     low, high = F.least("chunk", "o"), F.greatest("chunk", "o")
@@ -375,14 +375,18 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
 
     each = nodes.select("node", "size", F.posexplode("bands").alias("band", "key"))
     placed = each.select("node", "size", F.xxhash64("band", "key").alias("bucket"))
-    # a bucket with a third of all nodes: one row of `buckets`, and a join that AQE splits
-    buckets = placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1").select("bucket", "pivot")
-    members = materialise(placed.join(buckets, "bucket").select("bucket", "node", "size", "pivot"), "members")
+    # a bucket with a third of all nodes is one row of `buckets`; its members are dealt to several tasks
+    buckets = materialise(placed.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("members")).filter("members > 1"), "buckets")
+    shared = buckets.agg(F.sum("members")).first()[0] or 0
+    hot = [r["bucket"] for r in buckets.filter(F.col("members") * HOT > shared).select("bucket").collect()]  # fewer than HOT
+    members = materialise(salted_join(placed, buckets.select("bucket", "pivot"), "bucket", "node", hot), "members")
+    hot_pivots = hot_keys(members, "pivot")
 
     pairs = members.filter("node <> pivot").select("pivot", "node").distinct().join(nodes.select("node", "bands"), "node")
-    pairs = materialise(_likely(pairs.join(nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("p_bands")), "pivot"), similarity), "pairs")
+    pivots = nodes.select(F.col("node").alias("pivot"), F.col("bands").alias("p_bands"))
+    pairs = materialise(_likely(salted_join(pairs, pivots, "pivot", "node", hot_pivots), similarity), "pairs")
     parts = pairs.groupBy("pivot").agg((F.count("*") / GROUP + 1).cast("int").alias("parts"))
-    dealt = pairs.join(parts, "pivot").select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("group"), "pivot", "node")
+    dealt = salted_join(pairs, parts, "pivot", "node", hot_pivots).select(F.xxhash64("pivot", F.pmod(F.xxhash64("node"), F.col("parts"))).alias("group"), "pivot", "node")
     ends = dealt.select("group", F.lit(1).alias("role"), "node").unionByName(dealt.select("group", F.lit(0).alias("role"), F.col("pivot").alias("node")).distinct())
     ends = ends.select("group", "role", F.lit(False).alias("own"), "node", F.col("node").alias("class"))
     links = _links(ends.join(texts_of(ends, "texts"), "node"), idf, similarity)
@@ -403,8 +407,9 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     summed = labelled.groupBy("class").agg(F.min("_id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(F.struct("_id", "node")).alias("_best"))
     known = labelled.join(summed, "class").select("node", "class_id", "class_size", "_best")
     no_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    # A hot text is one key with many rows on one side only; AQE splits that join.
-    return rows.select("_id", "node").join(known, "node").select(no_id("_id").alias("doc_id"), F.lower(F.hex("node")).alias("text_md5"), no_id("class_id").alias("class_id"), "class_size", ((F.col("_id") == F.col("_best._id")) & (F.col("node") == F.col("_best.node"))).alias("kept"))
+    n_rows = nodes.agg(F.sum("rows")).first()[0] or 0
+    hot = [r["node"] for r in nodes.filter(F.col("rows") * HOT > n_rows).select("node").collect()]  # texts with many rows, fewer than HOT
+    return salted_join(rows.select("_id", "node"), known, "node", "_id", hot).select(no_id("_id").alias("doc_id"), F.lower(F.hex("node")).alias("text_md5"), no_id("class_id").alias("class_id"), "class_size", ((F.col("_id") == F.col("_best._id")) & (F.col("node") == F.col("_best.node"))).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
