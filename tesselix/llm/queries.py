@@ -102,6 +102,22 @@ def op10_toxicity_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (~learnable()).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_skip_chain_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tesselix.llm.personal import KINDS, find_personal, learned
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_personal(docs, learned(docs))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["base"])
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS),
+        F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tesselix.llm.periodic import find_runs
 
@@ -126,7 +142,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op3_weighted_minhash, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op9_repeated_phrases, op10_toxicity_fm, op12_periodic_runs, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op2_min_slack_packing, op3_weighted_minhash, op4_simple8b_ids, op5_lpt_sharding, op6_longest_match_counts, op7_secret_linking, op8_tar_media, op9_repeated_phrases, op10_toxicity_fm, op11_skip_chain_personal, op12_periodic_runs, op13_filter_audit)}
 
 WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{2FFF}\x{A000}-\x{10FFFF}]+|[\x{3000}-\x{9FFF}]')"
 ORACLES: dict[str, str] = {
