@@ -109,9 +109,10 @@ def op11_skip_chain_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_personal(docs, learned(docs))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["base"])
+    of = lambda k: F.filter("spans", lambda s: s["base"] & (s["kind"] == k))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in KINDS),
+        *(F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS),
         F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"),
         joined(F.col("spans")).alias("spans"),
         F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"),
