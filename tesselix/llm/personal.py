@@ -267,7 +267,7 @@ def beliefs(field: Field, g: Graph, sweeps: int = SWEEPS) -> tuple[np.ndarray, n
     total = together()
     single = np.exp(total - _sum_exp(total, 1)[:, None])
     joint = (total[src] - message[back])[: len(a), :, None] + (total[dst] - message)[: len(a), None, :] + pair[: len(a)]
-    joint = joint.reshape(len(a), -1)
+    joint = joint.reshape(len(a), LABELS * LABELS)
     return single, np.exp(joint - (_sum_exp(joint, 1)[:, None] if len(a) else 0)).reshape(-1, LABELS, LABELS)
 
 
@@ -311,7 +311,12 @@ def _stranger(token: str, rng: random.Random) -> str:
 
 
 def lesson(doc: Nodes, rng: random.Random) -> tuple[Nodes, list[int]]:
-    """The document's nodes with, for each entity, a copy that the rule misses and strangers; and the labels."""
+    """The document's nodes with, for each entity, a copy that the rule misses and strangers; and the labels. Nodes that no rule
+    covers but that have partners which one does are left out: what they are isn't known."""
+    partners = [set(keys(t, w)) for t, w in zip(doc.tokens, doc.whole, strict=True)]
+    covered = set().union(*(p for p, r in zip(partners, doc.rule, strict=True) if r >= 0))
+    known = [i for i, r in enumerate(doc.rule) if r >= 0 or not partners[i] & covered]
+    doc = Nodes([doc.tokens[i] for i in known], [doc.joined[i] and n > 0 and known[n - 1] == i - 1 for n, i in enumerate(known)], [doc.rule[i] for i in known], [doc.whole[i] for i in known])
     out, labels = Nodes(list(doc.tokens), list(doc.joined), list(doc.rule), list(doc.whole)), [r + 1 for r in doc.rule]
 
     def put(tokens: list[str], label: int) -> None:
