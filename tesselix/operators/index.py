@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F, Window
 
 from tesselix.functions import geometry as g
+from tesselix.operators.joins import BROADCAST_ROWS, dealt_join, hot_keys
 from tesselix.operators.points import DIMS, blocks, columns
 from tesselix.plans.ordering import numbered
 from tesselix.sources.storage import materialise
@@ -17,9 +18,15 @@ REINSERTED = 15
 BLOCK = 50_000
 
 
+def block_side(fanout: int) -> int:
+    """Of a node's entries in a square block: how many side by side."""
+    return max(2, int(fanout**0.5))
+
+
 def leaf_of(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, method: str = "slab") -> DataFrame:
     """Adds node, the leaf of each point. slab: runs of `fanout` by the first coordinate, then id. str: slabs by the
-    first coordinate, each packed by the second, so that leaves are about square."""
+    first coordinate, each packed by the second, so that leaves are about square. blocks: these leaves, numbered so that
+    nodes of every level above (block_side squared numbers each) are about square too; some numbers stay unused."""
     if method == "slab":
         return numbered(points, [dims[0], id], "_rn").withColumn("node", F.expr(f"(_rn - 1) div {fanout}")).drop("_rn")
     ranked = numbered(points, [dims[0], id], "_rn")
@@ -27,7 +34,15 @@ def leaf_of(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fan
     per_slab = max(fanout, int((n * fanout) ** 0.5 // fanout) * fanout)
     slabs = ranked.withColumn("_slab", F.expr(f"(_rn - 1) div {per_slab}"))
     within = Window.partitionBy("_slab").orderBy(dims[1], id)  # a slab is about the root of n * fanout rows
-    return slabs.withColumn("node", F.col("_slab") * F.lit(-(-per_slab // fanout)) + F.floor((F.row_number().over(within) - 1) / F.lit(fanout))).drop("_rn", "_slab")
+    row = F.floor((F.row_number().over(within) - 1) / F.lit(fanout))
+    if method == "str":
+        return slabs.withColumn("node", F.col("_slab") * F.lit(-(-per_slab // fanout)) + row).drop("_rn", "_slab")
+    side, most = block_side(fanout), max(per_slab // fanout, n // per_slab) + 1
+    node, unit = F.lit(0), 1
+    while unit < most:  # the digits of slab and row in turn
+        digit = lambda c: F.floor(F.col(c) / F.lit(unit)) % F.lit(side)  # noqa: E731, B023
+        node, unit = node + (digit("_slab") * F.lit(side) + digit("_row")) * F.lit(unit * unit), unit * side
+    return slabs.withColumn("_row", row).withColumn("node", node.cast("bigint")).drop("_rn", "_slab", "_row")
 
 
 def _boxes(df: DataFrame, dims: tuple[str, ...], low: str, high: str):
@@ -81,17 +96,36 @@ def choose_subtree(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] =
     return all_.select("id", "_c.node", "_c.growth")
 
 
+def choose_child(at: DataFrame, children: DataFrame, dims: tuple[str, ...] = DIMS, n: int | None = None) -> DataFrame:
+    """Of points (id, dims) at a node each, the child of that node that grows least to take them (choose_subtree's rule). A node's
+    children come to the points as one row, so nothing is grouped by point. Up to BROADCAST_ROWS children (n of them) are broadcast; of
+    more, the points of hot nodes are dealt out by a salt."""
+    kid = F.struct("node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))
+    kids = children.groupBy("parent").agg(F.collect_list(kid).alias("_kids")).withColumnRenamed("parent", "node")  # a node's fanout
+    if n is not None and n <= BROADCAST_ROWS:
+        met = at.join(F.broadcast(kids), "node")
+    else:
+        at = materialise(at, "at")
+        met = dealt_join(at, kids, "node", "id", hot_keys(at, "node"))
+
+    def choice(c):
+        own = [c[f"{d}_min"] for d in dims], [c[f"{d}_max"] for d in dims]
+        return F.struct(g.enlargement(own, g.point_box(columns(dims))).alias("growth"), g.area(own).alias("area"), c["entries"], c["node"].alias("node"))
+
+    return met.select("id", *dims, F.array_min(F.transform("_kids", choice))["node"].alias("node"))
+
+
 def descend(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", to_level: int = 0) -> DataFrame:
     """The leaf of each point (or its node at `to_level`) by the same choice made level by level from the root: id,
-    node. A point meets the children of the node it is at only, by a join on the parent."""
+    node. A point meets the children of the node it is at only."""
     tree = materialise(nodes, "nodes")
-    at = points.select(F.col(id).alias("id"), *dims, F.lit(0).cast("bigint").alias("parent"))
-    top = tree.agg(F.max("level")).first()[0]
-    for level in range((top or 0) - 1, to_level - 1, -1):
-        children = tree.filter(F.col("level") == level).select("parent", "node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))
-        chosen = at.join(children, "parent").groupBy("id", *dims).agg(_growth(dims).alias("_c"))
-        at = chosen.select("id", *dims, F.col("_c.node").alias("parent"))
-    return at.select("id", F.col("parent").alias("node"))
+    sizes = dict(tree.groupBy("level").count().collect())  # a row a level
+    top = max(sizes, default=0)
+    root = tree.filter(F.col("level") == top).select("node")  # one row
+    at = points.select(F.col(id).alias("id"), *dims).crossJoin(F.broadcast(root))
+    for level in range(top - 1, to_level - 1, -1):
+        at = choose_child(at, tree.filter(F.col("level") == level), dims, sizes[level])
+    return at.select("id", "node")
 
 
 def overflowing(nodes: DataFrame, fanout: int = FANOUT) -> DataFrame:

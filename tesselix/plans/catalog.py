@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tesselix.functions import geometry as g, sqlfuncs
 from tesselix.operators import heap, index, knn, points as pts, ranges, skyline as sky
-from tesselix.plans import layout
+from tesselix.plans import layout, tree
 from tesselix.sources import osm, report
 from tesselix.sources.storage import fresh_path
-from tesselix.sources.tables import table
+from tesselix.sources.tables import fingerprint, table
+from tesselix.streaming import ingest
 
 BOX = ([10.0, 902.0], [30.0, 915.0])
 AT = (25.0, 910.0)
@@ -327,23 +328,27 @@ def knn_single(spark, d):
     return knn.knn(parts(spark, d), AT, 10).select("id", "x", "y", "dist", "rank")
 
 
-_indexes: dict = {}
+_trees: dict = {}
 
 
-def part_index(spark, d) -> layout.Index:
-    """The stored index of part, written once a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _indexes:
-        path = fresh_path(spark, "index")
-        layout.write_index(parts(spark, d), path)
-        _indexes[key] = layout.Index(spark, path)
-    return _indexes[key]
+def stored_tree(spark, d, name: str, points) -> tree.Tree:
+    """The stored tree of a table, written once a session and again if the table's files have changed."""
+    key = (spark.sparkContext.applicationId, name, fingerprint(spark, d, name))
+    if key not in _trees:
+        _trees[key] = tree.build(points(spark, d), fresh_path(spark, "tree"))
+    return _trees[key]
 
 
 @query(KNN)
 def knn_two_phase(spark, d):
-    """From the stored index: only leaves that can hold a neighbour are read."""
-    return part_index(spark, d).knn(AT, 10).select("id", "x", "y", "dist", "rank")
+    """From the stored tree: level by level, only leaves that can hold a neighbour are read."""
+    return stored_tree(spark, d, "part", parts).knn(AT, 10).select("id", "x", "y", "dist", "rank")
+
+
+@query(f"SELECT * FROM {PARTS} WHERE {INSIDE}")
+def range_tree(spark, d):
+    """From the stored tree: the leaves whose boxes meet the query's."""
+    return stored_tree(spark, d, "part", parts).range(*BOX)
 
 
 @query(f"SELECT qid, id, dist, rank FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {SUPPLIERS} p, (SELECT * FROM {CUSTOMERS} WHERE id % 100 = 0) q) WHERE rank <= 5")
@@ -358,6 +363,40 @@ def knn_join_by_cells(spark, d):
     return knn.knn_join(points, as_queries(points.filter("id % 100 = 0")), 5, method="grid").select("qid", "id", "dist", "rank")
 
 
+@query(f"SELECT qid, id, dist, rank FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {ORDERS} p, (SELECT * FROM {ORDERS} WHERE id % 100 = 0) q) WHERE rank <= 5")
+def knn_join_tree(spark, d):
+    """A batch from the stored tree: groups of queries go down it, and the points are read once."""
+    return stored_tree(spark, d, "orders", orders).knn_join(as_queries(orders(spark, d).filter("id % 100 = 0")), 5).select("qid", "id", "dist", "rank")
+
+
+@query(f"SELECT q.id AS qid, p.id AS id FROM {ORDERS} p JOIN (SELECT * FROM {ORDERS} WHERE id % 100 = 0) q ON " + SQUARE.format(500))
+def range_join_tree(spark, d):
+    """Squares around all of the stated query set, joined with the stored tree box by box."""
+    return stored_tree(spark, d, "orders", orders).range_join(_squares(orders(spark, d).filter("id % 100 = 0"), 500.0)).select("qid", "id")
+
+
+GROWN = f"(SELECT id, x, y FROM {PARTS} UNION ALL SELECT id + 1000000000, x, y FROM {SUPPLIERS})"
+
+
+@query(f"SELECT qid, id, dist, rank FROM (SELECT q.id AS qid, p.id, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {GROWN} p, (SELECT * FROM {CUSTOMERS} WHERE id % 100 = 0) q) WHERE rank <= 5")
+def insert_then_query(spark, d):
+    """A stored tree of part takes the suppliers in two batches; neighbours are looked for in its last version."""
+    grown = tree.build(parts(spark, d).select("id", "x", "y"), fresh_path(spark, "tree"))
+    new = suppliers(spark, d).select((F.col("id") + 1_000_000_000).alias("id"), "x", "y")
+    for batch in (0, 1):
+        grown = grown.insert(new.filter(F.col("id") % 2 == batch), batch)
+    return grown.knn_join(as_queries(customers(spark, d).filter("id % 100 = 0")), 5).select("qid", "id", "dist", "rank")
+
+
+@query(f"SELECT id, name, x, y FROM {PARTS}")
+def osm_stream(spark, d):
+    """The parts, written as documents of nodes, stream into a stored tree in batches."""
+    documents, path, checkpoint = (fresh_path(spark, w) for w in ("documents", "tree", "stream"))
+    osm.write_osm(parts(spark, d), documents, 500)
+    ingest.ingest_tree(osm.stream_osm(spark, documents, 30), path, checkpoint, available_now=True).awaitTermination()
+    return tree.Tree(spark, path).points().drop("node")
+
+
 @query(f"SELECT CAST(k AS BIGINT) AS k, qid, count(*) AS n, max(dist) AS reach FROM (SELECT q.id AS qid, {DIST} AS dist, row_number() OVER (PARTITION BY q.id ORDER BY {DIST}, p.id) AS rank FROM {PARTS} p, (SELECT * FROM {PARTS} WHERE id % 100 = 0) q), (SELECT unnest({list(KS)}) AS k) WHERE rank <= k GROUP BY 1, 2")
 def knn_k_sweep(spark, d):
     """For all of the stated query set."""
@@ -471,10 +510,19 @@ def choose_subtree(spark, d):
     return index.choose_subtree(suppliers(spark, d), part_leaves(spark, d))
 
 
-@query(f"SELECT id, node FROM (SELECT id, node, row_number() OVER (PARTITION BY id ORDER BY {_GROWN}, (x_max - x_min) * (y_max - y_min), entries, node) AS rn FROM {SUPPLIERS}, {LEAVES}) WHERE rn = 1")
+def _descent(rows: str, to: int) -> str:
+    """The node of each supplier at a level, chosen among the children of its node at the level above, from the root down."""
+    sql = f"WITH n AS ({_levels(rows)}), top AS (SELECT max(level) AS level FROM n), a6 AS (SELECT id, x, y, CAST(NULL AS BIGINT) AS node FROM {SUPPLIERS} WHERE false)"
+    for i in range(5, to - 1, -1):
+        child = f"SELECT id, x, y, node FROM (SELECT a.id, x, y, n.node, row_number() OVER (PARTITION BY a.id ORDER BY {_GROWN}, (x_max - x_min) * (y_max - y_min), entries, n.node) AS rn FROM a{i + 1} a JOIN n ON n.level = {i} AND n.parent = a.node) WHERE rn = 1"
+        sql += f", a{i} AS (SELECT id, x, y, node FROM {SUPPLIERS}, (SELECT node FROM n, top WHERE n.level = top.level AND top.level = {i}) UNION ALL {child})"
+    return sql + f" SELECT id, node FROM a{to}"
+
+
+@query(_descent(ORDERS, 0))
 def choose_leaf(spark, d):
-    """Level by level; the SQL meets all leaves at once, which is the same where the leaves have one parent."""
-    return index.descend(suppliers(spark, d), index.levels(parts(spark, d)))
+    """Level by level, from the root to the leaves."""
+    return index.descend(suppliers(spark, d), index.levels(orders(spark, d)))
 
 
 # all parts in nodes of one entry too many; a rest of fewer than twice LEAST entries has no split
@@ -538,11 +586,10 @@ def insert_in_place(spark, d):
     return placed.join(leaf, "node").select("id", "x", "y", inside.alias("inside"), (F.col("entries") <= 50).alias("fits"), "linked")
 
 
-@query(f"SELECT id, CAST(0 AS BIGINT) AS node FROM {SUPPLIERS}")
+@query(_descent(ORDERS, 1))
 def choose_node_at_level(spark, d):
-    """The descent that stops at the level of the root, of which there is one."""
-    nodes = index.levels(parts(spark, d))
-    return index.descend(suppliers(spark, d), nodes, to_level=nodes.agg(F.max("level")).first()[0])
+    """The descent that stops at level 1."""
+    return index.descend(suppliers(spark, d), index.levels(orders(spark, d)), to_level=1)
 
 
 @query(f"SELECT node FROM {LEAVES} WHERE entries > 30")

@@ -1,19 +1,38 @@
-"""An extension: points that arrive as a stream are appended in batches and laid out anew now and then."""
+"""Extensions: points that arrive as a stream go into a stored tree, or are appended and laid out anew now and then."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tesselix.plans.layout import write_clustered
+from tesselix.plans.tree import Tree, build
 
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, clustered: str | None = None, every: int = 10):
     """Starts a query that appends each batch of points to `path` (a batch that is run again replaces its own folder, so
-    none is stored twice) and, every so many batches, writes all points clustered to `clustered`."""
+    none is stored twice) and, after every so many batches, writes all points clustered to a folder of its own, `clustered`/<batch>:
+    who reads an older one isn't disturbed."""
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={number}")
-        if clustered and number % every == 0:
-            write_clustered(df.sparkSession.read.parquet(path).drop("batch"), clustered)
+        if clustered and number % every == every - 1:
+            write_clustered(df.sparkSession.read.parquet(path).drop("batch"), f"{clustered}/{number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
+
+
+def insert_batch(spark: SparkSession, path: str, df: DataFrame, number: int, **how) -> Tree:
+    """A batch of points into the tree at path (made by the first one, with `how`). The tree keeps the last batch's number with its
+    version, so a batch that is run again changes nothing."""
+    try:
+        tree = Tree(spark, path)
+    except ValueError:
+        return build(df, path, batch=number, **how)
+    return tree.insert(df, number)
+
+
+def ingest_tree(stream: DataFrame, path: str, checkpoint: str, available_now: bool = False, **how):
+    """Starts a query that puts each batch of points (ids not yet there) into the stored tree at path."""
+    writer = stream.writeStream.foreachBatch(lambda df, number: insert_batch(df.sparkSession, path, df, number, **how) and None)
+    writer = writer.trigger(availableNow=True) if available_now else writer
+    return writer.option("checkpointLocation", checkpoint).start()
