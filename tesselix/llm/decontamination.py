@@ -31,6 +31,8 @@ MASKS = {15: ("1101111", "11100010011", "10001101011"), 10: ("111011", "11010011
 EXACT = 4
 #: Characters of test items in a block, so some 20 MB of hashes.
 BLOCK_CHARS = 4_000_000
+#: Hits of seeds that are listed at once.
+HITS = 1 << 18
 _PRIMES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)
 _BITS = 20
 
@@ -99,43 +101,117 @@ class Items:
                     self.seeds.append((mask, number, shortest <= EXACT, seeds, place, item[place], np.packbits(marked)))
                 number += 1
 
-    def hits(self, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(position among all words, position among the items' words, item) of hits within one document."""
-        for mask, number, exact, seeds, place, item, marked in self.seeds:
+    def met(self, hashes: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """By mask: positions among all words whose seed an item has, and from where to where it stands among the mask's seeds."""
+        for k, (mask, number, exact, seeds, _, _, marked) in enumerate(self.seeds):
             got = seed_hashes(hashes, mask, number)
             top = (got >> np.uint64(64 - _BITS)).astype(np.int64)
             at = np.flatnonzero(np.unpackbits(marked).view(bool)[top] & (doc[: len(got)] == doc[len(mask) - 1 :]))
             low, high = np.searchsorted(seeds, got[at], "left"), np.searchsorted(seeds, got[at], "right")
-            at, low, n = at[high > low], low[high > low], (high - low)[high > low]
-            which = ragged(low, n)
-            at = np.repeat(at, n)
+            at, low, high = at[high > low], low[high > low], high[high > low]
             if exact and len(at):  # such an item's first place in a document is its best
-                _, first = np.unique(doc[at].astype(np.int64) * len(self.ids) + item[which], return_index=True)
-                at, which = at[first], which[first]
-            yield at, place[which], item[which]
+                _, first = np.unique(doc[at].astype(np.int64) * len(seeds) + low, return_index=True)
+                at, low, high = at[first], low[first], high[first]
+            yield k, at, low, high
+
+    def window(self, i: int) -> tuple[int, int]:
+        """Words of an item's window, and how many of them must be equal."""
+        whole = int(self.at[i + 1] - self.at[i])
+        return min(whole, WINDOW), min(whole, WINDOW) - int(allowed(whole))
+
+    def best_of(self, hashes: np.ndarray, begin: int, end: int, i: int, shift: int) -> tuple[int, int] | None:
+        """(less equal words, first word) of the best window of an alignment: the document's words from begin to end, `shift` words after the item's."""
+        low, high = max(self.at[i], begin - shift), min(self.at[i + 1], end - shift)
+        window, least = self.window(i)
+        if high - low < window:
+            return None
+        run = np.concatenate([[0], np.cumsum(hashes[low + shift : high + shift] == self.words[low:high])])
+        equal = run[window:] - run[:-window]
+        k = int(equal.argmax())
+        return (-int(equal[k]), int(low + shift + k - begin)) if equal[k] >= least else None
+
+    def repetitive(self, hashes: np.ndarray, begin: int, end: int, met: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, tuple[int, int]]:
+        """The best window of each item in a document that repeats what the items repeat: its hits are not listed. For each item the
+        document is gone through from its start; alignments are verified once, as many together as HITS words allow, and once a window is
+        equal in all words none that starts later counts."""
+        shares: dict[int, list[tuple[np.ndarray, int, int, int]]] = {}
+        for k, at, low, high in met:
+            item = self.seeds[k][5]
+            order = np.argsort(low, kind="stable")
+            for own in np.split(order, np.flatnonzero(np.diff(low[order])) + 1) if len(order) else ():
+                lo, hi = int(low[own[0]]), int(high[own[0]])
+                ids, first = np.unique(item[lo:hi], return_index=True)  # places ascend within a seed, and so do items
+                for i, a, b in zip(ids.tolist(), first.tolist(), [*first[1:].tolist(), hi - lo], strict=True):
+                    shares.setdefault(i, []).append((at[own], k, lo + a, lo + b))
+        best = {}
+        for i, own in shares.items():
+            window, least = self.window(i)
+            place = np.concatenate([p for p, *_ in own])
+            which = np.repeat(np.arange(len(own)), [len(p) for p, *_ in own])
+            order = np.argsort(place, kind="stable")
+            place, which = place[order], which[order]
+            size = np.array([b - a for _, _, a, b in own])[which].cumsum()
+            seen = np.zeros(end - begin + int(self.at[i + 1] - self.at[i]), bool)  # alignments
+            got, at = None, 0
+            while at < len(place):
+                if got and got[0] == -window and place[at] - begin >= got[1] + window:
+                    break
+                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + HITS // 16, "right")))
+                shifts = [np.subtract.outer(place[at:to][which[at:to] == w], self.seeds[own[w][1]][4][own[w][2] : own[w][3]]).ravel() for w in np.unique(which[at:to]).tolist()]
+                shifts = np.unique(np.concatenate(shifts))
+                number = shifts + int(self.at[i + 1]) - begin
+                shifts = shifts[~seen[number]]
+                seen[number] = True
+                got, at = self._best(hashes, begin, end, i, shifts, got), to
+            if got:
+                best[i] = got
+        return best
+
+    def _best(self, hashes: np.ndarray, begin: int, end: int, i: int, shifts: np.ndarray, got: tuple[int, int] | None) -> tuple[int, int] | None:
+        """The best window of the item over these alignments and what was got before."""
+        window, least = self.window(i)
+        first, last = int(self.at[i]), int(self.at[i + 1])
+        block = max(1, HITS // (last - first))
+        for k in range(0, len(shifts), block):
+            some = shifts[k : k + block]
+            place = some[:, None] + np.arange(first, last)  # of each of the item's words in the document
+            inside = (place >= begin) & (place < end)
+            equal = np.zeros((len(some), last - first + 1), np.int32)
+            np.cumsum(inside & (hashes[np.clip(place, begin, end - 1)] == self.words[first:last]), axis=1, out=equal[:, 1:])
+            equal = equal[:, window:] - equal[:, :-window]
+            equal[~(inside[:, : last - first - window + 1] & inside[:, window - 1 :])] = -1
+            most = equal.max(1)
+            top = int(most.max())
+            if top >= least:
+                start = int((some[most == top] + first + equal[most == top].argmax(1)).min()) - begin
+                got = min(got, (-top, start)) if got else (-top, start)
+        return got
 
     def matches(self, hashes: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, first word of the best window in the document, equal words in it) for each pair that holds."""
-        doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        found = list(self.hits(hashes, doc))
-        if not sum(len(p) for p, _, _ in found):
+        """(document, item, first word of the best window in the document, equal words in it) for each pair that holds. Hits (a seed's
+        places in a document by those in the items) are listed for HITS of them at a time; a document of more is worked on alone."""
+        n = len(at) - 1
+        doc = np.repeat(np.arange(n), np.diff(at))
+        met = [m for m in self.met(hashes, doc) if len(m[1])]
+        if not met:
             return []
-        place, own, item = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs = np.unique(np.stack([doc[place], item, place - own], 1), axis=0)  # alignments
+        hits = sum(np.bincount(doc[p], high - low, n) for _, p, low, high in met)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for d, i, shift in pairs.tolist():
-            low, high = max(self.at[i], at[d] - shift), min(self.at[i + 1], at[d + 1] - shift)
-            whole = self.at[i + 1] - self.at[i]
-            window = min(whole, WINDOW)
-            least = window - allowed(whole)
-            if high - low < window:
-                continue
-            run = np.concatenate([[0], np.cumsum(hashes[low + shift : high + shift] == self.words[low:high])])
-            equal = run[window:] - run[:-window]
-            k = int(equal.argmax())
-            if equal[k] >= least:
-                got = (-int(equal[k]), int(low + shift + k - at[d]))
-                best[d, i] = min(best.get((d, i), got), got)
+        upto, d = np.concatenate([[0], hits.cumsum()]), 0
+        while d < n:
+            to = max(d + 1, int(np.searchsorted(upto, upto[d] + HITS, "right")) - 1)
+            some = [(k, p[own], low[own], high[own]) for k, p, low, high in met if (own := (p >= at[d]) & (p < at[to])).any()]
+            if hits[d] > HITS:
+                best |= {(d, i): got for i, got in self.repetitive(hashes, int(at[d]), int(at[d + 1]), some).items()}
+            elif some:
+                place = np.concatenate([np.repeat(p, high - low) for _, p, low, high in some])
+                which = [(k, ragged(low, high - low)) for k, _, low, high in some]
+                own, item = (np.concatenate([self.seeds[k][c][w] for k, w in which]) for c in (4, 5))
+                for e, i, shift in np.unique(np.stack([doc[place], item, place - own], 1), axis=0).tolist():  # alignments
+                    got = self.best_of(hashes, at[e], at[e + 1], i, shift)
+                    if got:
+                        best[e, i] = min(best.get((e, i), got), got)
+            d = to
         return [(d, i, start, -equal) for (d, i), (equal, start) in sorted(best.items())]
 
 

@@ -91,6 +91,41 @@ def test_decontamination_in_blocks_and_odd_rows(spark, monkeypatch):
     assert dec.drop_contaminated(df, bench.limit(0)).count() == df.count()
 
 
+def items_and_words(items, texts):
+    block, data = dec.Items(list(range(len(items))), items), [t.encode() for t in texts]
+    return block, *dec.word_hashes(np.frombuffer(b"".join(data), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in data])]))
+
+
+@settings(max_examples=150, deadline=None)
+@given(seed=st.integers(0, 10**6))
+def test_repetitive_texts_against_all_windows(seed):
+    """Few words on both sides, and few hits listed at once, so that all ways through are taken."""
+    rng, listed = random.Random(seed), dec.HITS
+    few = ["a", "b", "c"][: rng.choice([1, 2, 3])] + ([f"x{i}" for i in range(20)] if rng.random() < 0.5 else [])
+    made = lambda n: " ".join(rng.choice(few) if rng.random() < 0.5 else few[0] for _ in range(n))
+    docs, items = [(i, made(rng.randint(0, 90))) for i in range(3)], [(i, made(rng.choice([1, 3, 5, 9, 12, 15, 16, 30, 40]))) for i in range(3)]
+    block, hashes, at = items_and_words([t for _, t in items], [t for _, t in docs])
+    dec.HITS = rng.choice([20, 60, 1000])
+    try:
+        assert sorted(block.matches(hashes, at)) == sorted(brute_contaminated(docs, items))
+    finally:
+        dec.HITS = listed
+
+
+def test_repetitive_texts_take_little():
+    """A pair of texts that repeat the same words has as many hits as the product of their lengths."""
+    import tracemalloc
+
+    line = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu "
+    for text, item in (("w " * 100_000, "w " * 200), (line * 8000, line * 20), (line * 8000, line.replace("theta", "x") * 20)):
+        block, hashes, at = items_and_words([item], [text])
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert [m[:3] for m in block.matches(hashes, at)] == [(0, 0, 0)]
+        assert time.perf_counter() - began < 5 and tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
+
+
 # --- secrets -----------------------------------------------------------------------------------------------------------
 
 SECRET_TEXT = st.lists(st.sampled_from(["token", "Secret", "api_key", "apikey", "=", ":", " ", '"', "abcdefgh", "x1", "AKIA", "AKIAABCDEFGHIJKL", "0123456789abcdef", "deadbeef", "é", "\n", "\n\n", "https://h.example/x", "user = bob77", "Zx9Kq2LmP0vB7nR4tY6wQ8eU1", "ſecret=abcdefghi"]), max_size=25).map("".join)
