@@ -20,6 +20,8 @@ weights are then fitted to all of them. Rows that are held out for others are in
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -33,7 +35,7 @@ PREFIXES = (4, 5, 6)
 REPEATS = (2, 3, 5, 8)
 #: Weight decays that the inner split chooses from.
 DECAYS = (1e-3, 1e-4, 1e-5)
-#: Cells (texts by terms) that the driver fits, 128 MB of them.
+#: Cells (texts by terms) of a table that the driver fits, 128 MB of them; of more, only those that are set are kept.
 CELLS = 1 << 25
 #: Pairs that a task holds at once.
 PAIRS = 1 << 22
@@ -166,17 +168,35 @@ class WordSets:
         return self.words[np.unique(np.concatenate([a[told], b[told]]))]
 
 
+class Ones:
+    """A table of zeros and ones by the places of the ones, for products."""
+
+    def __init__(self, row: np.ndarray, column: np.ndarray, shape: tuple[int, int]):
+        self.row, self.column, self.shape = row, column, shape
+
+    @property
+    def T(self) -> Ones:  # noqa: N802
+        return Ones(self.column, self.row, self.shape[::-1])
+
+    def __matmul__(self, m: np.ndarray) -> np.ndarray:
+        columns = m.reshape(len(m), -1)
+        out = np.column_stack([np.bincount(self.row, c[self.column], self.shape[0]) for c in columns.T]).astype(np.float32)
+        return out[:, 0] if m.ndim == 1 else out
+
+
 def fit_machine(sets: list[np.ndarray], toxic: np.ndarray, buckets: np.ndarray, factors: int = 4, rounds: int = 250, rate: float = 0.05, decay: float = 1e-5) -> Machine:
-    """Adam on the logistic loss with weight decay; equal sets of terms are one row with a weight. Of more than CELLS
-    cells the first rows are used."""
+    """Adam on the logistic loss with weight decay; equal sets of terms are one row with a weight."""
     rows: dict[bytes, list] = {}
     for s, y in zip(sets, toxic, strict=True):
         row = rows.setdefault(s.tobytes(), [s, 0, 0])
         row[1 + int(y)] += 1
-    fitted = list(rows.values())[: max(1, CELLS // max(len(buckets), 1))]
-    x = np.zeros((len(fitted), len(buckets)), np.float32)
-    for i, (s, _, _) in enumerate(fitted):
-        x[i, s] = 1
+    fitted = list(rows.values())
+    of, own = np.repeat(np.arange(len(fitted)), [len(s) for s, _, _ in fitted]), np.concatenate([*(s for s, _, _ in fitted), np.zeros(0, np.int64)])
+    if len(fitted) * len(buckets) <= CELLS:
+        x = np.zeros((len(fitted), len(buckets)), np.float32)
+        x[of, own] = 1
+    else:
+        x = Ones(of, own, (len(fitted), len(buckets)))
     neg, pos = (np.array([r[k] for r in fitted], np.float32) for k in (1, 2))
     total = neg.sum() + pos.sum()
     rng = np.random.default_rng(1)
@@ -288,7 +308,8 @@ def _telling_pairs(rows: DataFrame, pair_texts: int) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, pair_texts: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
     """Fits a machine to the labels of docs (0 or 1; null labels, null ids and ids without a row in docs count for
     nothing; a repeated text counts once, as toxic if most of its labels say so). With no labels, or labels of one kind,
-    the machine scores every text alike, by the share of toxic ones (0 without labels)."""
+    the machine scores every text alike, by the share of toxic ones (0 without labels). So it does, with a warning, where labels are so few
+    that no term's or pair's evidence passes the bar: four toxic texts with one term among a hundred texts may not."""
     ship(docs.sparkSession)
     rows = _sampled(docs, labels, sample, id_col, text_col, label_col)
     kinds = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
@@ -298,6 +319,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 30_000, pair_texts: in
     outer = rows.filter("not _inner")
     own = _telling_terms(outer)
     buckets = none if own is None else np.union1d(own, _telling_pairs(outer, pair_texts))
+    if not len(buckets):
+        warnings.warn(f"{kinds} texts tell no term from chance: all texts get one score, the share of toxic ones", stacklevel=2)
     base, of = Machine(buckets, 0.0, np.zeros(len(buckets)), np.zeros((len(buckets), 1))).lookup()
 
     def sets(batches):

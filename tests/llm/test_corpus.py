@@ -274,6 +274,27 @@ def test_held_out_accuracy_where_only_the_pair_tells(spark):
     assert sum((got[i] >= 0.5) == labels[i] for i in held) / len(held) < 0.8  # it is the pair that tells
 
 
+def test_all_texts_are_fitted_however_many_terms(monkeypatch):
+    """A table too large for one piece is kept by its ones: the same machine, no text left out."""
+    rng = np.random.default_rng(2)
+    x = rng.random((200, 30)) < 0.2
+    toxic = (x[:, 0] & x[:, 1]).astype(int)
+    sets = [np.flatnonzero(r) for r in x]
+    whole = toxicity.fit_machine(sets, toxic, np.arange(30), rounds=60)
+    monkeypatch.setattr(toxicity, "CELLS", 0)
+    ones = toxicity.fit_machine(sets, toxic, np.arange(30), rounds=60)
+    assert np.allclose(whole.w, ones.w, atol=1e-3) and np.allclose(whole.bias, ones.bias, atol=1e-3)
+
+
+def test_labels_that_tell_nothing_are_said_to(spark):
+    df = documents(spark, [f"word{i} and text{i}" for i in range(40)])
+    labels = spark.createDataFrame([(i, int(i == 7)) for i in range(40)], "doc_id bigint, toxic int")
+    with pytest.warns(UserWarning, match="one score"):
+        machine = toxicity.fit(df, labels)
+    scores = {r["score"] for r in toxicity.score(df, machine).collect()}
+    assert len(scores) == 1 and 0 < scores.pop() < 0.5
+
+
 def explicit_scores(x, bias, w, v):
     z = [bias + sum(w[i] for i in s) + sum(float(v[i] @ v[j]) for k, i in enumerate(s) for j in s[k + 1 :]) for s in x]
     return 1 / (1 + np.exp(-np.array(z)))
