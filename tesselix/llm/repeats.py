@@ -31,7 +31,7 @@ import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tesselix.llm.common import NOT_WHITE, fresh_path, materialise, mix, powers, ragged, slices, span_hashes, words
+from tesselix.llm.common import NOT_WHITE, fresh_path, hot_keys, materialise, mix, powers, ragged, salted_join, slices, span_hashes, words
 from tesselix.llm.files import store, write_file
 from tesselix.sources.shipping import ship
 
@@ -167,8 +167,8 @@ def confirmed(buckets: DataFrame, cells: DataFrame, tasks: int) -> DataFrame:
 
     texts = materialise(buckets.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInArrow(run, "bucket bigint, at bigint, n bigint, low bigint, high bigint, phrase binary"), "phrases")
     recurring = texts.groupBy("phrase").agg(F.min("low").alias("l"), F.max("high").alias("h")).filter("l < h").select("phrase")
-    # a phrase that is everywhere is one row of `recurring` and one a bucket here; AQE splits that join
-    return texts.join(recurring, "phrase", "left_semi").select("bucket", "at", "n")
+    # a phrase that is everywhere is one row of `recurring` and one a bucket here
+    return salted_join(texts, recurring, "phrase", "bucket", hot_keys(texts, "phrase")).select("bucket", "at", "n")
 
 
 def occurrences(own: Bucket, phrases: list[bytes]) -> np.ndarray:
@@ -250,8 +250,10 @@ def covered(found: DataFrame) -> DataFrame:
     theirs = single.join(firsts, ["phrase", "window"]).filter("first < doc_id").groupBy("anchor", "segment").agg(F.sum(F.expr("shiftleft(1L, i)")).alias("mask"))
     everything = F.expr("shiftleft(1L, n) - 1")
     known = owners.join(theirs, ["anchor", "segment"], "left").select("anchor", "segment", "owner", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))
-    # A hot segment (a passage in a third of all documents) is one row here and many there; AQE splits that join.
-    hit = found.select("bucket", "nth", "doc_id", "starts", "n", "anchor", "segment").join(known, ["anchor", "segment"])
+    # a hot segment (a passage in a third of all documents) is one row here and many there
+    key = F.concat("anchor", F.unhex(F.lpad(F.hex("segment"), 16, "0"))).alias("key")
+    many = found.select("bucket", "nth", "doc_id", "starts", "n", key)
+    hit = salted_join(many, known.select("owner", "mask", key), "key", "bucket", hot_keys(many, "key"))
     return hit.select("bucket", "nth", "starts", "n", F.when(F.col("doc_id") > F.col("owner"), everything).otherwise(F.col("mask")).alias("mask")).filter("mask <> 0")
 
 
