@@ -96,10 +96,12 @@ def choose_subtree(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] =
     return all_.select("id", "_c.node", "_c.growth")
 
 
-def choose_child(at: DataFrame, children: DataFrame, dims: tuple[str, ...] = DIMS, n: int | None = None) -> DataFrame:
-    """Of points (id, dims) at a node each, the child of that node that grows least to take them (choose_subtree's rule). A node's
+def choose_child(at: DataFrame, children: DataFrame, dims: tuple[str, ...] = DIMS, n: int | None = None, boxes: bool = False) -> DataFrame:
+    """Of points (id, dims; or boxes) at a node each, the child of that node that grows least to take them (choose_subtree's rule). A node's
     children come to the points as one row, so nothing is grouped by point. Up to BROADCAST_ROWS children (n of them) are broadcast; of
     more, the points of hot nodes are dealt out by a salt."""
+    taken = g.box("", dims) if boxes else g.point_box(columns(dims))
+    kept = [f"{d}_{s}" for d in dims for s in ("min", "max")] if boxes else list(dims)
     kid = F.struct("node", "entries", *(f"{d}_{s}" for d in dims for s in ("min", "max")))
     kids = children.groupBy("parent").agg(F.collect_list(kid).alias("_kids")).withColumnRenamed("parent", "node")  # a node's fanout
     if n is not None and n <= BROADCAST_ROWS:
@@ -110,21 +112,22 @@ def choose_child(at: DataFrame, children: DataFrame, dims: tuple[str, ...] = DIM
 
     def choice(c):
         own = [c[f"{d}_min"] for d in dims], [c[f"{d}_max"] for d in dims]
-        return F.struct(g.enlargement(own, g.point_box(columns(dims))).alias("growth"), g.area(own).alias("area"), c["entries"], c["node"].alias("node"))
+        return F.struct(g.enlargement(own, taken).alias("growth"), g.area(own).alias("area"), c["entries"], c["node"].alias("node"))
 
-    return met.select("id", *dims, F.array_min(F.transform("_kids", choice))["node"].alias("node"))
+    return met.select("id", *kept, F.array_min(F.transform("_kids", choice))["node"].alias("node"))
 
 
-def descend(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", to_level: int = 0) -> DataFrame:
-    """The leaf of each point (or its node at `to_level`) by the same choice made level by level from the root: id,
+def descend(points: DataFrame, nodes: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", to_level: int = 0, boxes: bool = False) -> DataFrame:
+    """The leaf of each point or box (or its node at `to_level`) by the same choice made level by level from the root: id,
     node. A point meets the children of the node it is at only."""
+    kept = [f"{d}_{s}" for d in dims for s in ("min", "max")] if boxes else list(dims)
     tree = materialise(nodes, "nodes")
     sizes = dict(tree.groupBy("level").count().collect())  # a row a level
     top = max(sizes, default=0)
     root = tree.filter(F.col("level") == top).select("node")  # one row
-    at = points.select(F.col(id).alias("id"), *dims).crossJoin(F.broadcast(root))
+    at = points.select(F.col(id).alias("id"), *kept).crossJoin(F.broadcast(root))
     for level in range(top - 1, to_level - 1, -1):
-        at = choose_child(at, tree.filter(F.col("level") == level), dims, sizes[level])
+        at = choose_child(at, tree.filter(F.col("level") == level), dims, sizes[level], boxes)
     return at.select("id", "node")
 
 
@@ -188,6 +191,28 @@ def reinsert_candidates(entries: DataFrame, dims: tuple[str, ...] = DIMS, id: st
     return far.withColumn("_rn", rn).filter(F.col("_rn") <= n).select(*entries.columns, "dist2")
 
 
+def reboxed(entries: DataFrame, nodes: DataFrame, level: int, dims: tuple[str, ...] = DIMS) -> DataFrame:
+    """The nodes from `level` up with the boxes and counts that these entries of that level's nodes give them; parents stay."""
+    out, top = None, nodes.agg(F.max("level")).first()[0]
+    for at in range(level, top + 1):
+        known = nodes.filter(F.col("level") == at).select("level", "node", "parent")
+        own = known.join(node_boxes(entries, "node", dims), "node").select(*nodes.columns)
+        out = own if out is None else out.unionByName(own)
+        entries = own.withColumn("node", F.col("parent"))
+    return out
+
+
+def reinserted(entries: DataFrame, nodes: DataFrame, level: int = 0, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, n: int | None = None) -> DataFrame:
+    """Overflow by reinsertion: of each node of more than `fanout` entries (boxes with their node, which is of this level) the n farthest
+    from its middle leave (three tenths of the fanout, if n is not given), the tree's boxes shrink, and all of them
+    go down again from the root to this level, so some come to other nodes. nodes: levels()."""
+    over = overflowing(entries.groupBy("node").agg(F.count("*").alias("entries")), fanout).select("node")
+    far = materialise(reinsert_candidates(entries.join(over, "node", "left_semi"), dims, id, fanout * REINSERTED // FANOUT if n is None else n).select(*entries.columns), "leaving")
+    stay = materialise(entries.join(far.select(id), id, "left_anti"), "staying")
+    to = descend(far, reboxed(stay, nodes, level, dims), dims, id, level, boxes=True)
+    return stay.unionByName(far.drop("node").join(to.select(F.col("id").alias(id), "node"), id).select(*entries.columns))
+
+
 def divided(entries: DataFrame, first_new: int, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
     """Splits nodes of more than `fanout` entries (boxes with their node) until none is left: the entries with their nodes, and
     node, origin of each new node. First halves keep their node's number, second halves get numbers from first_new on."""
@@ -206,20 +231,23 @@ def divided(entries: DataFrame, first_new: int, dims: tuple[str, ...] = DIMS, id
         first_new += named.count()
 
 
-def grow(placed: DataFrame, nodes: DataFrame, new: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+def grow(placed: DataFrame, nodes: DataFrame, new: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, reinsert: bool = False) -> tuple[DataFrame, DataFrame]:
     """Inserts points (id and dims, ids not yet there) into a tree that stays otherwise as it is. Each point goes down to a leaf;
     leaves that overflow are split, second halves become children of the first one's parent, parents that overflow are split in
-    turn, up to a new root. placed: id, dims, node; nodes: levels(). Gives both, boxes up to date."""
+    turn, up to a new root. reinsert: before a level below the root is split, once, the farthest entries of its overflowing nodes go down
+    to that level again. placed: id, dims, node; nodes: levels(). Gives both, boxes up to date."""
     nodes = materialise(nodes, "nodes")
     if nodes.isEmpty():
         return leaf_of(new, dims, id, fanout).select(id, *dims, "node"), levels(new, dims, id, fanout)
-    boxes = [f"{d}_{s}" for d in dims for s in ("min", "max")]
+    boxes, top = [f"{d}_{s}" for d in dims for s in ("min", "max")], nodes.agg(F.max("level")).first()[0]
     to = descend(new, nodes, dims, id).select(F.col("id").alias(id), "node")
     points = materialise(placed.select(id, *dims, "node").unionByName(new.select(id, *dims).join(to, id).select(id, *dims, "node")), "placed")
     entries, key, level, out, below = points.select(F.col(id).alias("_key"), "node", *(F.col(b[:-4]).alias(b) for b in boxes)), "_key", 0, None, None
     columns_ = ["level", "node", "parent", "entries", *boxes]
     while True:
         known = nodes.filter(F.col("level") == level).select(F.col("node").alias("origin"), "parent")
+        if reinsert and level < top:
+            entries = materialise(reinserted(entries, nodes, level, dims, key, fanout), "reinserted")
         entries, lineage = divided(entries, (known.agg(F.max("origin")).first()[0] or 0) + 1, dims, key, fanout)
         if below is None:
             leaf = entries.select(F.col("_key").alias(id), "node")

@@ -11,7 +11,7 @@ from tesselix.functions import geometry as g, sqlfuncs
 from tesselix.operators import heap, index, knn, points as pts, ranges, skyline as sky
 from tesselix.plans import layout, tree
 from tesselix.sources import osm, report
-from tesselix.sources.storage import fresh_path
+from tesselix.sources.storage import fresh_path, materialise
 from tesselix.sources.tables import fingerprint, table
 from tesselix.streaming import ingest
 
@@ -482,10 +482,10 @@ def bulk_leaves(spark, d):
     return part_leaves(spark, d)
 
 
-def _levels(rows: str) -> str:
+def _levels(rows: str, leaf: str = "CAST((rn - 1) // 50 AS BIGINT)") -> str:
     boxes = "count(*) AS entries, min({0}) AS x_min, max({1}) AS x_max, min({2}) AS y_min, max({3}) AS y_max"
     own, upper = boxes.format("x", "x", "y", "y"), boxes.format("x_min", "x_max", "y_min", "y_max")
-    sql = f"WITH l0 AS (SELECT CAST((rn - 1) // 50 AS BIGINT) AS node, {own} FROM (SELECT *, row_number() OVER (ORDER BY x, id) AS rn FROM {rows}) GROUP BY 1)"
+    sql = f"WITH l0 AS (SELECT {leaf} AS node, {own} FROM (SELECT *, row_number() OVER (ORDER BY x, id) AS rn FROM {rows}) GROUP BY 1)"
     for i in range(1, 6):
         sql += f", l{i} AS (SELECT node // 50 AS node, {upper} FROM l{i - 1} WHERE (SELECT count(*) FROM l{i - 1}) > 1 GROUP BY 1)"
     return sql + " " + " UNION ALL ".join(f"SELECT CAST({i} AS BIGINT) AS level, node, CASE WHEN (SELECT count(*) FROM l{i}) > 1 THEN node // 50 END AS parent, entries, x_min, x_max, y_min, y_max FROM l{i}" for i in range(6))
@@ -510,12 +510,12 @@ def choose_subtree(spark, d):
     return index.choose_subtree(suppliers(spark, d), part_leaves(spark, d))
 
 
-def _descent(rows: str, to: int) -> str:
-    """The node of each supplier at a level, chosen among the children of its node at the level above, from the root down."""
-    sql = f"WITH n AS ({_levels(rows)}), top AS (SELECT max(level) AS level FROM n), a6 AS (SELECT id, x, y, CAST(NULL AS BIGINT) AS node FROM {SUPPLIERS} WHERE false)"
+def _descent(rows: str, to: int, asked: str = SUPPLIERS, leaf: str = "CAST((rn - 1) // 50 AS BIGINT)") -> str:
+    """The node of each point asked for at a level, chosen among the children of its node at the level above, from the root down."""
+    sql = f"WITH n AS ({_levels(rows, leaf)}), top AS (SELECT max(level) AS level FROM n), a6 AS (SELECT id, x, y, CAST(NULL AS BIGINT) AS node FROM {asked} WHERE false)"
     for i in range(5, to - 1, -1):
         child = f"SELECT id, x, y, node FROM (SELECT a.id, x, y, n.node, row_number() OVER (PARTITION BY a.id ORDER BY {_GROWN}, (x_max - x_min) * (y_max - y_min), entries, n.node) AS rn FROM a{i + 1} a JOIN n ON n.level = {i} AND n.parent = a.node) WHERE rn = 1"
-        sql += f", a{i} AS (SELECT id, x, y, node FROM {SUPPLIERS}, (SELECT node FROM n, top WHERE n.level = top.level AND top.level = {i}) UNION ALL {child})"
+        sql += f", a{i} AS (SELECT id, x, y, node FROM {asked}, (SELECT node FROM n, top WHERE n.level = top.level AND top.level = {i}) UNION ALL {child})"
     return sql + f" SELECT id, node FROM a{to}"
 
 
@@ -570,6 +570,25 @@ def reinsert_candidates(spark, d):
     return index.reinsert_candidates(nodes51(spark, d)).select("node", "id", "dist2")
 
 
+_FAR = f"(SELECT id, x, y, node, row_number() OVER (PARTITION BY node ORDER BY (x - mx) * (x - mx) + (y - my) * (y - my) DESC, id) AS nth, count(*) OVER (PARTITION BY node) AS of FROM {NODES51} JOIN (SELECT node, {_MEAN.format('x')}, {_MEAN.format('y')} FROM {NODES51} GROUP BY node) USING (node))"
+_STAY = f"(SELECT id, x, y, node AS own FROM {_FAR} WHERE nth > 15 OR of <= 50)"
+
+
+@query(f"SELECT id, own AS node FROM {_STAY} UNION ALL ({_descent(_STAY, 0, f'(SELECT id, x, y FROM {_FAR} WHERE nth <= 15 AND of > 50)', 'own')})")
+def reinsert_overflow(spark, d):
+    """All parts in nodes of one entry too many: the farthest leave, and go down to the leaves again. Gives each part's node then."""
+    entries = materialise(nodes51(spark, d), "entries")
+    nodes, level = entries.select("node").distinct(), 0
+    tree_ = None
+    while True:  # nodes above, without boxes: what stays gives them theirs
+        n = nodes.count()
+        own = nodes.select(F.lit(level).cast("bigint").alias("level"), "node", (F.expr("node div 50") if n > 1 else F.lit(None)).cast("bigint").alias("parent"), F.lit(None).cast("bigint").alias("entries"), *(F.lit(None).cast("double").alias(f"{c}_{s}") for c in ("x", "y") for s in ("min", "max")))
+        tree_ = own if tree_ is None else tree_.unionByName(own)
+        if n <= 1:
+            return index.reinserted(entries, tree_).select("id", "node")
+        nodes, level = nodes.select(F.expr("node div 50").alias("node")).distinct(), level + 1
+
+
 def _grown(spark, d):
     new = suppliers(spark, d).select((F.col("id") + 1_000_000_000).alias("id"), "x", "y")
     placed = index.leaf_of(parts(spark, d), fanout=50).select("id", "x", "y", "node")

@@ -10,13 +10,13 @@ from tesselix.plans.tree import Tree, build
 
 def ingest(stream: DataFrame, path: str, checkpoint: str, clustered: str | None = None, every: int = 10):
     """Starts a query that appends each batch of points to `path` (a batch that is run again replaces its own folder, so
-    none is stored twice) and, after every so many batches, writes all points clustered to a folder of its own, `clustered`/<batch>:
-    who reads an older one isn't disturbed."""
+    none is stored twice) and, after every so many batches, writes all points clustered to `clustered` anew, which must not be read meanwhile;
+    a stored tree (ingest_tree) keeps its versions instead."""
 
     def batch(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={number}")
         if clustered and number % every == every - 1:
-            write_clustered(df.sparkSession.read.parquet(path).drop("batch"), f"{clustered}/{number}")
+            write_clustered(df.sparkSession.read.parquet(path).drop("batch"), clustered)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 

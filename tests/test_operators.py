@@ -310,6 +310,90 @@ def test_points_go_into_a_tree_that_stays(spark, old, new, fanout):
         assert len({before[p["id"]] for p in moved}) <= 1
 
 
+class Walk:
+    """A tree in plain Python, to go down one entry at a time."""
+
+    def __init__(self, placed, parents, fanout):
+        self.fanout, self.leave, self.above = fanout, fanout * index.REINSERTED // index.FANOUT, [dict(placed), *map(dict, parents)]
+        self.points = {}
+
+    def members(self, level, node):
+        """Boxes by key of the node's entries."""
+        if level == 0:
+            return {k: (p[0], p[0], p[1], p[1]) for k, p in self.points.items() if self.above[0].get(k) == node}
+        return {k: self.box(level - 1, k) for k, n in self.above[level].items() if n == node}
+
+    def box(self, level, node):
+        e = list(self.members(level, node).values())
+        return min(x[0] for x in e), max(x[1] for x in e), min(x[2] for x in e), max(x[3] for x in e)
+
+    def down(self, entry, to):
+        top = len(self.above) - 1
+        (node,) = set(self.above[top].values())
+        for level in range(top, to, -1):
+            def growth(n, level=level):
+                a, b, c, d = self.box(level - 1, n)
+                grown = (max(b, entry[1]) - min(a, entry[0])) * (max(d, entry[3]) - min(c, entry[2]))
+                return grown - (b - a) * (d - c), (b - a) * (d - c), len(self.members(level - 1, n)), n
+
+            node = min((n for n, p in self.above[level].items() if p == node), key=growth)
+        return node
+
+
+def test_overflow_by_reinsertion_against_a_walk(spark):
+    """A leaf gets one point too many: the farthest leave, boxes shrink, and the walk tells where each of them goes then."""
+    rng = random.Random(9)
+    rows, fanout = [(i, rng.randint(0, 40) / 2, rng.randint(0, 40) / 2) for i in range(60)], 10
+    first = spark.createDataFrame(rows, "id bigint, x double, y double")
+    placed, nodes = index.leaf_of(first, fanout=fanout).select("id", "x", "y", "node"), index.levels(first, fanout=fanout)
+    gone = [r[0] for r in rows if r[0] % 5 == 0]
+    entries = placed.filter(~F.col("id").isin(gone)).select("id", "node", F.col("x").alias("x_min"), F.col("x").alias("x_max"), F.col("y").alias("y_min"), F.col("y").alias("y_max"))
+    parents = [{r["node"]: r["parent"] for r in nodes.filter(f"level = {i}").collect()} for i in range(nodes.agg(F.max("level")).first()[0])]
+    held = {r["id"]: (r["x_min"], r["y_min"], r["node"]) for r in entries.collect()}
+    moved = 0
+    for t in range(6):
+        x, y = rng.randint(0, 40) / 2, rng.randint(0, 40) / 2
+        walk = Walk({i: n for i, (_, _, n) in held.items()}, parents, fanout)
+        walk.points = {i: (a, b) for i, (a, b, _) in held.items()}
+        leaf = walk.down((x, x, y, y), 0)
+        crowd = 1 + fanout - sum(n == leaf for _, _, n in held.values())
+        extra = {1000 + 100 * t + i: (x + i / 8, y) for i in range(crowd)}
+        walk.points |= extra
+        walk.above[0] |= dict.fromkeys(extra, leaf)
+        more = spark.createDataFrame([(i, leaf, a, a, b, b) for i, (a, b) in extra.items()], entries.schema)
+        got = {r["id"]: r["node"] for r in index.reinserted(entries.unionByName(more), nodes, 0, fanout=fanout).collect()}
+        e = walk.members(0, leaf)
+        mx, my = (sum(e[k][i] for k in sorted(e)) / len(e) for i in (0, 2))
+        far = sorted(e, key=lambda k: (-((e[k][0] - mx) * (e[k][0] - mx) + (e[k][2] - my) * (e[k][2] - my)), k))[: walk.leave]
+        for k in far:
+            del walk.above[0][k]
+        walk.above[0] |= {k: walk.down(e[k], 0) for k in far}
+        assert got == walk.above[0] and len(far) == 3
+        moved += sum(walk.above[0][k] != leaf for k in far)
+    assert moved > 0
+
+
+def test_growth_with_reinsertion_keeps_the_tree_whole(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.gauss(0, 5), rng.gauss(0, 5)) for i in range(330)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double")
+    old, new = df.filter("id < 300"), df.filter("id >= 300")
+    placed, nodes = index.grow(index.leaf_of(old, fanout=10), index.levels(old, fanout=10), new, fanout=10, reinsert=True)
+    plain, _ = index.grow(index.leaf_of(old, fanout=10), index.levels(old, fanout=10), new, fanout=10)
+    got = {r["id"]: (r["x"], r["y"], r["node"]) for r in placed.collect()}
+    assert {i: v[:2] for i, v in got.items()} == {i: (x, y) for i, x, y in rows}
+    assert {i: v[2] for i, v in got.items()} != {r["id"]: r["node"] for r in plain.collect()}
+    tree = nodes.collect()
+    for r in tree:
+        if r["level"] == 0:
+            e = [(x, x, y, y) for x, y, n in got.values() if n == r["node"]]
+        else:
+            e = [(c["x_min"], c["x_max"], c["y_min"], c["y_max"]) for c in tree if c["level"] == r["level"] - 1 and c["parent"] == r["node"]]
+        assert r["entries"] == len(e) <= 10
+        assert (r["x_min"], r["x_max"], r["y_min"], r["y_max"]) == (min(b[0] for b in e), max(b[1] for b in e), min(b[2] for b in e), max(b[3] for b in e))
+    assert sum(r["parent"] is None for r in tree) == 1
+
+
 def test_files_and_ranges_follow_the_rows(spark, tmp_path):
     df = frame(spark, cloud(1_000))
     assert ordering.ranged(df, ["x", "id"], 100).select("_range").distinct().count() > 5
