@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tesselix.operators.points import DIMS
 from tesselix.sources.storage import materialise
@@ -27,9 +29,23 @@ def square(centre, r: float) -> tuple[list[float], list[float]]:
 
 
 def preview(hits: DataFrame, n: int, order: tuple[str, ...] = ("id",)) -> DataFrame:
-    """The first n rows and, on each, the number of all."""
-    total = hits.agg(F.count("*").alias("hits"))
-    return hits.orderBy(*order).limit(n).crossJoin(F.broadcast(total))  # one row
+    """The first n rows and, on each, the number of all, in one pass: a task gives its first n rows, the first of them with the
+    task's number of rows, and these few are put in order together. order must tell rows apart."""
+
+    def first(batches):
+        best, total = None, 0
+        for b in batches:
+            total += b.num_rows
+            both = pa.Table.from_batches([b]) if best is None else pa.concat_tables([best, pa.Table.from_batches([b])])
+            best = both.sort_by([(c, "ascending") for c in order]).slice(0, n).combine_chunks()
+        if best is not None:
+            counts = pa.array([total] + [0] * (best.num_rows - 1), pa.int64())
+            yield from best.append_column("hits", counts).to_batches()
+
+    some = hits.mapInArrow(first, StructType([*hits.schema.fields, StructField("hits", LongType())]))
+    all_ = Window.partitionBy(F.lit(0))  # n rows a task
+    ranked = some.withColumns({"_rank": F.row_number().over(all_.orderBy(*order)), "hits": F.sum("hits").over(all_)})
+    return ranked.filter(F.col("_rank") <= n).drop("_rank")
 
 
 def range_join(points: DataFrame, queries: DataFrame, dims: tuple[str, ...] = DIMS, prefix: str = "q_", method: str = "auto", cell: tuple[float, ...] | None = None) -> DataFrame:

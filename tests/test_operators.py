@@ -178,6 +178,33 @@ def test_skyline_in_three_dimensions(spark, rows):
     assert sorted(r["id"] for r in sky.skyline(df, ("x", "y", "z")).collect()) == brute_skyline(rows)
 
 
+def test_skyline_of_anticorrelated_points_compares_few(spark, monkeypatch):
+    """Nearly all survive; they are compared leaf by leaf, far below survivors times survivors."""
+    monkeypatch.setattr(sky, "CELL", 16)
+    monkeypatch.setattr(sky, "FEW", 100)
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        x, y = rng.randint(0, 400), rng.randint(0, 400)
+        rows.append((i, float(x), float(y), float(900 - x - y + rng.randint(0, 1))))
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, z double")
+    got = {r["id"] for r in sky.skyline(df, ("x", "y", "z")).collect()}
+    assert got == {a[0] for a in rows if not any(b[1] <= a[1] and b[2] <= a[2] and b[3] <= a[3] and b[1:] != a[1:] for b in rows)}
+    packed = index.leaf_of(df, ("x", "y"), fanout=16, method="str").select("x", "y", "z", "node")
+    compared = sky.meeting(packed, ("x", "y", "z")).agg(F.sum(F.col("n_a") * F.col("n_b"))).first()[0]
+    assert len(got) > 1500 and compared < len(got) ** 2 / 5
+
+
+def test_preview_reads_once(spark):
+    df = frame(spark, cloud(500)).repartition(7)
+    got = ranges.preview(df.filter("x > 10"), 5)
+    want = sorted(r["id"] for r in df.filter("x > 10").collect())
+    assert [(r["id"], r["hits"]) for r in got.orderBy("id").collect()] == [(i, len(want)) for i in want[:5]]
+    assert ranges.preview(df.filter("x < -1e9"), 5).count() == 0
+    plan = ranges.preview(ranges.range_query(spark.read.parquet("/root/testdata/sf0.001/part.parquet").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), [0, 0], [50, 2000]), 5)
+    assert plan._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
 def test_global_order_over_buckets_is_that_of_one_window(spark):
     rng = random.Random(3)
     rows = [(rng.randrange(20), rng.randrange(1000)) for _ in range(500)]
