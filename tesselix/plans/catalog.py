@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tesselix.functions import geometry as g, sqlfuncs
 from tesselix.operators import heap, index, knn, points as pts, ranges, skyline as sky
 from tesselix.plans import layout, tree
-from tesselix.sources import osm, report
+from tesselix.sources import heapfile, osm, report
 from tesselix.sources.storage import fresh_path, materialise
 from tesselix.sources.tables import fingerprint, table
 from tesselix.streaming import ingest
@@ -110,6 +110,14 @@ def fetch_by_address(spark, d):
     return heap.fetch(records, records.select("block_id", "slot_id")).select("id", "name", "x", "y", "block_id", "slot_id")
 
 
+@query(f"SELECT * FROM {ADDRESSED} WHERE block_id BETWEEN 3 AND 5 OR block_id = 9")
+def heap_blocks(spark, d):
+    """From block files: the blocks asked for are looked up by seeks."""
+    path = fresh_path(spark, "blocks")
+    heapfile.write_heap(parts(spark, d), path)
+    return heapfile.read_heap(spark, path).filter(F.col("block_id").isin(3, 4, 5, 9)).select("id", "name", "x", "y", "block_id", "slot_id")
+
+
 @query(f"SELECT id, name, x, y FROM {PARTS} UNION ALL SELECT id + 1000000000, NULL, x, y FROM {SUPPLIERS}")
 def heap_append(spark, d):
     """A table written, another appended, and both read back."""

@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, functions as F, Window
 
 from tesselix.sources.storage import materialise
 
-ROWS_PER_RANGE = 250_000
+ROWS_PER_RANGE = 1_000_000
+#: Ranges at most, whatever the rows: so many rows of two numbers are broadcast, and Spark's sample tells so many apart.
+MOST_RANGES = 20_000
 
 
 def ranged(df: DataFrame, order: list[str], rows_per_range: int = ROWS_PER_RANGE) -> DataFrame | None:
     """df with _range and _at (from 0 in each range), ranges and places in the given order; None if one range holds all."""
-    n = 1 + df.count() // rows_per_range
+    n = min(1 + df.count() // rows_per_range, MOST_RANGES)
     if n == 1:
         return None
     # the number is partition << 33 | row in it, and what is written stays so
@@ -32,7 +34,7 @@ def numbered(df: DataFrame, order: list[str], out: str = "rn", rows_per_range: i
         return df.withColumn(out, F.row_number().over(Window.orderBy(*order)).cast("bigint"))  # fewer rows than a range has
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))
-    # starts: one row of two numbers for rows_per_range rows
+    # starts: MOST_RANGES rows of two numbers at most
     return cut.join(F.broadcast(starts), "_range").withColumn(out, (F.col("_s") + F.col("_at") + 1).cast("bigint")).drop("_range", "_at", "_s")
 
 

@@ -30,7 +30,7 @@ from tesselix.operators.knn import knn, nearest
 from tesselix.operators.points import DIMS, columns
 from tesselix.operators.ranges import range_query
 from tesselix.plans.ordering import numbered
-from tesselix.sources.storage import materialise
+from tesselix.sources.storage import materialise, scratch
 
 #: Nodes whose boxes the driver holds once a tree is open, from the root's level down; and nodes a single query goes on with: where
 #: more are left, pruning by leaf is given up for the coordinates' own filter.
@@ -117,6 +117,11 @@ class Store:
 
 def build(points: DataFrame, path: str, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = index.FANOUT, points_per_part: int = POINTS_PER_PART, batch: int = -1, version: int | None = None) -> Tree:
     """Packs points (id, dims and any other columns) into leaves that are about square, and stores them as a new version."""
+    with scratch(points.sparkSession):
+        return _build(points, path, dims, id, fanout, points_per_part, batch, version)
+
+
+def _build(points: DataFrame, path: str, dims: tuple[str, ...], id: str, fanout: int, points_per_part: int, batch: int, version: int | None) -> Tree:
     store, made = Store(points.sparkSession, path), uuid.uuid4().hex
     placed, block = index.leaf_of(points, dims, id, fanout, "blocks"), index.block_side(fanout) ** 2
     leaves_a_part = block * max(1, points_per_part // (fanout * block))  # whole nodes of level 1
@@ -354,6 +359,10 @@ class Tree:
         already: it changes nothing."""
         if batch is not None and batch <= self.meta["batch"]:
             return self
+        with scratch(self.spark):
+            return self._insert(new, batch)
+
+    def _insert(self, new: DataFrame, batch: int | None) -> Tree:
         dims, id, store, made = self.dims, self.id, self.store, uuid.uuid4().hex
         new = materialise(new.select(*self.payload.names), "new")
         if new.count() > REBUILD * self.meta["points"]:

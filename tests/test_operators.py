@@ -429,6 +429,28 @@ def test_files_and_ranges_follow_the_rows(spark, tmp_path):
     assert len(list((tmp_path / "c100").glob("*.parquet"))) > 5 and len(list((tmp_path / "c10000").glob("*.parquet"))) == 1
 
 
+def test_ranges_have_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "MOST_RANGES", 7)
+    df = frame(spark, cloud(300)).repartition(5)
+    cut = ordering.ranged(df, ["x", "id"], 10)
+    assert 1 < cut.select("_range").distinct().count() <= 7
+    got = ordering.numbered(df, ["x", "id"], "rn", 10).orderBy("x", "id").collect()
+    assert [r["rn"] for r in got] == list(range(1, 301))
+
+
+def test_tables_in_between_are_removed(spark):
+    import os
+
+    from tesselix.sources import storage
+
+    with storage.scratch(spark):
+        inside = storage.materialise(frame(spark, cloud(20)))
+        path = inside.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    kept = storage.materialise(frame(spark, cloud(20)))
+    assert not os.path.exists(path) and kept.count() == 20
+
+
 def test_records_are_appended(spark, tmp_path):
     df = frame(spark, cloud(20))
     heap.write(df, str(tmp_path / "h"))

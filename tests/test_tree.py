@@ -139,7 +139,8 @@ def test_leaf_pairs_are_bounded(spark, tree):
 
 
 def test_insert_rewrites_the_touched_parts_only(spark, tree, rows):
-    new = [(100_000 + i, "new", 5.0 + i / 50, 5.0) for i in range(100)]
+    rng = random.Random(2)
+    new = [(100_000 + i, "new", 5.0 + rng.random() * 4, rng.uniform(-20, 20)) for i in range(100)]
     grown = tree.insert(spark.createDataFrame(new, POINT))
     check_shape(grown)
     changed = {p for p, m in grown.made.items() if tree.made.get(p) != m}
