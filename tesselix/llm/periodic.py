@@ -4,8 +4,8 @@ A run is a stretch of words whose smallest period is q, at least max(12, 2 q) wo
 with period q. Where words q apart are equal over a stretch of m places, m >= max(12 - q, q), the stretch holds an
 aligned block of a power of two B with 2 B - 1 <= m, and the block stands again q words on. So for each B:
 
-1. Blocks at multiples of B whose words all recur near enough are keys of a pyahocorasick automaton over word numbers; the
-   whole document is searched for them.
+1. Blocks at multiples of B whose words all recur near enough are keys of a pyahocorasick automaton over word numbers (those of more than
+   KEY_WORDS words by their first ones); the whole document is searched for them.
 2. Occurrences at the distances of that B (2 B - 1 to 4 B - 2; for the least runs see SCALES) are seeds.
 3. A seed is extended to both sides word by word while words q apart are equal. What is long enough is a run, unless the same
    stretch has a smaller period.
@@ -28,6 +28,9 @@ from tesselix.llm.common import NOT_WHITE, distinct_spans, ragged, slices, words
 from tesselix.sources.shipping import ship
 
 LEAST = 12
+#: Words of a key: a longer block is looked for by its first ones, and the extension of the seed looks at the others. (The automaton's
+#: own code goes down a key by recursion.)
+KEY_WORDS = 64
 
 
 def scales(n: int) -> Iterator[tuple[int, list[tuple[int, int]], int]]:
@@ -133,6 +136,7 @@ def seeds(w: np.ndarray, key: tuple[int, ...], starts: np.ndarray, size: int, di
 
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
     number: dict[tuple[int, ...], int] = {}
+    size = min(size, KEY_WORDS)
     of = np.empty(len(starts), np.int64)
     for i, s in enumerate(starts.tolist()):
         block = key[s : s + size]

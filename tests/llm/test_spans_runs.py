@@ -190,6 +190,14 @@ def test_runs_of_words_known_for_them(w):
     assert runs_of(w) == brute_runs(w)
 
 
+def test_long_texts_with_few_words_and_no_run():
+    """All words recur near enough for the longest blocks: their keys stay short."""
+    w = np.random.default_rng(1).integers(0, 3000, 1_500_000)
+    assert runs_of(w) == []
+    half = w[:700_000]
+    assert runs_of(np.concatenate([half, half])) == [(0, 1_400_000, 700_000)]
+
+
 def test_long_repetitions_take_little_time():
     for w in ([0] * 300_000, list(range(7)) * 40_000, list(range(5000)) * 40):
         assert len(runs_of(w)) == 1
