@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window
 from pyspark.sql.types import LongType, StructField, StructType
 
+from tesselix.operators.joins import dealt_join, hot_keys
 from tesselix.operators.points import DIMS
 from tesselix.sources.storage import materialise
 
@@ -69,4 +70,7 @@ def range_join(points: DataFrame, queries: DataFrame, dims: tuple[str, ...] = DI
         spread = spread.withColumn(f"_c_{d}", F.explode(F.sequence(at(F.col(f"{prefix}{d}_min"), w), at(F.col(f"{prefix}{d}_max"), w))))
         own = own.withColumn(f"_c_{d}", at(F.col(d), w))
     cells = ["_grid", *(f"_c_{d}" for d in dims)]
-    return own.join(spread, cells).filter(inside).drop(*cells)
+    named = lambda df: df.withColumn("_cell", F.concat_ws(":", *cells)).drop(*cells)
+    own = named(own).withColumn("_spread", F.xxhash64(*points.columns))
+    # a cell's points are dealt out by a salt where they are many, and its boxes go to each task
+    return dealt_join(own, named(spread), "_cell", "_spread", hot_keys(own, "_cell")).filter(inside).drop("_cell", "_spread")

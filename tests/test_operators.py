@@ -195,6 +195,18 @@ def test_skyline_of_anticorrelated_points_compares_few(spark, monkeypatch):
     assert len(got) > 1500 and compared < len(got) ** 2 / 5
 
 
+def test_range_join_with_one_hot_cell(spark):
+    """A third of all points at one place: they are dealt to several tasks, and no pair is lost or comes twice."""
+    rng = random.Random(6)
+    rows = [(i, 5.0, 5.0) if i % 3 == 0 else (i, rng.uniform(0, 100), rng.uniform(0, 100)) for i in range(3000)]
+    boxes = [(i, x - 1, x + 1, y - 1, y + 1) for i, x, y in rows[:40]]
+    q = spark.createDataFrame(boxes, "qid bigint, q_x_min double, q_x_max double, q_y_min double, q_y_max double")
+    got = ranges.range_join(spark.createDataFrame(rows, "id bigint, x double, y double"), q, method="grid")
+    want = [(b[0], i) for b in boxes for i, x, y in rows if b[1] <= x <= b[2] and b[3] <= y <= b[4]]
+    assert sorted((r["qid"], r["id"]) for r in got.collect()) == sorted(want)
+    assert "_salt" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_preview_reads_once(spark):
     df = frame(spark, cloud(500)).repartition(7)
     got = ranges.preview(df.filter("x > 10"), 5)
