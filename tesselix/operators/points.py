@@ -38,10 +38,10 @@ def columns(dims: tuple[str, ...], prefix: str = "") -> list[Column]:
     return [F.col(f"{prefix}{d}") for d in dims]
 
 
-def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
-    """df in parts of about `most` rows at most, by a hash of the key; small ones are one part. More parts are cut from a table
-    that is written once."""
-    n = -(-df.count() // most)
+def blocks(df: DataFrame, key: str, most: int, rows: int | None = None) -> list[DataFrame]:
+    """df (of so many rows, if that is known) in parts of about `most` rows at most, by a hash of the key; small ones are one part. More
+    parts are cut from a table that is written once."""
+    n = -(-(df.count() if rows is None else rows) // most)
     if n <= 1:
         return [df]
     df = materialise(df, "blocks")

@@ -127,10 +127,12 @@ def heap_append(spark, d):
     return spark.read.parquet(path)
 
 
-@query("SELECT d AS dims, 264 + 8 * d AS record_bytes, (32768 - 4) // (264 + 8 * d) AS slots_per_block, CAST(32768 AS BIGINT) AS block_bytes FROM (SELECT unnest([2, 3, 4, 8]::BIGINT[]) AS d)")
+@query("SELECT d AS dims, 264 + 8 * d AS record_bytes, (32768 - 4) // (264 + 8 * d) AS slots_per_block, CAST(32768 AS BIGINT) AS block_bytes, n AS records, (n + (32768 - 4) // (264 + 8 * d) - 1) // ((32768 - 4) // (264 + 8 * d)) AS blocks FROM (SELECT unnest([2, 3, 4, 8]::BIGINT[]) AS d), (SELECT count(*) AS n FROM part)")
 def heap_layout(spark, d):
+    """What the records of part take in blocks, by their number of dimensions."""
     names = ("dims", "record_bytes", "slots_per_block", "block_bytes")
-    return spark.createDataFrame([tuple(heap.layout(n)[k] for k in names) for n in (2, 3, 4, 8)], ", ".join(f"{k} bigint" for k in names))
+    sizes = spark.createDataFrame([tuple(heap.layout(n)[k] for k in names) for n in (2, 3, 4, 8)], ", ".join(f"{k} bigint" for k in names))
+    return parts(spark, d).agg(F.count("*").alias("records")).crossJoin(F.broadcast(sizes)).select(*names, "records", F.expr("(records + slots_per_block - 1) div slots_per_block").alias("blocks"))
 
 
 # whole characters of the first 256 bytes, then U+FFFD if the next one was cut in two; no text of the tables has a NUL
@@ -666,13 +668,10 @@ def skyline_two_phase(spark, d):
     return sky.skyline(layout.skyline_prefix(parts(spark, d)))
 
 
-OSM_FIXTURE = """<osm><node id="-5" lat="40.5979" lon="22.9645"/><node id="7" lat="40.5985" lon="22.9650"><tag k="name" v="a"/><tag k="name" v="b"/></node><node id="9" lat="40.7" lon="22.9"><tag k="amenity" v="cafe"/></node><way id="3"><tag k="name" v="w"/></way></osm>"""
-
-
-@query("SELECT id, CASE WHEN id = 7 THEN 'b' END AS name, CASE WHEN id = 7 THEN 1 ELSE 6 END AS letters, x, y FROM (VALUES (CAST(-5 AS BIGINT), 40.5979::DOUBLE, 22.9645::DOUBLE), (7, 40.5985, 22.965), (9, 40.7, 22.9)) AS t(id, x, y)")
+@query(f"SELECT id, CASE WHEN id % 3 <> 0 THEN name END AS name, CAST(CASE WHEN id % 3 <> 0 THEN length(name) ELSE 6 END AS BIGINT) AS letters, x, y FROM {PARTS}")
 def osm_nodes(spark, d):
-    """Nodes of a small document, put where all executors can read it."""
+    """The parts, each third without a name, as documents of nodes; those without a name get one made from their id."""
     path = fresh_path(spark, "osm")
-    spark.createDataFrame([(OSM_FIXTURE,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    osm.write_osm(parts(spark, d).withColumn("name", F.when(F.col("id") % 3 != 0, F.col("name"))), path)
     made = F.col("name") == osm.generated_name(F.col("id"))
-    return osm.read_osm(spark, path).select("id", F.when(~made, F.col("name")).alias("name"), F.length("name").alias("letters"), "x", "y")
+    return osm.read_osm(spark, path).select("id", F.when(~made, F.col("name")).alias("name"), F.length("name").cast("bigint").alias("letters"), "x", "y")

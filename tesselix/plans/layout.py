@@ -97,7 +97,7 @@ def knn_two_phase(placed: DataFrame, boxes: DataFrame, at, k: int, dims: tuple[s
     """The k nearest, looked for in the leaves that can hold them only."""
     if k <= 0:
         return knn(placed.drop("node"), at, 0, dims, id)
-    return knn(placed.join(F.broadcast(pruned_leaves(boxes, at, k, dims)), "node", "left_semi").drop("node"), at, k, dims, id)
+    return knn(placed.join(pruned_leaves(boxes, at, k, dims), "node", "left_semi").drop("node"), at, k, dims, id)
 
 
 def skyline_prefix(points: DataFrame, dims: tuple[str, ...] = DIMS) -> DataFrame:

@@ -22,8 +22,8 @@ def _nodes(raw: DataFrame) -> DataFrame:
 
 def read_osm(spark: SparkSession, path: str) -> DataFrame:
     """id, name, x (latitude), y (longitude) of each node; ways and relations are left out. The last name tag counts; a
-    missing or empty name is made from the id. A malformed document or number fails the read."""
-    return _nodes(spark.read.format("xml").option("rowTag", "node").option("mode", "FAILFAST").schema(SCHEMA).load(path))
+    missing or empty name is made from the id. A malformed document or number fails the read. Folders under path are read too."""
+    return _nodes(spark.read.format("xml").option("rowTag", "node").option("mode", "FAILFAST").option("recursiveFileLookup", True).schema(SCHEMA).load(path))
 
 
 def stream_osm(spark: SparkSession, path: str, files_a_batch: int = 1000) -> DataFrame:
