@@ -12,6 +12,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark import cloudpickle
 
 from tesselix.llm import components, neardup, repeats, toxicity
+from tests.llm.test_texts import brute_linked
 from tests.llm.helpers import DOCS, documents, empty_documents, odd_documents, prose, rows, vocabulary
 
 SLOW = settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
@@ -393,6 +394,7 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     passage = prose(rng, 30, words)
     texts = near_copies(rng, words, 20)
     texts += [prose(rng, 40, words) + " " + passage, prose(rng, 30, words) + ' password = "hunter2hunter2"', None, ""]
+    texts += [prose(rng, 30, words) + '\n\nlogin: bob99 at https://db.example.com/x, token = "0123456789abcdef"\n\n' + prose(rng, 30, words) + " https://example.com/clean"]
     texts += [prose(rng, rng.randint(10, 60), words) + (" vile scum" if i % 5 == 0 else "") for i in range(200)]
     n = len(texts)
     spark.createDataFrame(rows(texts), DOCS).write.parquet(str(tmp_path / "documents.parquet"))
@@ -404,8 +406,9 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     classes = brute_classes(left)
     left = [(i, t) for i, t in left if classes[i] == i]
     left = [(i, t) for i, t in left if passage not in (t or "")]
-    left = {i: secrets.redact(t or "", [s for s in secrets.base_spans(t or "")]) for i, t in left}
-    assert any("[ASSIGN]" in t for t in left.values())
+    spans = {i: [*(base := secrets.base_spans(t or "")), *brute_linked(t or "", base)] for i, t in left}
+    left = {i: secrets.redact(t or "", sorted(spans[i], key=lambda s: (s[1], secrets.KINDS.index(s[0])))) for i, t in left}
+    assert any("[ASSIGN]" in t for t in left.values()) and sum("[ENDPOINT]" in t and "[ACCOUNT]" in t and "example.com/clean" in t for t in left.values()) == 1
     library = Tokenizer.from_file(default_path())
     got = defaultdict(list)
     for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
