@@ -12,7 +12,7 @@ differently, or mistyped, elsewhere in the same document is found by the field:
 * Beliefs come from loopy message passing over all links of a slice of documents at once. Runs of nodes that a base rule doesn't cover
   and that get one label are added to the base spans.
 
-Weights are learned by gradient steps on the likelihood, its expectations being beliefs, from at most SAMPLE documents. Labels come from
+Weights are learned by gradient steps on the likelihood, its expectations being beliefs, from about SAMPLE documents. Labels come from
 the base rules, and two things are made from each labelled span: a copy elsewhere in the document that the rule misses
 (mistyped, or without its sign), of the same label; and a stranger of the same shape, of none. So the shape of what the rules reject
 says nothing by itself: only a link to something well formed does.
@@ -54,8 +54,12 @@ LABELS = 1 + len(KINDS)
 SHAPES = 24
 SKIPS = 4
 SAMPLE = 10_000
-#: Documents of more nodes are not learned from.
-LEARN_NODES = 500
+#: What is learned from: documents of so many nodes at most, of tokens of so many characters, and so many nodes in all.
+LEARN_NODES = 100
+LEARN_CHARS = 64
+LEARN_TOTAL = 50_000
+#: Links whose tables of pairs are held at once.
+LINKS = 1 << 16
 SWEEPS = 30
 STEPS = 100
 
@@ -242,14 +246,16 @@ def _sum_exp(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
 
 
-def beliefs(field: Field, g: Graph, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Of each node the shares of its labels, of each link those of its pairs of labels, by loopy message passing: all messages at once,
-    half of each from the one before, until none changes. On a tree they are the marginals."""
+def beliefs(field: Field, g: Graph, sweeps: int = SWEEPS, joint: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Of each node the shares of its labels, of each link (if joint) those of its pairs of labels, by loopy message passing: all messages
+    at once, half of each from the one before, until none changes. On a tree they are the marginals. Tables of pairs are made for
+    LINKS links at a time."""
     local = own(field, g)
     a, b, sort = g.links.T
-    src, dst = np.concatenate([a, b]), np.concatenate([b, a])
-    pair = np.concatenate([field.links[sort], field.links[sort].transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
+    src, dst, n = np.concatenate([a, b]), np.concatenate([b, a]), len(a)
+    back = np.concatenate([np.arange(n) + n, np.arange(n)])
+    both = np.concatenate([field.links, field.links.transpose(0, 2, 1)])  # there, and the other way
+    which = np.concatenate([sort, sort + len(field.links)])
     message = np.zeros((len(src), LABELS))
 
     def together():
@@ -257,8 +263,11 @@ def beliefs(field: Field, g: Graph, sweeps: int = SWEEPS) -> tuple[np.ndarray, n
         np.add.at(out, dst, message)
         return out
 
-    for _ in range(sweeps if len(a) else 0):
-        new = _sum_exp((together()[src] - message[back])[:, :, None] + pair, 1)
+    for _ in range(sweeps if n else 0):
+        total, new = together(), np.empty_like(message)
+        for k in range(0, len(src), LINKS):
+            some = slice(k, k + LINKS)
+            new[some] = _sum_exp((total[src[some]] - message[back[some]])[:, :, None] + both[which[some]], 1)
         new -= new.max(1, keepdims=True)
         change = np.abs(new - message).max()
         message = (message + new) / 2
@@ -266,9 +275,11 @@ def beliefs(field: Field, g: Graph, sweeps: int = SWEEPS) -> tuple[np.ndarray, n
             break
     total = together()
     single = np.exp(total - _sum_exp(total, 1)[:, None])
-    joint = (total[src] - message[back])[: len(a), :, None] + (total[dst] - message)[: len(a), None, :] + pair[: len(a)]
-    joint = joint.reshape(len(a), LABELS * LABELS)
-    return single, np.exp(joint - (_sum_exp(joint, 1)[:, None] if len(a) else 0)).reshape(-1, LABELS, LABELS)
+    if not joint or not n:
+        return single, np.zeros((0, LABELS, LABELS))
+    pairs = (total[src] - message[back])[:n, :, None] + (total[dst] - message)[:n, None, :] + field.links[sort]
+    pairs = pairs.reshape(n, LABELS * LABELS)
+    return single, np.exp(pairs - _sum_exp(pairs, 1)[:, None]).reshape(n, LABELS, LABELS)
 
 
 def learn(g: Graph, labels: np.ndarray, steps: int = STEPS, decay: float = 1e-3) -> Field:
@@ -364,7 +375,7 @@ def _marked(texts: pa.Array) -> tuple[list[bool], ...]:
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """The field, learned from about `sample` documents (at most twice as many), picked by the hash of their id. A table without any
+    """The field, learned from about `sample` documents (at most twice as many, and LEARN_TOTAL nodes), picked by the hash of their id. A table without any
     personal data gives a field of zeros, under which nothing is added."""
     spark = docs.sparkSession
     ship(spark)
@@ -381,13 +392,17 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sam
                 if rules:
                     text = text.as_py()
                     doc = nodes_of(text, base_spans(text), candidates(text))
-                    if 0 < len(doc.tokens) <= LEARN_NODES and max(map(len, doc.tokens)) <= 256:
+                    if 0 < len(doc.tokens) <= LEARN_NODES and max(map(len, doc.tokens)) <= LEARN_CHARS:
                         out.append((h, doc.tokens, doc.joined, doc.rule, doc.whole))
             kinds = [pa.int64(), pa.list_(pa.string()), pa.list_(pa.bool_()), pa.list_(pa.int32()), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["h", "tokens", "joined", "rule", "whole"])
 
     found = picked.mapInArrow(run, "h bigint, tokens array<string>, joined array<boolean>, rule array<int>, whole array<string>")
-    got = found.orderBy("h", "tokens").limit(2 * sample).collect()  # bounded: `sample`, LEARN_NODES
+    got, n = [], 0
+    for r in found.orderBy("h", "tokens").limit(2 * sample).collect():  # bounded: documents, their nodes and tokens
+        n += len(r["tokens"])
+        if n <= LEARN_TOTAL:
+            got.append(r)
     lessons = [lesson(Nodes(r["tokens"], r["joined"], r["rule"], r["whole"]), random.Random(r["h"])) for r in got]
     return learn(graph([d for d, _ in lessons]), np.array([x for _, labels in lessons for x in labels], np.int64))
 
@@ -421,7 +436,7 @@ def find_personal(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
     def label(held: list[tuple[Nodes, list, list]]) -> list[list[tuple[int, int, int]]]:
         if not held:
             return []
-        single = beliefs(field, graph([doc for doc, _, _ in held]))[0]
+        single = beliefs(field, graph([doc for doc, _, _ in held]), joint=False)[0]
         best = np.where(single.max(1) > 0.5, single.argmax(1), 0).tolist()
         out, at = [], 0
         for doc, _, tokens in held:
