@@ -221,7 +221,7 @@ def write_ids(docs: DataFrame, path: str, end: int | None = 1, id_col: str = "do
             yield flush()
 
     files = materialise(rows.mapInArrow(run, "part bigint, nth bigint, file string, texts bigint, n_ids bigint, low bigint, high bigint"), "id-files")
-    # a row a file: few
+    # one task, a row for each file of FILE_IDS ids or more: 100 TB of text are some 8 million rows of a few numbers
     return files.withColumn("first_id", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "nth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
 
 

@@ -6,6 +6,9 @@ byte, it pops the pieces that greedy splitting settles on by then (only their nu
 goes on from the state its failure link names. So a word's length in pieces is a sum of popped counts and no piece is
 ever built. All distinct words of a slice move through the automaton together, a byte a step.
 
+Greedy counts are those of a word-piece tokenizer. Over the pieces of a byte-pair vocabulary, as in the registered query, they are
+the lengths of the longest-match splits; that vocabulary's own tokenizer merges by rank and may give other counts.
+
 A vocabulary is a list of pieces as bytes: those that begin a word start with a space, the others continue one.
 """
 
