@@ -25,13 +25,17 @@ def block_side(fanout: int) -> int:
 
 def leaf_of(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id", fanout: int = FANOUT, method: str = "slab") -> DataFrame:
     """Adds node, the leaf of each point. slab: runs of `fanout` by the first coordinate, then id. str: slabs by the
-    first coordinate, each packed by the second, so that leaves are about square. blocks: these leaves, numbered so that
-    nodes of every level above (block_side squared numbers each) are about square too; some numbers stay unused."""
+    first coordinate, each packed by the second, so that leaves are about square. blocks: these leaves, square by
+    distance and numbered so that nodes of every level above (block_side squared numbers each) are about square too; some numbers stay
+    unused."""
     if method == "slab":
         return numbered(points, [dims[0], id], "_rn").withColumn("node", F.expr(f"(_rn - 1) div {fanout}")).drop("_rn")
     ranked = numbered(points, [dims[0], id], "_rn")
-    n = points.count()
-    per_slab = max(fanout, int((n * fanout) ** 0.5 // fanout) * fanout)
+    n, *spans = points.agg(F.count("*"), *(F.max(d) - F.min(d) for d in dims[:2])).first()
+    across = (n * fanout) ** 0.5
+    if method == "blocks" and n and min(spans) > 0:
+        across *= (spans[1] / spans[0]) ** 0.5  # square by distance, not by rank
+    per_slab = max(fanout, int(min(across, n) // fanout) * fanout)
     slabs = ranked.withColumn("_slab", F.expr(f"(_rn - 1) div {per_slab}"))
     within = Window.partitionBy("_slab").orderBy(dims[1], id)  # a slab is about the root of n * fanout rows
     row = F.floor((F.row_number().over(within) - 1) / F.lit(fanout))
