@@ -192,3 +192,21 @@ def test_a_stream_of_documents(spark):
     assert all(said[i][0] == n for i, n, _, _ in points if n) and all(len(said[i][0]) == 6 for i, n, _, _ in points if not n)
     again = ingest.insert_batch(spark, path, df.filter("id >= 40"), got.meta["batch"])
     assert (again.version, again.meta["points"]) == (2, 60)
+
+
+def test_small_batches_gather(spark):
+    """Batches wait beside the tree until they are half as many points: few versions; a batch that is run again changes nothing."""
+    from tesselix.streaming import ingest
+
+    df = spark.createDataFrame(cloud(200, 9), POINT)
+    path = fresh_path(spark, "tree")
+    for number in range(20):
+        for _ in range(2 if number in (3, 12) else 1):
+            ingest.gather_batch(spark, path, df.filter(f"id div 10 = {number}"), number, 0.5, fanout=8)
+    assert Tree(spark, path).meta["points"] < 200
+    ingest.settle(spark, path, fanout=8)
+    ingest.gather_batch(spark, path, df.filter("id div 10 = 19"), 19, 0.5, fanout=8)
+    ingest.settle(spark, path, fanout=8)
+    got = Tree(spark, path)
+    assert got.version < 10 and got.meta["batch"] == 19
+    assert sorted(r["id"] for r in got.points().collect()) == sorted(r[0] for r in cloud(200, 9))
