@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tesselix.functions import geometry as g
+from tesselix.operators.counting import box_counts
 from tesselix.operators.index import leaf_of
 from tesselix.operators.joins import dealt_join, hot_keys
 from tesselix.operators.points import DIMS, blocks, columns, live, placed
@@ -114,6 +115,8 @@ def beaten(packed: DataFrame, pairs: DataFrame, dims: tuple[str, ...]) -> DataFr
 
 def dominance_counts(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str = "id") -> DataFrame:
     """How many rows each row dominates; rows that dominate none are absent."""
+    if len(dims) == 2:
+        return _counted(points, dims, id)
     a = points.select(F.col(id).alias("id"), *(F.col(d).alias(f"_a_{d}") for d in dims))
     counts = None
     for part in blocks(points, id, BLOCK):
@@ -121,3 +124,13 @@ def dominance_counts(points: DataFrame, dims: tuple[str, ...] = DIMS, id: str =
         own = a.join(F.broadcast(b), g.dominates(columns(dims, "_a_"), columns(dims, "_b_"))).groupBy("id").agg(F.count("*").alias("dominated"))
         counts = own if counts is None else counts.unionByName(own)
     return counts.groupBy("id").agg(F.sum("dominated").alias("dominated"))
+
+
+def _counted(points: DataFrame, dims: tuple[str, str], id: str) -> DataFrame:
+    """The same in two dimensions, without the pairs: the rows above and to the right of a place, less those at it."""
+    points = materialise(placed(points.select(F.col(id).alias("id"), *dims), dims), "counted")
+    places = materialise(points.groupBy(*dims).agg(F.count("*").alias("_w")), "places")
+    beyond = [e for d in dims for e in (F.col(d).alias(f"q_{d}_min"), F.lit(float("inf")).alias(f"q_{d}_max"))]
+    hits = box_counts(points, places.select(*dims, *beyond), dims, dims)
+    over = hits.join(places, list(dims)).select(*dims, (F.col("hits") - F.col("_w")).alias("dominated")).filter("dominated > 0")
+    return points.join(over, list(dims)).groupBy("id").agg(F.sum("dominated").alias("dominated"))

@@ -5,8 +5,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tesselix.operators import counting
+from tesselix.operators import counting, skyline as sky
 
 
 def test_weights_inside_against_comparison():
@@ -29,3 +30,11 @@ def test_box_counts_by_slabs(spark, kind, monkeypatch):
     got = counting.box_counts(spark.createDataFrame(rows, "id bigint, x double, y double"), spark.createDataFrame(boxes, "b bigint, q_x_min double, q_x_max double, q_y_min double, q_y_max double"), ("b",), slab=7)
     want = {b: n for b, x0, x1, y0, y1 in boxes if (n := sum(x0 <= x <= x1 and y0 <= y <= y1 for _, x, y in rows))}
     assert {r["b"]: r["hits"] for r in got.collect()} == want
+
+
+def test_dominance_is_counted_not_paired(spark):
+    """60,000 points: all pairs would be 3.6 billion."""
+    df = spark.range(60_000).select("id", (F.col("id") % 300).cast("double").alias("x"), F.floor(F.col("id") / 300).cast("double").alias("y"))
+    got = sky.dominance_counts(df)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert got.filter(F.col("dominated") != (300 - F.col("id") % 300) * (200 - F.floor(F.col("id") / 300)) - 1).count() == 0 and got.count() == 59_999
