@@ -28,3 +28,15 @@ def test_groups_of_far_queries_are_small(spark):
     far = spark.createDataFrame([(i, rng.uniform(0, 10), rng.uniform(100, 5_000)) for i in range(400)], "qid bigint, q_x double, q_y double")
     _, groups = tree._grouped(far, "qid", {d: (F.col(f"q_{d}"), F.col(f"q_{d}")) for d in ("x", "y")})
     assert groups.agg(F.max(F.col("g_y_max") - F.col("g_y_min"))).first()[0] < 2
+
+
+def test_subtree_of_many_nodes_by_bounds(spark):
+    """More nodes than all points meet: the same choice, and no join of all with all. Many nodes without width tie at no growth."""
+    rng = random.Random(3)
+    rows = [(i, rng.randrange(1, 4), float(x := rng.randrange(40)), float(x + rng.choice((0, 0, 4))), float(y := rng.randrange(40)), y + rng.random() * 20) for i in range(1_200)]
+    nodes = spark.createDataFrame(rows, "node bigint, entries bigint, x_min double, x_max double, y_min double, y_max double")
+    points = spark.createDataFrame([(i, float(rng.randrange(-20, 60)), rng.uniform(-20, 60)) for i in range(80)], "id bigint, x double, y double")
+    got = index.choose_subtree(points, nodes)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, index.choose_subtree(points, nodes, block=600).collect()))
