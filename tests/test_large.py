@@ -40,3 +40,13 @@ def test_subtree_of_many_nodes_by_bounds(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, index.choose_subtree(points, nodes, block=600).collect()))
+
+
+def test_many_pairs_are_many_tasks(spark, monkeypatch):
+    """Few bytes on either side, but 3,000 boxes that hold many points: no task gives a large share of the pairs."""
+    monkeypatch.setattr(ranges, "COMPARED", 200_000)
+    points = spark.range(4_000).select("id", F.lit(0.0).alias("x"), (F.col("id") % 1000).cast("double").alias("y"))
+    boxes = spark.range(3_000).select(F.col("id").alias("qid"), F.lit(-9.0).alias("q_x_min"), F.lit(9.0).alias("q_x_max"), (F.col("id") % 1000 - 25.5).alias("q_y_min"), (F.col("id") % 1000 + 25.5).alias("q_y_max"))
+    got = ranges.range_join(points, boxes).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in got) == 12 * sum(min(y + 25, 999) - max(y - 25, 0) + 1 for y in range(1000))
+    assert max(r["count"] for r in got) < sum(r["count"] for r in got) / 4
