@@ -50,3 +50,12 @@ def test_many_pairs_are_many_tasks(spark, monkeypatch):
     got = ranges.range_join(points, boxes).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in got) == 12 * sum(min(y + 25, 999) - max(y - 25, 0) + 1 for y in range(1000))
     assert max(r["count"] for r in got) < sum(r["count"] for r in got) / 4
+
+
+def test_grid_join_has_tasks_by_pairs(spark, monkeypatch):
+    monkeypatch.setattr(ranges, "COMPARED", 10_000)
+    points = spark.range(500).select("id", F.lit(0.0).alias("x"), F.col("id").cast("double").alias("y"))
+    boxes = points.select(F.col("id").alias("qid"), *(e for c in "xy" for e in ((F.col(c) - 50).alias(f"q_{c}_min"), (F.col(c) + 50).alias(f"q_{c}_max"))))
+    got = ranges.range_join(points, boxes, method="grid", cell=(1000.0, 100.0))
+    assert got.rdd.getNumPartitions() >= 8
+    assert got.count() == sum(min(y + 50, 499) - max(y - 50, 0) + 1 for y in range(500))
