@@ -59,3 +59,16 @@ def test_grid_join_has_tasks_by_pairs(spark, monkeypatch):
     got = ranges.range_join(points, boxes, method="grid", cell=(1000.0, 100.0))
     assert got.rdd.getNumPartitions() >= 8
     assert got.count() == sum(min(y + 50, 499) - max(y - 50, 0) + 1 for y in range(500))
+
+
+def test_splits_write_only_what_overflows(spark, monkeypatch):
+    """One node of 200 entries beside 30 that fit: rounds of splits write the 200 only."""
+    written, write = [], index.materialise
+    monkeypatch.setattr(index, "materialise", lambda df, what="table": (lambda made: (written.append((what, made.count())), made)[1])(write(df, what)))
+    rng = random.Random(6)
+    rows = [(i, 0 if i < 200 else 1 + i // 10, *(c for c in (rng.random(), rng.random()) for _ in (0, 1))) for i in range(500)]
+    entries = spark.createDataFrame(rows, "id bigint, node bigint, x_min double, x_max double, y_min double, y_max double")
+    got, lineage = index.divided(entries, 1_000, fanout=10)
+    assert got.count() == got.select("id").distinct().count() == 500
+    assert got.groupBy("node").count().agg(F.max("count")).first()[0] <= 10 and lineage.filter("origin <> 0").count() == 0
+    assert max(n for what, n in written[1:] if what == "entries") <= 200
