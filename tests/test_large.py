@@ -72,3 +72,16 @@ def test_splits_write_only_what_overflows(spark, monkeypatch):
     assert got.count() == got.select("id").distinct().count() == 500
     assert got.groupBy("node").count().agg(F.max("count")).first()[0] <= 10 and lineage.filter("origin <> 0").count() == 0
     assert max(n for what, n in written[1:] if what == "entries") <= 200
+
+
+def test_pairs_are_thinned_in_bounded_memory(spark):
+    """Of many pairs few reach the ranking; ties by id, rows without a proper distance stay."""
+    rng = random.Random(4)
+    rows = [(q, i, float(rng.randrange(9)) if i else None) for q in range(20) for i in range(300)]
+    pairs = spark.createDataFrame(rows, "qid bigint, id bigint, dist double").coalesce(1)
+    thin = knn.thinned(pairs, 5, held=1_000).collect()
+    assert len(thin) < 1_000
+    got = sorted((r["qid"], r["rank"], r["id"]) for r in knn.nearest(pairs.filter("id > 0"), 5).collect())
+    assert got == [(q, n + 1, i) for q in range(20) for n, (_, i) in enumerate(sorted((d, i) for p, i, d in rows if p == q and i)[:5])]
+    assert {r["qid"] for r in thin if r["dist"] is None} == set(range(20))
+    assert knn.thinned(pairs, 5, held=50).count() < len(rows) and knn.nearest(knn.thinned(pairs.filter("id > 0"), 5, held=50), 5).count() == 100
