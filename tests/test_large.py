@@ -85,3 +85,17 @@ def test_pairs_are_thinned_in_bounded_memory(spark):
     assert got == [(q, n + 1, i) for q in range(20) for n, (_, i) in enumerate(sorted((d, i) for p, i, d in rows if p == q and i)[:5])]
     assert {r["qid"] for r in thin if r["dist"] is None} == set(range(20))
     assert knn.thinned(pairs, 5, held=50).count() < len(rows) and knn.nearest(knn.thinned(pairs.filter("id > 0"), 5, held=50), 5).count() == 100
+
+
+def test_vectors_by_products_of_matrices(spark):
+    """Copies, near ties by rounding, and vectors that have no proper distance: as by comparing all, but few rows reach the ranking."""
+    from tesselix.functions import geometry as g
+
+    rng = random.Random(7)
+    base = [[rng.uniform(-1, 1) for _ in range(8)] for _ in range(60)]
+    rows = [(i, [v + (i % 3) * 1e-7 for v in base[i % 60]]) for i in range(600)] + [(600, base[0][:5]), (601, [float("nan")] * 8)]
+    df = spark.createDataFrame(rows, "id bigint, e array<float>")
+    queries = df.filter("id % 25 = 0 AND id < 600").select(F.col("id").alias("qid"), F.col("e").alias("q_e"))
+    plain = knn.knn_join(df, queries, 10, distance=F.round(g.array_dist(F.col("e"), F.col("q_e")), 6)).select("qid", "id", "dist", "rank")
+    said = lambda d: sorted((r["qid"], r["rank"], r["id"], r["dist"]) for r in d.filter("id < 600").collect())
+    assert said(knn.knn_vectors(df, queries, 10)) == said(plain)
