@@ -99,3 +99,22 @@ def test_vectors_by_products_of_matrices(spark):
     plain = knn.knn_join(df, queries, 10, distance=F.round(g.array_dist(F.col("e"), F.col("q_e")), 6)).select("qid", "id", "dist", "rank")
     said = lambda d: sorted((r["qid"], r["rank"], r["id"], r["dist"]) for r in d.filter("id < 600").collect())
     assert said(knn.knn_vectors(df, queries, 10)) == said(plain)
+
+
+def test_boxes_of_a_full_cell_are_dealt_by_pairs(spark, monkeypatch):
+    """One cell of few bytes and many pairs: its points are cut as finely as the pairs ask for, and its boxes are not copied into a broadcast."""
+    monkeypatch.setattr(ranges, "COMPARED", 10_000)
+    points = spark.range(4_000).select("id", F.lit(0.0).alias("x"), (F.col("id") % 100).cast("double").alias("y"))
+    boxes = spark.range(300).select(F.col("id").alias("qid"), F.lit(1.0).alias("q_x_min"), F.lit(99.0).alias("q_x_max"), F.lit(1.0).alias("q_y_min"), F.lit(99.0).alias("q_y_max"))
+    got = ranges.range_join(points.withColumn("x", F.lit(50.0)), boxes, method="grid", cell=(100.0, 100.0))
+    assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+    rows = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(rows) == 300 * 40 * 99 and len(rows) > 64 and max(rows) <= 4 * 10_000
+
+
+def test_boxes_wider_by_rounding_stay_in_their_grid(spark):
+    """Sides of 100 that rounding makes a little longer: the points are compared in one grid, not two."""
+    points = spark.range(50).select("id", F.lit(0.0).alias("x"), F.col("id").cast("double").alias("y"))
+    boxes = spark.range(50).select(F.col("id").alias("qid"), F.lit(-50.0).alias("q_x_min"), F.when(F.col("id") % 2 == 0, 50.0).otherwise(50.0000000001).alias("q_x_max"), F.lit(0.0).alias("q_y_min"), F.lit(9.0).alias("q_y_max"))
+    got = ranges.range_join(points, boxes, method="grid", cell=(100.0, 100.0))
+    assert "explode([0])" in got._jdf.queryExecution().executedPlan().toString() and got.count() == 500
