@@ -118,3 +118,18 @@ def test_boxes_wider_by_rounding_stay_in_their_grid(spark):
     boxes = spark.range(50).select(F.col("id").alias("qid"), F.lit(-50.0).alias("q_x_min"), F.when(F.col("id") % 2 == 0, 50.0).otherwise(50.0000000001).alias("q_x_max"), F.lit(0.0).alias("q_y_min"), F.lit(9.0).alias("q_y_max"))
     got = ranges.range_join(points, boxes, method="grid", cell=(100.0, 100.0))
     assert "explode([0])" in got._jdf.queryExecution().executedPlan().toString() and got.count() == 500
+
+
+def test_a_flooded_node_is_packed_at_once(spark, monkeypatch):
+    """5,000 entries, some alike, come to one node, 15 to another: the first is cut in one go, so fewer rounds of halves are left than 500 nodes ask for."""
+    rounds, cut = [], index.split
+    monkeypatch.setattr(index, "split", lambda *a, **b: (rounds.append(1), cut(*a, **b))[1])
+    rng = random.Random(8)
+    rows = [(i, 3 if i < 5_000 else 4 + i % 2, *(c for v in ((0.5, 0.5) if i % 5 == 0 else (rng.random(), 100 * rng.random())) for c in (v, v))) for i in range(5_020)]
+    entries = spark.createDataFrame(rows, "id bigint, node bigint, x_min double, x_max double, y_min double, y_max double")
+    got, lineage = index.divided(entries.withColumn("node", F.when(F.col("id") >= 5_000, F.when(F.col("id") < 5_015, 4).otherwise(5)).otherwise(F.col("node")).cast("bigint")), 1_000, fanout=10)
+    assert len(rounds) < 9
+    nodes = {r["node"]: r["n"] for r in got.groupBy("node").agg(F.count("*").alias("n")).collect()}
+    assert got.count() == got.select("id").distinct().count() == 5_020 and max(nodes.values()) <= 10 and min(n for k, n in nodes.items() if k != 5) >= 5
+    origin = {r["node"]: r["origin"] for r in lineage.collect()}
+    assert set(origin) == set(nodes) - {3, 4, 5} and min(origin) == 1_000 and {i: origin.get(n, n) for i, n in got.select("id", "node").collect()} == {i: 3 if i < 5_000 else 4 if i < 5_015 else 5 for i in range(5_020)}
